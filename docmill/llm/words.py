@@ -75,10 +75,11 @@ def batches(texts: list[bytes], limit: int = BATCH) -> Iterator[tuple[int, int]]
         yield lo, len(texts)
 
 
-def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """(hash of every word, offsets): the words of text k are ``[offsets[k]:offsets[k + 1]]``.
 
-    ``lower`` lower-cases A-Z; ``alnum`` takes every ASCII byte but letters and digits as a separator.
+    ``lower`` lower-cases A-Z; ``alnum`` takes every ASCII byte but letters and digits as a separator. For each
+    number of bytes in ``prefixes`` an array follows: the hash of a word's beginning, 0 where the word isn't longer.
     """
     joined = b"\n".join(texts)
     if lower:
@@ -86,7 +87,7 @@ def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False) -> tupl
     lookup = _NOT_ALNUM if alnum else _SPACE
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
-    out, at, starts_all = [], 0, []
+    out, at, starts_all, begun = [], 0, [], [[] for _ in prefixes]
     while at < len(joined):
         to = min(len(joined), at + PIECE)
         if to < len(joined):  # a piece ends at a separator
@@ -101,12 +102,19 @@ def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False) -> tupl
         buf = np.frombuffer(joined, np.uint8, to - at, at)
         edges = np.flatnonzero(np.diff(np.concatenate([[True], lookup[buf], [True]])))
         starts, ends = edges[::2], edges[1::2]
-        out.append(mix(_runs(_TABLE[buf], starts, ends, 0) + (ends - starts).astype(np.uint64)))
+        values = _TABLE[buf]
+        out.append(mix(_runs(values, starts, ends, 0) + (ends - starts).astype(np.uint64)))
+        for k, found in zip(prefixes, begun, strict=True):
+            longer = ends - starts > k
+            part = np.zeros(len(starts), np.uint64)
+            part[longer] = mix(_runs(values, starts[longer], starts[longer] + k, 0) ^ np.uint64(0xA5A5A5A5 + k))
+            found.append(part)
         starts_all.append(starts + at)
         at = to
     words = np.concatenate(out) if out else np.zeros(0, np.uint64)
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
-    return words, np.searchsorted(starts, bounds)
+    none = np.zeros(0, np.uint64)
+    return words, np.searchsorted(starts, bounds), *(np.concatenate(x) if x else none for x in begun)
 
 
 def windows(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
