@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.mixing import OP8_SQL, op8_mix_sources
+from docmill.llm.ngram_join import OP7_SQL, op7_ngram_join
 from docmill.llm.secrets import op10_secret_scan
 from docmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from docmill.llm.toxicity import op6_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_join": op7_ngram_join,
     "op8_mix_sources": op8_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
@@ -20,5 +22,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op7_ngram_join": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
 }
