@@ -5,12 +5,14 @@ from __future__ import annotations
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.mixing import OP8_SQL, op8_mix_sources
 from docmill.llm.ngram_join import OP7_SQL, op7_ngram_join
+from docmill.llm.quality import OP3_SQL, op3_quality_rules
 from docmill.llm.secrets import op10_secret_scan
 from docmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from docmill.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
@@ -21,6 +23,7 @@ QUERIES = {
 #: None for toxicity (a fitted model) and secret scans (positions of matches, decoding): tests/llm holds those against plain Python.
 ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
+    "op3_quality_rules": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_ngram_join": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
