@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docmill.llm.licenses import OP9_SQL, op9_license_scan
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.mixing import OP8_SQL, op8_mix_sources
 from docmill.llm.ngram_join import OP7_SQL, op7_ngram_join
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
     "op8_mix_sources": op8_mix_sources,
+    "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -27,4 +29,5 @@ ORACLE_SQL = {
     "op4_substring_dedup": OP4_SQL,
     "op7_ngram_join": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op9_license_scan": OP9_SQL,
 }
