@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docmill.llm.decontaminate import op1_decontaminate
 from docmill.llm.licenses import OP9_SQL, op9_license_scan
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.mixing import OP8_SQL, op8_mix_sources
@@ -12,6 +13,7 @@ from docmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from docmill.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
