@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,18 @@ def discard(table: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and broadcasts that nothing refers to any more, before more disk is taken."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, so that a Python worker holds few long texts at once. It holds for the session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small_enough(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only if ``table`` is counted to be within ``rows``; else Spark shuffles it."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
