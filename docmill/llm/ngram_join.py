@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import bloom
-from docmill.llm.copies import classes_of, fingerprints, slim, with_copy_marks
+from docmill.llm.copies import SLIM, classes_of, slim, with_copy_marks
 from docmill.llm.graph import components
-from docmill.llm.sketch import count_sketch, slots
+from docmill.llm.sketch import Counters, slots, summed
 from docmill.llm.words import as_bytes, batches, hashed, mix, sequence, windows
-from docmill.runtime import plan_bytes, small_enough, written
+from docmill.runtime import bounded_batches, discard, plan_bytes, small_enough, tidy, written
 
 MAPS = [f"b{k}" for k in range(8)]
 #: Lists above this length are divided for further comparisons, and the size of a division.
@@ -107,12 +107,47 @@ def _possible(a: str, b: str, percent: int):
     return (100 * na >= percent * nb) & (100 * nb >= percent * na) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
+def parity_map(own: np.ndarray) -> np.ndarray:
+    """A bit for each of at least 2n buckets (a power of two, 512 or more): whether an odd number of elements fell on it."""
+    width = max(512, 1 << int(2 * len(own) - 1).bit_length())
+    bits = np.bincount(((own >> np.uint64(7)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of how many elements two sets differ in: their maps folded to one width, and compared."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (u, v) among candidate pairs, by exact comparison of both texts' sets."""
+    """The links (u, v) among candidate pairs: maps as wide as the sets rule out most, exact comparison of both texts' sets settles the rest."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
-    texts = slim(docs).join(small_enough(ids), "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+    texts = written(slim(docs).join(small_enough(ids), "doc_id", "left_semi"), "texts")
+
+    def mapped(parts):
+        for batch in parts:
+            sets = shingle_sets(as_bytes(batch.column("text")), k)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_map(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "n", "m"])
+
+    maps = written(texts.mapInArrow(mapped, "doc_id long, n long, m binary"), "maps")
+    side = lambda x: maps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
+    room = (100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu"))
+
+    def close(parts):
+        for batch in parts:
+            sizes = np.array(batch.column("nu").to_pylist(), np.int64) + np.array(batch.column("nv").to_pylist(), np.int64)
+            both = zip(batch.column("mu").to_pylist(), batch.column("mv").to_pylist(), strict=True)
+            differ = np.array([least_difference(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in both], np.int64)
+            keep = pa.array((100 + percent) * differ <= (100 - percent) * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+
+    near = written(pairs.join(side("u"), "u").join(side("v"), "v").where(room).select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(close, "u long, v long").distinct(), "near")
+    both = near.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
 
     def check(parts):
         for batch in parts:
@@ -124,20 +159,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 out += [i for i in range(lo, hi) if linked(sets[i - lo], sets[hi - lo + i - lo], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in out], pa.int64()), pa.array([vs[i] for i in out], pa.int64())], names=["u", "v"])
 
-    return written(both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long").distinct(), "verified")
+    links = written(both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long").distinct(), "verified")
+    for old in (pairs, ids, texts, maps, near):
+        discard(old)
+    tidy(docs.sparkSession)
+    return links
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``component_id`` is the smallest id that links reach."""
     spark = docs.sparkSession
+    bounded_batches(spark)
 
-    def prints_of(texts):
-        sets = shingle_sets(texts, k)
-        f1 = [int(mix(np.array([s.sum(dtype=np.uint64)]))[0]) for s in sets]
-        f2 = [int(np.bitwise_xor.reduce(mix(s)) if len(s) else 0) for s in sets]
-        return [len(s) for s in sets], f1, f2
-
-    prints = fingerprints(docs, prints_of)
+    def scan(parts):
+        """A row for each document and, last, the task's counters."""
+        own = Counters()
+        names = ["doc_id", "n", "f1", "f2", "segment", "counts"]
+        for batch in parts:
+            sets = shingle_sets(as_bytes(batch.column("text")), k)
+            f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+            f2 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64)
+            if sets:
+                own.add(slots(np.concatenate(sets)))
+            none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mix(f1).view(np.int64)), pa.array(f2.view(np.int64)), *none], names=names)
+        for at, payload in own.segments():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([at], pa.int32()), pa.array([payload], pa.binary())], names=names)
+
+    scanned = written(slim(docs).mapInArrow(scan, f"{SLIM}, segment int, counts binary"), "scanned")
+    counters = summed(scanned.where(F.col("segment").isNotNull()).select("segment", "counts"))
+    prints = scanned.where(F.col("segment").isNull()).select("doc_id", "n", "f1", "f2")
     full = prints.where(F.col("n") > 0)
     classes = classes_of(full)
     base = with_copy_marks(docs, full, classes)
@@ -153,7 +204,6 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
                     continue
                 yield ids[i], own
 
-    counters = count_sketch(base, lambda batch: (own for _, own in sets_of(batch)))
     total = float(counters.sum(dtype=np.float64))
     noise = total / len(counters)
     limit = 4 * noise + 32
@@ -165,7 +215,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     def keys_of(batch):
         for doc_id, own in sets_of(batch):
-            yield doc_id, own, _keys(own, order.value[slots(own).astype(np.int64)].astype(np.uint64), bound, percent)
+            yield doc_id, own, _keys(own, order.value[slots(own)].astype(np.uint64), bound, percent)
 
     twice = spark.sparkContext.broadcast(bloom.build(base, lambda batch: (keys for _, _, keys in keys_of(batch)), bloom.bits_for(plan_bytes(docs.select("text")) * 0.08))[1])
 
@@ -187,40 +237,48 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     kinds = "key long, rep long, n long, " + ", ".join(f"{m} long" for m in MAPS)
     posts = written(base.mapInArrow(post, kinds), "postings")
+    tidy(spark)
 
     one = F.struct("rep", "n", *MAPS)
     lists = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("o")).where(F.col("c") > 1), "lists")
-    stars = posts.join(lists, "key").select(F.col("o"), F.struct(*(F.col(x) for x in ("rep", "n", *MAPS))).alias("x"))
-    found = [stars]
-    long_lists = lists.where(F.col("c") > LONG_LIST).select("key", "c")
-    inside = posts.join(small_enough(long_lists), "key")
+    found = [posts.join(lists, "key").select("o", one.alias("x"))]
+    inside = posts.join(small_enough(lists.where(F.col("c") > LONG_LIST).select("key", "c")), "key")
+    used = [lists]
     for seed in (1, 2):
         # two seeds deal a long list out differently, and differently from other lists
         part = inside.withColumn("part", F.pmod(F.xxhash64("key", "rep", F.lit(seed)), F.ceil(F.col("c") / DIVISION)))
         part = written(part.select("key", "part", "rep", "n", *MAPS), "divisions")
         heads = written(part.groupBy("key", "part").agg(F.min(one).alias("o")), "heads")
-        found.append(part.join(heads, ["key", "part"]).select("o", F.struct("rep", "n", *MAPS).alias("x")))
+        found.append(part.join(heads, ["key", "part"]).select("o", one.alias("x")))
+        used += [part, heads]
 
     def pairs(frame, a="o", b="x"):
         return frame.where((F.col(f"{a}.rep") < F.col(f"{b}.rep")) & _possible(a, b, percent)).select(F.col(f"{a}.rep").alias("u"), F.col(f"{b}.rep").alias("v")).distinct()
 
     tested = written(pairs(found[0].unionByName(found[1]).unionByName(found[2])), "tested")
+    for old in used:
+        discard(old)
+    tidy(spark)
     links = _verified(tested, docs, k, percent)
     groups = written(components(links), "groups")
+    tidy(spark)
 
-    # lists with several components: whatever pairs sizes and maps allow, from different components only
-    placed = written(posts.join(small_enough(groups), F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
+    # lists of three or more with several components: whatever pairs sizes and maps allow, from different components only.
+    # A list of two has had its pair tested.
+    placed = posts.join(small_enough(groups), F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("c") > 2)).select("key")
     rows = written(placed.join(small_enough(written(mixed, "mixed")), "key", "left_semi"), "mixed-rows")
     o, x = rows.alias("o"), rows.alias("x")
     meet = (F.col("o.key") == F.col("x.key")) & (F.col("o.rep") < F.col("x.rep")) & (F.col("o.component") != F.col("x.component")) & _possible("o", "x", percent)
-    rest = o.join(x, meet).select(F.col("o.rep").alias("u"), F.col("x.rep").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    rest = written(o.join(x, meet).select(F.col("o.rep").alias("u"), F.col("x.rep").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+    for old in (posts, rows):
+        discard(old)
+    tidy(spark)
     more = _verified(rest, docs, k, percent)
     final = written(components(links.unionByName(more)), "components")
 
     named = written(classes.join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id")), "named")
     whole = full.where(F.col("doc_id").isNotNull()).join(small_enough(named), ["f1", "f2", "n"])
-    # rows that share an id are one node: the smallest component any of them is in
     apart = prints.where(F.col("doc_id").isNull() | (F.col("n") == 0))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(apart.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

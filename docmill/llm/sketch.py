@@ -10,35 +10,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SEGMENT = 1 << 15
-#: Counters (4 bytes each); the bound of what is broadcast.
+#: Counters (4 bytes each) of a sketch; the bound of what is broadcast.
 WIDTH = 1 << 21
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(20)) & np.uint64(WIDTH - 1)
+    return ((hashes >> np.uint64(20)) & np.uint64(WIDTH - 1)).astype(np.int64)
 
 
-def count_sketch(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """How many hashes fell on each counter. Tasks send counters in segments, which are added up in their order."""
+class Counters:
+    """The counters of one task."""
+
+    def __init__(self, width: int = WIDTH):
+        self.total = np.zeros(-(-width // SEGMENT) * SEGMENT, np.uint32)
+
+    def add(self, at: np.ndarray) -> None:
+        found, counts = np.unique(at, return_counts=True)
+        self.total[found] = np.minimum(self.total[found].astype(np.int64) + counts, 0xFFFFFFFF)
+
+    def segments(self) -> Iterator[tuple[int, bytes]]:
+        pieces = self.total.reshape(-1, SEGMENT)
+        for k in np.flatnonzero(pieces.any(1)).tolist():
+            yield k, zlib.compress(pieces[k].tobytes(), 1)
+
+
+def summed(table: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """The sum of the counters in ``table`` (segment, counts), segment by segment, in memory of one segment."""
     schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
 
     def rows(segments, payloads):
         return pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(payloads, pa.binary())], schema=schema)
 
-    def partial(parts):
-        total, size = np.zeros(WIDTH, np.int64), 0
-
-        for batch in parts:
-            held = [slots(h) for h in hashes_of(batch)]
-            if held:
-                found, counts = np.unique(np.concatenate(held), return_counts=True)
-                total[found.astype(np.int64)] += counts
-                size += len(found)
-        if size:
-            pieces = total.reshape(-1, SEGMENT)
-            used = np.flatnonzero(pieces.any(1))
-            yield rows(used, [zlib.compress(np.minimum(pieces[k], 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for k in used])
-
     def merge(parts):
         at, total = -1, None
         for batch in parts:
@@ -53,10 +55,24 @@ def count_sketch(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterato
         if at >= 0:
             yield rows([at], [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)])
 
-    kind = "segment int, counts binary"
-    merged = table.mapInArrow(partial, kind).repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, kind)
-    out = np.zeros(WIDTH, np.uint32)
+    merged = table.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, counts binary")
+    out = np.zeros(-(-width // SEGMENT) * SEGMENT, np.uint32)
     for row in merged.toLocalIterator():
         lo = row["segment"] * SEGMENT
         out[lo : lo + SEGMENT] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint32)
-    return out
+    return out[:width]
+
+
+def count_sketch(table: DataFrame, slots_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int = WIDTH) -> np.ndarray:
+    """How often ``slots_of`` names each of ``width`` counters, over all of ``table``."""
+
+    def partial(parts):
+        own = Counters(width)
+        for batch in parts:
+            held = list(slots_of(batch))
+            if held:
+                own.add(np.concatenate(held))
+        for k, payload in own.segments():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([payload], pa.binary())], names=["segment", "counts"])
+
+    return summed(table.mapInArrow(partial, "segment int, counts binary"), width)

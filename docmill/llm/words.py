@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
-BATCH = 1 << 21
+#: Bytes (words, for windows) handled at once: what fits the processor's cache is fastest.
+PIECE = 1 << 18
+BATCH = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -75,11 +76,12 @@ def batches(texts: list[bytes], limit: int = BATCH) -> Iterator[tuple[int, int]]
         yield lo, len(texts)
 
 
-def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False, prefixes: tuple[int, ...] = (), suffix: int = 0) -> tuple[np.ndarray, ...]:
     """(hash of every word, offsets): the words of text k are ``[offsets[k]:offsets[k + 1]]``.
 
     ``lower`` lower-cases A-Z; ``alnum`` takes every ASCII byte but letters and digits as a separator. For each
     number of bytes in ``prefixes`` an array follows: the hash of a word's beginning, 0 where the word isn't longer.
+    With ``suffix``, the hash of the last so many bytes of each word follows.
     """
     joined = b"\n".join(texts)
     if lower:
@@ -87,7 +89,7 @@ def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False, prefixe
     lookup = _NOT_ALNUM if alnum else _SPACE
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
-    out, at, starts_all, begun = [], 0, [], [[] for _ in prefixes]
+    out, at, starts_all, begun, ended = [], 0, [], [[] for _ in prefixes], []
     while at < len(joined):
         to = min(len(joined), at + PIECE)
         if to < len(joined):  # a piece ends at a separator
@@ -109,12 +111,14 @@ def hashed(texts: list[bytes], lower: bool = False, alnum: bool = False, prefixe
             part = np.zeros(len(starts), np.uint64)
             part[longer] = mix(_runs(values, starts[longer], starts[longer] + k, 0) ^ np.uint64(0xA5A5A5A5 + k))
             found.append(part)
+        if suffix:
+            ended.append(mix(_runs(values, np.maximum(starts, ends - suffix), ends, 0) ^ np.uint64(0x5EED5EED)))
         starts_all.append(starts + at)
         at = to
     words = np.concatenate(out) if out else np.zeros(0, np.uint64)
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
     none = np.zeros(0, np.uint64)
-    return words, np.searchsorted(starts, bounds), *(np.concatenate(x) if x else none for x in begun)
+    return words, np.searchsorted(starts, bounds), *(np.concatenate(x) if x else none for x in begun), *([np.concatenate(ended) if ended else none] if suffix else [])
 
 
 def windows(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
