@@ -5,6 +5,7 @@ from __future__ import annotations
 from docmill.llm.decontaminate import op1_decontaminate
 from docmill.llm.licenses import OP9_SQL, op9_license_scan
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
+from docmill.llm.lm import op5_lm_score
 from docmill.llm.mixing import OP8_SQL, op8_mix_sources
 from docmill.llm.ngram_join import OP7_SQL, op7_ngram_join
 from docmill.llm.quality import OP3_SQL, op3_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_join": op7_ngram_join,
     "op8_mix_sources": op8_mix_sources,
