@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docmill.llm import bloom
 from docmill.llm.copies import classes_of, fingerprints, with_copy_marks
 from docmill.llm.words import as_bytes, batches, hashed, sequence, signed, windows
-from docmill.runtime import plan_bytes, written
+from docmill.runtime import bounded_batches, plan_bytes, written
 
 
 class _Part:
@@ -89,6 +89,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, text, n_words, n_removed) for every row: the kept words joined by a space, and counts before and of what went."""
     spark = docs.sparkSession
     block = (window + 1) // 2
+    bounded_batches(spark)
 
     def whole(texts):
         n, f1, f2 = [], [], []
