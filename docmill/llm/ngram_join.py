@@ -4,13 +4,13 @@ A document's set is that of its distinct ``k``-word shingles (fewer words: the w
 when their sets' Jaccard similarity is at least ``percent`` / 100.
 
 - Documents with equal sets form classes; only a class's smallest id goes on.
-- Shingles are put in one order for all documents: those that a sketch of bounded size counts as very frequent last, else by
-  hash. If two sets link, the beginnings of both in this order, as long as the sizes demand, share a shingle; a
-  beginning longer by one shares two.
+- Shingles are put in one order for all documents: first those that only one document has, which a twice-seen Bloom filter
+  tells, last those that a sketch of bounded size counts as very frequent, by hash within. If two sets link, the beginnings
+  of both in this order, as long as the sizes demand, share a shingle; a beginning longer by one shares two. Shingles of one
+  document take up its beginning and are never sent: a document with more of them than a link allows sends nothing.
 - Small sets enumerate all pairs of shingles of their beginning: equal pairs bring them together. Large sets, and small ones
   that may link to large ones, go to the inverted lists of the single shingles of their beginning. The boundary is the
   largest size at which enumerating costs no more rows than scanning lists of the mean length that the sketch measures.
-- A key that only one document has is dropped before any shuffle by a twice-seen Bloom filter.
 - Within a list, each document is compared to the list's smallest id and, in long lists, to the smallest of two seeded
   divisions. Sizes and 512-bit parity maps rule out most pairs without loss: each element in which two sets differ changes at most one bit.
   What remains is verified on the texts. Lists whose documents are connected by now are done; in the others every pair from
@@ -85,18 +85,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _keys(own: np.ndarray, level: np.ndarray, bound: int, percent: int) -> np.ndarray:
-    """The keys under which a set looks for others; ``level`` is how frequent the sketch holds each shingle."""
+    """The keys under which a set looks for others. ``level`` orders its shingles: 0 for those that no other document has, which
+    take up the beginning first and need no key, and above that how frequent the sketch holds them."""
     n = len(own)
     if not reaches(n, percent):
         return own[:0]
-    order = np.argsort((level << np.uint64(60)) | (own >> np.uint64(4)), kind="stable")
     p = n - least_overlap(n, percent) + 1
-    out = []
-    if n <= bound:
-        first = own[order[: p + 1]]
+    small, large = n <= bound, n > bound or 100 * n >= percent * (bound + 1)
+    alone = int((level == 0).sum())
+    if alone > p:
+        return own[:0]
+    order = np.argsort((level << np.uint64(60)) | (own >> np.uint64(4)), kind="stable")
+    out = [own[:0]]
+    if small:
+        first = own[order[alone : p + 1]]
         out += [mix(first[[i]]) + first[j] for i, j in combinations(range(len(first)), 2)]
-    if n > bound or 100 * n >= percent * (bound + 1):
-        out.append(mix(own[order[:p]] ^ np.uint64(0x5BD1E995)))
+    if large:
+        out.append(mix(own[order[alone:p]] ^ np.uint64(0x5BD1E995)))
     return np.unique(np.concatenate(out))
 
 
@@ -207,23 +212,24 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     total = float(counters.sum(dtype=np.float64))
     noise = total / len(counters)
     limit = 4 * noise + 32
-    levels = np.where(counters >= limit, np.minimum(15, 1 + np.log2(np.maximum(counters, 1) / limit).clip(0)), 0).astype(np.uint8)
+    levels = np.where(counters >= limit, np.minimum(14, 1 + np.log2(np.maximum(counters, 1) / limit).clip(0)), 0).astype(np.uint8)
     usual = counters[levels == 0].astype(np.float64)
     mean_list = 1 + max(0.0, ((usual**2).sum() - usual.sum() ** 2 / max(1, len(usual))) / max(1.0, usual.sum()) - 1)
     bound = boundary(mean_list, percent)
     order = spark.sparkContext.broadcast(levels)
+    # about one shingle for four bytes of a file
+    twice = spark.sparkContext.broadcast(bloom.build(base, lambda batch: (own for _, own in sets_of(batch)), bloom.bits_for(plan_bytes(docs.select("text")) * 0.26))[1])
+    tidy(spark)
 
     def keys_of(batch):
         for doc_id, own in sets_of(batch):
-            yield doc_id, own, _keys(own, order.value[slots(own)].astype(np.uint64), bound, percent)
-
-    twice = spark.sparkContext.broadcast(bloom.build(base, lambda batch: (keys for _, _, keys in keys_of(batch)), bloom.bits_for(plan_bytes(docs.select("text")) * 0.08))[1])
+            level = np.where(bloom.contains(twice.value, own), order.value[slots(own)] + np.uint8(1), np.uint8(0))
+            yield doc_id, own, _keys(own, level.astype(np.uint64), bound, percent)
 
     def post(parts):
         for batch in parts:
             keys, ids, sizes, maps = [], [], [], []
             for doc_id, own, found in keys_of(batch):
-                found = found[bloom.contains(twice.value, found)]
                 if len(found):
                     bits = np.bincount(((own >> np.uint64(7)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
                     keys.append(found)
