@@ -47,7 +47,7 @@ class EnrichConfig(FromEnvironment):
     http_timeout_sec: int = 20
     http_max_retries: int = 3
     follow_redirects: bool = True
-    extractor_sequence: tuple[str, ...] = ("article", "page")
+    extractor_sequence: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "article", "page")
     min_accept_words: int = 200
     allow_amp_print_variants: bool = True
     max_full_text_chars: int = 50_000

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import importlib
+import importlib.util
 from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -114,11 +117,46 @@ def _article_only(html: str) -> str | None:
     return " ".join(s for t, inside in found.nodes if inside and (s := t.strip())) or None
 
 
+@functools.cache
+def _module(name: str):
+    """A library that may not be installed; None then."""
+    return importlib.import_module(name) if importlib.util.find_spec(name) else None
+
+
+def _trafilatura(html: str) -> str | None:
+    lib = _module("trafilatura")
+    return lib and lib.extract(html)
+
+
+def _readability(html: str) -> str | None:
+    lib = _module("readability")
+    return lib and text_of(lib.Document(html).summary(), " ")
+
+
+def _newspaper(html: str) -> str | None:
+    if (lib := _module("newspaper")) is None:
+        return None
+    page = lib.Article("")
+    page.set_html(html)
+    page.parse()
+    return page.text
+
+
+def _goose(html: str) -> str | None:
+    lib = _module("goose3")
+    return lib and lib.Goose().extract(raw_html=html).cleaned_text
+
+
+# libraries where they are installed, then the standard library's parser
+register_extractor("trafilatura", _trafilatura)
+register_extractor("readability", _readability)
+register_extractor("newspaper3k", _newspaper)
+register_extractor("goose3", _goose)
 register_extractor("article", _article_only)
 register_extractor("page", lambda html: text_of(html, " ") or None)
 
 
-def extract_chain(html: Column, names: tuple[str, ...] = ("article", "page"), least_words: int = 200, most_chars: int = 50_000) -> Column:
+def extract_chain(html: Column, names: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "article", "page"), least_words: int = 200, most_chars: int = 50_000) -> Column:
     """A struct (clean_text, word_count, extraction_method): the first extractor with enough words, null if none has.
 
     Texts are cut before words are counted; an extractor that is unknown or raises is passed over. One UDF runs the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import filled, strip
@@ -29,8 +29,7 @@ def deduplicated(articles: DataFrame, strict: bool = False) -> DataFrame:
     if strict:
         return by_url.join(by_title.select("ord"), "ord", "left_semi")
     both = by_url.withColumn("__src", F.lit(0)).unionByName(by_title.withColumn("__src", F.lit(1)))
-    same = Window.partitionBy("item_id")
-    out = both.withColumn("__at", F.min(F.struct("__src", "ord")).over(same))
-    out = first_by(out, ["item_id"], F.col("__src").desc(), F.col("ord").desc())
-    # url winners come first in the order, then those that only won by title
-    return out.withColumn("position", F.struct(F.col("__at.__src").alias("src"), F.col("__at.ord").alias("ord"))).drop("__src", "__at")
+    # url winners come first in the order, then those that only won by title; combined within tasks before the shuffle
+    place = F.struct(F.col("__src").alias("src"), F.col("ord").alias("ord"))
+    rows = both.groupBy("item_id").agg(F.min(place).alias("position"), F.max_by(F.struct(*articles.columns), place).alias("row"))
+    return rows.select(*(F.col(f"row.{c}") for c in articles.columns), "position")

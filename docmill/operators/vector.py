@@ -55,13 +55,12 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, key: str, k: int, column:
                 kind = batch.schema.field("k").type
                 keys = batch.column("k").to_numpy(zero_copy_only=False)
                 scores = np.round(np.stack(vectors.to_numpy(zero_copy_only=False)).astype(np.float64) @ matrix.T, 6)
-                found = []
-                for q in range(len(ids)):
-                    s = scores[:, q]
-                    # ties at the cut stay until the last step orders them
-                    keep = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                    found.append(pd.DataFrame({"query_idx": ids[q], "k": keys[keep], "dense": s[keep]}))
-                best = pd.concat(([best] if best is not None else []) + found).sort_values(["query_idx", "dense", "k"], ascending=[True, False, True]).groupby("query_idx").head(k)
+                # ties at the cut stay until the last step orders them
+                cut = scores.min(0) if len(scores) <= k else np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+                row, query = np.nonzero(scores >= cut)
+                found = pd.DataFrame({"query_idx": ids[query], "k": keys[row], "dense": scores[row, query]})
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["query_idx", "dense", "k"], ascending=[True, False, True]).groupby("query_idx").head(k)
             if best is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(best["query_idx"].to_numpy(), pa.int64()), pa.array(best["k"].tolist(), kind), pa.array(best["dense"].to_numpy(), pa.float64())], names=["query_idx", "k", "dense"])
 
