@@ -20,14 +20,17 @@ def fused(dense: DataFrame, lexical: DataFrame, key: str, alpha: float = 0.25, k
 def rolled_up(scored: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """For each query and article its best chunk by hybrid, the first by ``key`` of equals; chunks that score 0 or less don't count."""
     named = scored.where(F.col("hybrid") > 0).join(chunks.select(key, "item_id", "chunk_index"), key)
-    return first_by(named, ["query_idx", "item_id"], F.col("hybrid").desc(), F.col(key).asc())
+    rest = [c for c in named.columns if c not in ("query_idx", "item_id")]
+    best = F.max_by(F.struct(*rest), F.struct("hybrid", -F.col(key)))
+    return named.groupBy("query_idx", "item_id").agg(best.alias("b")).select("query_idx", "item_id", "b.*")
 
 
 def merged(rolled: DataFrame, key: str) -> DataFrame:
     """For each article its best score over all queries, the earliest query's of equals, and the queries that matched it in their order."""
-    matched = rolled.groupBy("item_id").agg(F.array_sort(F.collect_set("query_idx")).alias("matched"))
-    best = first_by(rolled, ["item_id"], F.col("hybrid").desc(), F.col("query_idx").asc())
-    return best.drop("query_idx").join(matched, "item_id").withColumn("primary_query", F.element_at("matched", 1))
+    rest = [c for c in rolled.columns if c not in ("query_idx", "item_id")]
+    best = F.max_by(F.struct(*rest), F.struct("hybrid", -F.col("query_idx")))
+    out = rolled.groupBy("item_id").agg(F.array_sort(F.collect_set("query_idx")).alias("matched"), best.alias("b"))
+    return out.select("item_id", "b.*", "matched", F.element_at("matched", 1).alias("primary_query"))
 
 
 def capped(articles: DataFrame, cap: int = 8) -> DataFrame:

@@ -14,6 +14,7 @@ from docmill.operators import bm25, dedup, enrich, hybrid, script
 from docmill.operators.collect import collection_counts, new_items
 from docmill.operators.vector import vector_top_k
 from docmill.plans import retrieve as plan
+from docmill.runtime import written
 
 AS_OF = "2024-01-31 00:00:00"
 CONFIG = RetrieveConfig()
@@ -126,11 +127,11 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_normalised(spark, sf_dir):
-    return bm25.normalised(_document_scores(spark, sf_dir), "bm25").select("query_idx", "doc_id", F.round("bm25", 6).alias("bm25"))
+    return bm25.normalised(written(_document_scores(spark, sf_dir), "scores"), "bm25").select("query_idx", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _scored(spark, sf_dir):
-    chunks = plan.written(plan.article_chunks(articles(spark, sf_dir)), "chunks")
+    chunks = written(plan.article_chunks(articles(spark, sf_dir)), "chunks")
     return plan.scored_chunks(chunks, query_set(spark, sf_dir)), chunks
 
 
@@ -292,8 +293,8 @@ _FUSION = rf"""
 WITH RECURSIVE {_ARTICLES.strip()}, {_DEDUP.strip()}, {_CHUNKS.strip()}, {_Q}, {_bm25("c", "chunk_key").strip()}, {_vector("c", "chunk_key", "text", "cv").strip()}, {_vector("q", "query_idx", "query", "qv").strip()},
 dn0 AS (SELECT query_idx, chunk_key, round(coalesce(sum(cv.v * qv.v), 0), 6) AS dense FROM (SELECT query_idx, chunk_key FROM q, c) p LEFT JOIN qv USING (query_idx) LEFT JOIN cv USING (chunk_key, bucket) GROUP BY ALL),
 dn AS (SELECT * FROM dn0 QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY dense DESC, chunk_key) <= 300),
-lx0 AS (SELECT query_idx, chunk_key, round(CASE WHEN max(bm25) OVER (PARTITION BY query_idx) = 0 THEN bm25 ELSE bm25 / max(bm25) OVER (PARTITION BY query_idx) END, 6) AS bm25 FROM bm),
-lx AS (SELECT * FROM lx0 QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY bm25 DESC, chunk_key) <= 200),
+lx0 AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY bm25 DESC, chunk_key) <= 200),
+lx AS (SELECT query_idx, chunk_key, round(CASE WHEN max(bm25) OVER (PARTITION BY query_idx) <= 0 THEN bm25 ELSE bm25 / max(bm25) OVER (PARTITION BY query_idx) END, 6) AS bm25 FROM lx0),
 fu AS (SELECT query_idx, chunk_key, coalesce(dense, 0) AS dense, coalesce(bm25, 0) AS bm25, round(0.25::DOUBLE * coalesce(bm25, 0) + 0.75::DOUBLE * coalesce(dense, 0), 8) AS hybrid FROM dn FULL JOIN lx USING (query_idx, chunk_key)),
 hy AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY hybrid DESC, chunk_key) <= 500),
 ru AS (SELECT query_idx, item_id, chunk_index, hybrid FROM hy JOIN c USING (chunk_key) WHERE hybrid > 0 QUALIFY row_number() OVER (PARTITION BY query_idx, item_id ORDER BY hybrid DESC, chunk_key) = 1),

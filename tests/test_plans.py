@@ -166,3 +166,23 @@ def test_entry_names():
 def test_entry_runs(spark):
     out = entry.entry(spark)
     assert out.count() == 30 and out.columns[0] == "rank"
+
+
+def test_command_line(spark, tmp_path):
+    from docmill.__main__ import main
+
+    p = lambda n: str(tmp_path / n)
+    (tmp_path / "feed.xml").write_text(RSS)
+    main(["collect", "--rss", p("feed.xml"), "--source", "s", "--as-of", "2024-01-31T00:00:00", "--out", p("raw")], spark)
+    assert spark.read.parquet(p("raw")).count() == 2
+    rows = [json.loads(r[0]) for r in article_table(spark, 12).drop("ord").select(F.to_json(F.struct("*"))).collect()]
+    (tmp_path / "items.json").write_text(json.dumps({"articles": rows}))
+    (tmp_path / "queries.json").write_text(json.dumps({"queries": [{"query": "robot chip", "expansions": ["law"]}]}))
+    main(["retrieve", "--items", p("items.json"), "--queries", p("queries.json"), "--out", p("ranked")], spark)
+    made = json.loads(spark.read.text(p("ranked")).first()[0])
+    assert made["count"] == len(made["articles"]) == 8 and made["articles"][0]["matched_queries"] == ["robot chip"]
+    spark.createDataFrame([], schemas.ROBOTS).write.parquet(p("robots"))
+    spark.createDataFrame([(r["url"], 404, r["url"], b"", False) for r in rows], schemas.FETCHES).write.parquet(p("fetches"))
+    main(["enrich", "--items", p("items.json"), "--robots", p("robots"), "--fetches", p("fetches"), "--out", p("enriched")], spark)
+    # nine of twelve were enriched before and are kept; the others' pages are gone
+    assert spark.read.parquet(p("enriched")).count() == 9
