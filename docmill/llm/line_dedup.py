@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bloom
 from docmill.llm.words import as_bytes
-from docmill.runtime import plan_bytes, written
+from docmill.runtime import bounded_batches, plan_bytes, written
 
 #: Confirmed keys (24 bytes each) up to which they are broadcast.
-MOST_BROADCAST_KEYS = 1 << 20
+MOST_BROADCAST_KEYS = 1 << 18
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -51,6 +51,7 @@ def _digest(key: bytes) -> bytes:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_keys: int = MOST_BROADCAST_KEYS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, plus ``n_lines`` (before) and ``n_dropped``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def hashes_of(batch):
