@@ -325,11 +325,11 @@ ORACLE_SQL = {
     "dedup_union": f"WITH {_ARTICLES}, {_DEDUP} SELECT ord AS doc_id, item_id, first[1] AS src, first[2] AS at FROM m",
     "new_items_anti": f"WITH {_ARTICLES} SELECT min(ord) AS doc_id, item_id FROM a WHERE item_id NOT IN (SELECT item_id FROM a WHERE n_chars >= 1000) GROUP BY item_id",
     "collection_summary": f"WITH {_ARTICLES} SELECT count(DISTINCT source) AS n_feeds, count(*) AS n_items, count(*) FILTER (title <> '' AND url <> '' AND content <> '') AS n_non_empty FROM a",
-    "retrieval_text": f"WITH {_ARTICLES} SELECT ord AS doc_id, length({_RETRIEVAL}) AS n, md5({_RETRIEVAL}) AS md5 FROM a",
+    "retrieval_text": f"WITH {_ARTICLES} SELECT ord AS doc_id, length({_RETRIEVAL})::INT AS n, md5({_RETRIEVAL}) AS md5 FROM a",
     "segment_ids": f"WITH {_ARTICLES} SELECT ord AS doc_id, 'SEG_' || trim(left(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), 40), '-') AS segment_id FROM a",
     "snippets": f"SELECT doc_id, array_to_string({_WORDS}[1:40], ' ') || '...' AS snippet, left(text, 150) || '...' AS preview FROM documents",
     "word_counts": f"SELECT doc_id, len({_WORDS})::INT AS n_words, round({_SECS}, 6) AS secs FROM documents",
-    "chunk_documents": f"WITH RECURSIVE {_ARTICLES}, {_DEDUP}, {_CHUNKS} SELECT item_id, chunk_index, chunk_count, char_end - length(text) AS char_start, char_end, md5(text) AS md5 FROM c",
+    "chunk_documents": f"WITH RECURSIVE {_ARTICLES}, {_DEDUP}, {_CHUNKS} SELECT item_id, chunk_index, chunk_count, (char_end - length(text))::INT AS char_start, char_end, md5(text) AS md5 FROM c",
     "chunk_stats": f"WITH RECURSIVE {_ARTICLES}, {_DEDUP}, {_CHUNKS} SELECT count(*) AS n_chunks, count(*) FILTER (chunk_index = 0) AS n_articles, max(chunk_count) AS most, sum(length(text))::BIGINT AS chars FROM c",
     "vector_topk": """
 WITH p AS (SELECT q.vec_id AS query_idx, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dense FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
