@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             keep = pa.array((100 + percent) * differ <= (100 - percent) * sizes)
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
 
-    near = written(pairs.join(side("u"), "u").join(side("v"), "v").where(room).select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(close, "u long, v long").distinct(), "near")
+    near = written(pairs.join(side("u"), "u").join(side("v"), "v").where(room).select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(close, "u long, v long"), "near")
     both = near.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
 
     def check(parts):
@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 out += [i for i in range(lo, hi) if linked(sets[i - lo], sets[hi - lo + i - lo], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in out], pa.int64()), pa.array([vs[i] for i in out], pa.int64())], names=["u", "v"])
 
-    links = written(both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long").distinct(), "verified")
+    links = written(both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "verified")
     for old in (pairs, ids, texts, maps, near):
         discard(old)
     tidy(docs.sparkSession)
@@ -249,20 +249,18 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     lists = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("o")).where(F.col("c") > 1), "lists")
     found = [posts.join(lists, "key").select("o", one.alias("x"))]
     inside = posts.join(small_enough(lists.where(F.col("c") > LONG_LIST).select("key", "c")), "key")
-    used = [lists]
-    for seed in (1, 2):
-        # two seeds deal a long list out differently, and differently from other lists
-        part = inside.withColumn("part", F.pmod(F.xxhash64("key", "rep", F.lit(seed)), F.ceil(F.col("c") / DIVISION)))
-        part = written(part.select("key", "part", "rep", "n", *MAPS), "divisions")
-        heads = written(part.groupBy("key", "part").agg(F.min(one).alias("o")), "heads")
-        found.append(part.join(heads, ["key", "part"]).select("o", one.alias("x")))
-        used += [part, heads]
+    # two seeds deal a long list out differently, and differently from other lists
+    seeds = inside.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2))))
+    part = seeds.withColumn("part", F.pmod(F.xxhash64("key", "rep", "seed"), F.ceil(F.col("c") / DIVISION)))
+    part = written(part.select("key", "seed", "part", "rep", "n", *MAPS), "divisions")
+    heads = written(part.groupBy("key", "seed", "part").agg(F.min(one).alias("o")), "heads")
+    found.append(part.join(heads, ["key", "seed", "part"]).select("o", one.alias("x")))
 
     def pairs(frame, a="o", b="x"):
         return frame.where((F.col(f"{a}.rep") < F.col(f"{b}.rep")) & _possible(a, b, percent)).select(F.col(f"{a}.rep").alias("u"), F.col(f"{b}.rep").alias("v")).distinct()
 
-    tested = written(pairs(found[0].unionByName(found[1]).unionByName(found[2])), "tested")
-    for old in used:
+    tested = written(pairs(found[0].unionByName(found[1])), "tested")
+    for old in (lists, part, heads):
         discard(old)
     tidy(spark)
     links = _verified(tested, docs, k, percent)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docmill.llm.graph import components
 from docmill.llm.line_dedup import line_dedup, op2_line_dedup
 from docmill.llm.ngram_join import boundary, least_difference, ngram_components, op7_ngram_join, parity_map, shingle_sets
 from docmill.llm.substring_dedup import op4_substring_dedup, substring_dedup
@@ -85,6 +86,20 @@ def test_small_sets(spark):
     assert rows(ngram_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.ngram_components(made), key=repr)
 
 
+@pytest.mark.parametrize("links_a_task", [1 << 16, 7])
+def test_components(spark, links_a_task):
+    """A long chain, a star, a ring, pairs and repeated links, joined in one task and in many."""
+    links = [(i, i + 1) for i in range(100, 160)] + [(900, 1000 + i) for i in range(40)] + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)] + [(7, 3), (3, 7), (5, 5), (-4, 3)]
+    up = {x: x for p in links for x in p}
+    for _ in links:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    table = spark.createDataFrame(links, "u long, v long").repartition(11)
+    got = {r.node: r.component for r in components(table, links_a_task).collect()}
+    assert got == {x: r for x, r in up.items() if x != 5}
+    assert components(table.where("1 = 0"), links_a_task).count() == 0
+
+
 def test_maps_bound_the_difference():
     a, b = shingle_sets([b" ".join(b"w%d" % k for k in range(900)), b" ".join(b"w%d" % k for k in range(40, 300))])
     assert 0 < least_difference(parity_map(a), parity_map(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
