@@ -5,7 +5,7 @@ k = floor((100 - percent) / 100 x L) word edits of the item.
 
 - An item within k edits leaves a run of q = floor((L - k) / (k + 1)) words untouched, so a document that leaks it holds one of
   its q-grams. Each such hit sets an item-sized window where the item would begin. This loses no leak.
-- The Chakraborty-Goldenberg-Koucky random walk maps window and item to strings of 3L words whose Hamming distance
+- The Chakraborty-Goldenberg-Koucky random walk maps window and item to strings of words whose Hamming distance
   follows the edit distance: step j writes the current word and moves on if a random bit of (j, word) is set.
 - LSH samples positions of the embedded strings; window and item become a candidate if they agree in all positions of one of many samples, over several
   walks. :func:`repetitions` gives the number of samples for the target recall at a given share of positions that differ.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.words import as_bytes, batches, hashed, mix, windows
+from docmill.runtime import bounded_batches
 
 WALKS, SAMPLED = 4, 2
 #: Items on the executors at once.
@@ -39,36 +40,36 @@ def repetitions(differ: float, target: float, sampled: int = SAMPLED) -> int:
     return math.ceil(math.log(1 - target) / math.log(1 - (1 - differ) ** sampled))
 
 
-def cgk(words: np.ndarray, walk: int, keep: np.ndarray) -> np.ndarray:
-    """The embedding of each row of ``words``, at the positions ``keep`` of 3L."""
+def cgk(words: np.ndarray, steps: int) -> np.ndarray:
+    """The embeddings of each row of ``words`` (padded by 0) by every walk: rows x walks x ``steps``. A walk past the end writes 0."""
     n, size = words.shape
     padded = np.hstack([words, np.zeros((n, 1), np.uint64)])
-    odd = mix(np.arange(3 * size, dtype=np.uint64) + np.uint64((walk + 1) << 32)) | np.uint64(1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out, wanted = np.zeros((n, len(keep)), np.uint64), {}
-    for k, p in enumerate(keep.tolist()):
-        wanted.setdefault(p, []).append(k)
-    for j in range(3 * size):
+    odd = mix(np.arange(WALKS * steps, dtype=np.uint64) + np.uint64(1 << 32)).reshape(steps, WALKS) | np.uint64(1)
+    at, rows = np.zeros((n, WALKS), np.int64), np.arange(n)[:, None]
+    out = np.empty((n, WALKS, steps), np.uint64)
+    for j in range(steps):
         now = padded[rows, at]
-        for k in wanted.get(j, ()):
-            out[:, k] = now
+        out[:, :, j] = now
         at = np.minimum(at + ((now * odd[j]) >> np.uint64(63)).astype(np.int64), size)
     return out
 
 
-def sketches(words: np.ndarray, repeat: int) -> np.ndarray:
-    """LSH keys of each row: for every walk, ``repeat / WALKS`` samples of positions."""
-    size, per = words.shape[1], -(-repeat // WALKS)
+def sketches(words: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
+    """LSH keys of each row: for every walk, ``repeat / WALKS`` samples of positions of the embedded string."""
+    per = -(-repeat // WALKS)
+    draw = mix(np.arange(WALKS * per * SAMPLED, dtype=np.uint64) + np.uint64(1 << 40)).reshape(1, WALKS, per * SAMPLED)
     out = []
-    for walk in range(WALKS):
-        # positions come from the first 2L: a walk of 3L steps ends near 3L / 2 words
-        drawn = mix(np.arange(per * SAMPLED, dtype=np.uint64) + np.uint64(((walk + 1) << 40) + size)) % np.uint64(2 * size)
-        found = cgk(words, walk, drawn.astype(np.int64)).reshape(len(words), per, SAMPLED)
-        key = np.zeros((len(words), per), np.uint64)
+    for lo in range(0, len(words), 1 << 11):
+        part = words[lo : lo + (1 << 11)]
+        # positions come from the first 3L / 2: a walk leaves the string near step 2L, and what it writes then says nothing
+        spread = np.maximum(1, 3 * sizes[lo : lo + (1 << 11)] // 2).astype(np.uint64)[:, None, None]
+        found = np.take_along_axis(cgk(part, max(1, 3 * part.shape[1] // 2)), (draw % spread).astype(np.int64), 2)
+        found = found.reshape(len(part), WALKS, per, SAMPLED)
+        key = np.zeros((len(part), WALKS, per), np.uint64)
         for s in range(SAMPLED):
-            key = mix(key + found[:, :, s])
-        out.append(key)
-    return np.hstack(out)
+            key = mix(key + found[:, :, :, s])
+        out.append(key.reshape(len(part), -1))
+    return np.concatenate(out) if out else np.zeros((0, WALKS * per), np.uint64)
 
 
 def edit_search(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -96,11 +97,16 @@ def edit_search(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+def lowered(texts: list[bytes]) -> list[bytes]:
+    """Texts in lower case, also beyond ASCII (whose letters are lower-cased when hashed)."""
+    return [t if t.isascii() else t.decode().lower().encode() for t in texts]
+
+
 class Items:
     """A block of items with their q-grams and LSH keys."""
 
     def __init__(self, ids: list[int], texts: list[bytes], percent: int, least_words: int, target: float):
-        words, offsets = hashed(texts, lower=True, alnum=True)
+        words, offsets = hashed(lowered(texts), lower=True, alnum=True)
         self.ids, self.words, self.k, self.keys = [], [], [], []
         grams: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         repeat = repetitions(0.6, target)
@@ -115,22 +121,26 @@ class Items:
             self.ids.append(item_id)
             self.words.append(own)
             self.k.append(k)
-            self.keys.append(sketches(own[None, :], repeat)[0])
+            self.keys.append(sketches(own[None, :], np.array([len(own)]), repeat)[0])
         self.repeat = repeat
         self.grams = {}
         for q, parts in grams.items():
             g, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(g, kind="stable")
-            self.grams[q] = g[order], item[order], offset[order]
+            known = np.zeros(1 << 20, bool)
+            known[(g >> np.uint64(44)).astype(np.int64)] = True
+            self.grams[q] = g[order], item[order], offset[order], known
 
     def seeds(self, words: np.ndarray, doc: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Rows (position where the item would begin, item, document), distinct."""
         found = []
-        for q, (g, item, offset) in self.grams.items():
+        for q, (g, item, offset, known) in self.grams.items():
             at = np.flatnonzero(left >= q)
             if not len(at):
                 continue
             h = windows(words, q)[at]
+            maybe = known[(h >> np.uint64(44)).astype(np.int64)]
+            at, h = at[maybe], h[maybe]
             lo = np.searchsorted(g, h)
             at, lo, h = (x[g[np.minimum(lo, len(g) - 1)] == h] for x in (at, lo, h))
             n = np.searchsorted(g, h, "right") - lo
@@ -141,37 +151,38 @@ class Items:
 
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, first word) for each leak, the best place of each."""
-        words, offsets = hashed(texts, lower=True, alnum=True)
+        words, offsets = hashed(lowered(texts), lower=True, alnum=True)
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
         seeds = self.seeds(words, doc, offsets[doc + 1] - np.arange(len(words)))
-        sizes = np.array([len(w) for w in self.words])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for size in np.unique(sizes[seeds[:, 1]]) if len(seeds) else ():
-            mine = seeds[sizes[seeds[:, 1]] == size]
-            keys = np.stack([self.keys[i] for i in range(len(self.ids)) if sizes[i] == size])
-            place = np.cumsum(sizes == size) - 1
-            for lo in range(0, len(mine), 1 << 14):
-                part = mine[lo : lo + (1 << 14)]
-                spread = part[:, :1] + np.arange(size)
-                inside = (spread >= offsets[part[:, 2]][:, None]) & (spread < offsets[part[:, 2] + 1][:, None])
-                cut = np.where(inside, words[np.clip(spread, 0, len(words) - 1)], np.uint64(0))
-                hit = (sketches(cut, self.repeat) == keys[place[part[:, 1]]]).any(1)
-                for start, item, d in part[hit].tolist():
-                    k = self.k[item]
-                    first = max(int(offsets[d]), start - k)
-                    stretch = words[first : min(int(offsets[d + 1]), start + int(size) + k)].tolist()
-                    distance, end = edit_search(self.words[item].tolist(), stretch)
-                    if distance <= k:
-                        # where a stretch of this distance begins, read backwards
-                        back = edit_search(self.words[item].tolist()[::-1], stretch[:end][::-1])[1]
-                        now = (distance, first + end - back - int(offsets[d]))
-                        best[d, item] = min(best.get((d, item), now), now)
+        if not len(seeds):
+            return []
+        keys, all_sizes = np.stack(self.keys), np.array([len(w) for w in self.words])
+        for lo in range(0, len(seeds), 1 << 14):
+            part = seeds[lo : lo + (1 << 14)]
+            sizes = all_sizes[part[:, 1]]
+            column = np.arange(sizes.max())
+            spread = part[:, :1] + column
+            inside = (column < sizes[:, None]) & (spread >= offsets[part[:, 2]][:, None]) & (spread < offsets[part[:, 2] + 1][:, None])
+            cut = np.where(inside, words[np.clip(spread, 0, len(words) - 1)], np.uint64(0))
+            hit = (sketches(cut, sizes, self.repeat) == keys[part[:, 1]]).any(1)
+            for start, item, d in part[hit].tolist():
+                k, own = self.k[item], self.words[item].tolist()
+                first = max(int(offsets[d]), start - k)
+                stretch = words[first : min(int(offsets[d + 1]), start + len(own) + k)].tolist()
+                distance, end = edit_search(own, stretch)
+                if distance <= k:
+                    # where a stretch of this distance begins, read backwards
+                    back = edit_search(own[::-1], stretch[:end][::-1])[1]
+                    now = (distance, first + end - back - int(offsets[d]))
+                    best[d, item] = min(best.get((d, item), now), now)
         return [(d, item, *v) for (d, item), v in sorted(best.items())]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least_words: int = 5, target: float = 0.999, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, distance, first_word): each document and item it leaks, once."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     blocks = max(1, math.ceil(items.count() / block))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -184,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, leas
             for batch in parts:
                 texts, ids = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
                 rows = []
-                for lo, hi in batches(texts):
+                for lo, hi in batches(texts, 1 << 22):
                     rows += [(ids[lo + d], shared.value.ids[i], distance, first) for d, i, distance, first in shared.value.leaks(texts[lo:hi])]
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "first_word"])
