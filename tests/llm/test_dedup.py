@@ -108,3 +108,12 @@ def test_maps_bound_the_difference():
 
 def test_boundary_follows_cost():
     assert boundary(1.0, 80) < boundary(3.0, 80) < boundary(6.0, 80)
+
+
+def test_large_ids_beside_null_ones(spark):
+    """Ids that doubles can't hold, in one batch with a null id."""
+    text = " ".join(f"w{k}" for k in range(80))
+    made = [(2**60 + 1, text + " a"), (2**60 + 2, text + " b"), (None, text), (2**60 + 3, "x " + text)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    assert rows(substring_dedup(docs), "doc_id", "n_words", "n_removed", "text") == sorted(brute.substring_dedup(made), key=repr)
+    assert rows(ngram_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.ngram_components(made), key=repr)
