@@ -1,5 +1,6 @@
 import json
 import math
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -19,18 +20,19 @@ from docmill.operators.vector import check_dimension, embedded, vector_top_k
 DAY = datetime(2024, 1, 31)
 
 
-def chunk_brute(text, size=1600, back=240):
-    """The chunk rule in plain Python."""
-    if len(text) <= size:
-        return [text]
-    out, at = [], 0
-    while at < len(text):
-        end, piece = at + size, text[at : at + size]
-        if end < len(text) and (cut := max(piece.rfind(". "), piece.rfind("\n"))) > size * 0.7:
-            end, piece = at + cut + 1, piece[: cut + 1]
-        out.append(piece.strip())
-        at = end - back
-    return out
+def chunk_brute(text):
+    """The chunk rule in plain Python: 1600 characters, 240 of them again, a break counts from 1121 on."""
+
+    def pieces(at):
+        if at >= len(text):
+            return
+        inner = at + 1600 < len(text)
+        breaks = [m.start() for m in re.finditer(r"\.(?= )|\n", text[at : at + 1600]) if m.start() > 1120 and (m[0] != "." or m.start() < 1599)]
+        size = breaks[-1] + 1 if inner and breaks else 1600
+        yield text[at : at + size].strip()
+        yield from pieces(at + size - 240)
+
+    return list(pieces(0)) if len(text) > 1600 else [text]
 
 
 @pytest.mark.parametrize(("n", "sizes"), [(1600, [1600]), (1601, [1600, 241]), (2959, [1600, 1599, 239]), (2960, [1600, 1600, 240]), (2961, [1600, 1600, 241]), (3000, [1600, 1600, 280])])
