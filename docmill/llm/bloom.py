@@ -59,10 +59,10 @@ def _segments(hashes: np.ndarray, bits: int, probes: int) -> Iterator[tuple[int,
 _SCHEMA = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
-def build(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, probes: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(once, twice) filters of the hashes that ``hashes_of`` yields for each Arrow batch of ``table``.
+def build(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, which: str = "twice", probes: int = 2) -> np.ndarray:
+    """The filter (``once`` or ``twice``) of the hashes that ``hashes_of`` yields for each Arrow batch of ``table``.
 
-    A hash counts as often as it is yielded. The filters have ``bits`` bits each, whatever the table's size.
+    A hash counts as often as it is yielded. The filter has ``bits`` bits, whatever the table's size.
     """
 
     def partial(batches):
@@ -104,13 +104,12 @@ def build(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.nd
 
     schema = "segment int, once binary, twice binary"
     merged = table.mapInArrow(partial, schema).repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, schema)
-    filters = np.zeros((2, bits // 8), np.uint8)
-    for row in merged.toLocalIterator():
+    out = np.zeros(bits // 8, np.uint8)
+    for row in merged.select("segment", which).toLocalIterator():
         lo = row["segment"] * SEGMENT // 8
-        for k, c in enumerate(("once", "twice")):
-            piece = np.frombuffer(zlib.decompress(bytes(row[c])), np.uint8)
-            filters[k, lo : lo + len(piece)] = piece
-    return filters[0], filters[1]
+        piece = np.frombuffer(zlib.decompress(bytes(row[which])), np.uint8)
+        out[lo : lo + len(piece)] = piece
+    return out
 
 
 def contains_one(packed: np.ndarray, hashed: int, probes: int = 2) -> bool:

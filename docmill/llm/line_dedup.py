@@ -62,8 +62,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
 
     # a key takes 40 bytes of text at least; the files are about half the size of the texts
     bits = bloom.bits_for(plan_bytes(slim) / 20, 8)
-    _, twice = bloom.build(slim, hashes_of, bits)
-    seen = spark.sparkContext.broadcast(twice)
+    seen = spark.sparkContext.broadcast(bloom.build(slim, hashes_of, bits))
 
     def suspects(batches):
         for batch in batches:

@@ -218,7 +218,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     bound = boundary(mean_list, percent)
     order = spark.sparkContext.broadcast(levels)
     # about one shingle for four bytes of a file
-    twice = spark.sparkContext.broadcast(bloom.build(base, lambda batch: (own for _, own in sets_of(batch)), bloom.bits_for(plan_bytes(docs.select("text")) * 0.26))[1])
+    twice = spark.sparkContext.broadcast(bloom.build(base, lambda batch: (own for _, own in sets_of(batch)), bloom.bits_for(plan_bytes(docs.select("text")) * 0.26)))
     tidy(spark)
 
     def keys_of(batch):

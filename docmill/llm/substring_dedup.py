@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docmill.llm import bloom
 from docmill.llm.copies import classes_of, fingerprints, with_copy_marks
 from docmill.llm.words import as_bytes, batches, hashed, sequence, signed, windows
-from docmill.runtime import bounded_batches, plan_bytes, written
+from docmill.runtime import bounded_batches, plan_bytes
 
 
 class _Part:
@@ -112,7 +112,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         for _, _, part in _parts(batch, window):
             yield part.blocks(block)
 
-    indexed = spark.sparkContext.broadcast(bloom.build(base, index, bloom.bits_for(estimate * 0.02))[0])
+    indexed = spark.sparkContext.broadcast(bloom.build(base, index, bloom.bits_for(estimate * 0.02), "once"))
 
     def probes(batch):
         for _, _, part in _parts(batch, window):
@@ -123,11 +123,11 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
             first[1:] = (h[1:] != h[:-1]) | (part.doc[s[1:]] != part.doc[s[:-1]])
             yield h[first]
 
-    anchors = spark.sparkContext.broadcast(bloom.build(base, probes, bloom.bits_for(estimate * 0.06, 8))[1])
+    anchors = spark.sparkContext.broadcast(bloom.build(base, probes, bloom.bits_for(estimate * 0.06, 8)))
 
     def extended(parts):
         for batch in parts:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             for lo, _, part in _parts(batch, window):
                 s, h = part.around(block, indexed.value, anchors.value)
                 if len(s):
