@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.words import as_bytes, batches, hashed
+from docmill.runtime import bounded_batches
 
 #: Rows of the labelled sample on which the model is fitted, and features it may keep.
 SAMPLE = 8192
@@ -226,6 +227,7 @@ def hash_of(text: bytes) -> int:
 
 def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
     """``docs`` with ``severity`` (expected grade) and ``toxic_probability``; columns so named are replaced."""
+    bounded_batches(docs.sparkSession)
     added = ("severity", "toxic_probability")
     own = [f for f in docs.schema if f.name not in added]
     spec = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own)
