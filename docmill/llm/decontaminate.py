@@ -4,7 +4,8 @@ Words are lower-cased runs of letters and digits. A document leaks an item of L
 k = floor((100 - percent) / 100 x L) word edits of the item.
 
 - An item within k edits leaves a run of q = floor((L - k) / (k + 1)) words untouched, so a document that leaks it holds one of
-  its q-grams. Each such hit sets an item-sized window where the item would begin. This loses no leak.
+  its q-grams. Each such hit sets an item-sized window where the item would begin, which may be before the document does; words of no
+  item stand in for what is not there. This loses no leak.
 - The Chakraborty-Goldenberg-Koucky random walk maps window and item to strings of words whose Hamming distance
   follows the edit distance: step j writes the current word and moves on if a random bit of (j, word) is set.
 - LSH samples positions of the embedded strings; window and item become a candidate if they agree in all positions of one of many samples, over several
@@ -163,8 +164,10 @@ class Items:
             sizes = all_sizes[part[:, 1]]
             column = np.arange(sizes.max())
             spread = part[:, :1] + column
-            inside = (column < sizes[:, None]) & (spread >= offsets[part[:, 2]][:, None]) & (spread < offsets[part[:, 2] + 1][:, None])
-            cut = np.where(inside, words[np.clip(spread, 0, len(words) - 1)], np.uint64(0))
+            early = spread < offsets[part[:, 2]][:, None]
+            inside = (column < sizes[:, None]) & ~early & (spread < offsets[part[:, 2] + 1][:, None])
+            # before the document's first word, each place has its own word: a walk doesn't move off a 0
+            cut = np.where(inside, words[np.clip(spread, 0, len(words) - 1)], np.where(early, mix(column + (1 << 48)), np.uint64(0)))
             hit = (sketches(cut, sizes, self.repeat) == keys[part[:, 1]]).any(1)
             for start, item, d in part[hit].tolist():
                 k, own = self.k[item], self.words[item].tolist()

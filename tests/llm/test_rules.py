@@ -244,6 +244,16 @@ def test_contamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == set(got)
 
 
+@pytest.mark.parametrize("size", [10, 20, 40, 80])
+def test_leaks_at_the_start_of_a_text_without_first_words(size):
+    rng = np.random.default_rng(size)
+    items = [" ".join(f"i{k}" for k in rng.integers(0, 5000, size)) for _ in range(20)]
+    block = Items(list(range(20)), [x.encode() for x in items], 80, 5, 0.999)
+    for gone in (1, 2):
+        made = [" ".join(x.split()[gone:] + [f"d{k}" for k in rng.integers(0, 5000, 60)]).encode() for x in items]
+        assert {(d, i, e) for d, i, e, _ in block.leaks(made)} >= {(d, d, gone) for d in range(20)}
+
+
 def test_contamination_nothing(spark, nothing, edge):
     items = spark.createDataFrame([], "item_id long, text string")
     assert contamination(edge, items).count() == 0
