@@ -8,9 +8,12 @@ k = floor((100 - percent) / 100 x L) word edits of the item.
   item stand in for what is not there. This loses no leak.
 - The Chakraborty-Goldenberg-Koucky random walk maps window and item to strings of words whose Hamming distance
   follows the edit distance: step j writes the current word and moves on if a random bit of (j, word) is set.
-- LSH samples positions of the embedded strings; window and item become a candidate if they agree in all positions of one of many samples, over several
-  walks. :func:`repetitions` gives the number of samples for the target recall at a given share of positions that differ.
-- A candidate counts only if the exact edit distance, to the best stretch around the window, is k or less.
+- Windows are left out only by an exact bound: a stretch at distance e holds at least L - e words of the item. The bound is taken over the
+  window and k words on both sides, which hold any leak through the hit.
+- LSH samples positions of the embedded strings; windows that agree with their item in all positions of one of many samples, over several
+  walks, are verified first. The share of positions that differ grows with k, so samples can't be trusted to propose every leak of a long
+  item: all other windows that pass the bound are verified too, unless the bound shows them to be worse than what was found.
+- A window counts only if the exact edit distance, to the best stretch around it, is k or less. So the result is exact.
 
 The items are the query set: they are brought to the executors in blocks of ``block`` items, and all documents are held against each
 block in one pass, without a shuffle of texts.
@@ -124,6 +127,8 @@ class Items:
             self.k.append(k)
             self.keys.append(sketches(own[None, :], np.array([len(own)]), repeat)[0])
         self.repeat = repeat
+        # which words are whose: sorted hashes of (item, word)
+        self.own = np.unique(np.concatenate([mix(w + mix(np.array([i], np.uint64))) for i, w in enumerate(self.words)])) if self.words else np.zeros(0, np.uint64)
         self.grams = {}
         for q, parts in grams.items():
             g, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -150,6 +155,24 @@ class Items:
             found.append(np.stack([at - offset[pick], item[pick], doc[at]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def held(self, words: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """How many words around each seeded window are words of its item: at most so many can be matched."""
+        sizes, k = np.array([len(w) for w in self.words])[seeds[:, 1]], np.array(self.k)[seeds[:, 1]]
+        first = np.maximum(offsets[seeds[:, 2]], seeds[:, 0] - k)
+        n = np.minimum(offsets[seeds[:, 2] + 1], seeds[:, 0] + sizes + k) - first
+        out, ends = np.zeros(len(seeds), np.int64), np.cumsum(n)
+        lo = 0
+        while lo < len(seeds):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20))))
+            m = n[lo:hi]
+            row = np.repeat(np.arange(hi - lo), m)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + first[lo:hi][row]
+            key = mix(words[at] + mix(seeds[lo:hi, 1].astype(np.uint64))[row])
+            found = self.own[np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)] == key
+            out[lo:hi] = np.bincount(row[found], minlength=hi - lo)
+            lo = hi
+        return out
+
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, first word) for each leak, the best place of each."""
         words, offsets = hashed(lowered(texts), lower=True, alnum=True)
@@ -158,7 +181,11 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(seeds):
             return []
-        keys, all_sizes = np.stack(self.keys), np.array([len(w) for w in self.words])
+        keys, all_sizes, limits = np.stack(self.keys), np.array([len(w) for w in self.words]), np.array(self.k)
+        held = self.held(words, offsets, seeds)
+        enough = held >= (all_sizes - limits)[seeds[:, 1]]
+        seeds, held = seeds[enough], held[enough]
+        hit = np.zeros(len(seeds), bool)
         for lo in range(0, len(seeds), 1 << 14):
             part = seeds[lo : lo + (1 << 14)]
             sizes = all_sizes[part[:, 1]]
@@ -168,17 +195,20 @@ class Items:
             inside = (column < sizes[:, None]) & ~early & (spread < offsets[part[:, 2] + 1][:, None])
             # before the document's first word, each place has its own word: a walk doesn't move off a 0
             cut = np.where(inside, words[np.clip(spread, 0, len(words) - 1)], np.where(early, mix(column + (1 << 48)), np.uint64(0)))
-            hit = (sketches(cut, sizes, self.repeat) == keys[part[:, 1]]).any(1)
-            for start, item, d in part[hit].tolist():
-                k, own = self.k[item], self.words[item].tolist()
-                first = max(int(offsets[d]), start - k)
-                stretch = words[first : min(int(offsets[d + 1]), start + len(own) + k)].tolist()
-                distance, end = edit_search(own, stretch)
-                if distance <= k:
-                    # where a stretch of this distance begins, read backwards
-                    back = edit_search(own[::-1], stretch[:end][::-1])[1]
-                    now = (distance, first + end - back - int(offsets[d]))
-                    best[d, item] = min(best.get((d, item), now), now)
+            hit[lo : lo + (1 << 14)] = (sketches(cut, sizes, self.repeat) == keys[part[:, 1]]).any(1)
+        order = np.argsort(~hit, kind="stable")
+        for (start, item, d), n in zip(seeds[order].tolist(), held[order].tolist(), strict=True):
+            k, own = self.k[item], self.words[item].tolist()
+            if (d, item) in best and len(own) - n > best[d, item][0]:
+                continue
+            first = max(int(offsets[d]), start - k)
+            stretch = words[first : min(int(offsets[d + 1]), start + len(own) + k)].tolist()
+            distance, end = edit_search(own, stretch)
+            if distance <= k:
+                # where a stretch of this distance begins, read backwards
+                back = edit_search(own[::-1], stretch[:end][::-1])[1]
+                now = (distance, first + end - back - int(offsets[d]))
+                best[d, item] = min(best.get((d, item), now), now)
         return [(d, item, *v) for (d, item), v in sorted(best.items())]
 
 

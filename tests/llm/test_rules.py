@@ -254,6 +254,24 @@ def test_leaks_at_the_start_of_a_text_without_first_words(size):
         assert {(d, i, e) for d, i, e, _ in block.leaks(made)} >= {(d, d, gone) for d in range(20)}
 
 
+@pytest.mark.parametrize("size", [59, 100, 200, 400])
+@pytest.mark.parametrize("kinds", [[0], [1], [0, 1, 2]], ids=["deletions", "substitutions", "mixed"])
+def test_leaks_at_the_edit_limit(size, kinds):
+    rng = np.random.default_rng(size)
+    say = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    items = [say(size) for _ in range(30)]
+    block = Items(list(range(30)), [" ".join(x).encode() for x in items], 80, 5, 0.999)
+    made, k = [], size // 5
+    for x in items:
+        copy = list(x)
+        for at in sorted(rng.choice(size, k, replace=False).tolist(), reverse=True):
+            kind = int(rng.choice(kinds))
+            copy[at : at + 1] = [] if kind == 0 else ["z"] if kind == 1 else [copy[at], "y"]
+        made.append(say(30) + copy + say(30))
+    got = {(d, i): e for d, i, e, _ in block.leaks([" ".join(x).encode() for x in made])}
+    assert got == {(d, d): edit_brute(items[d], made[d]) for d in range(30)} and max(got.values()) <= k
+
+
 def test_contamination_nothing(spark, nothing, edge):
     items = spark.createDataFrame([], "item_id long, text string")
     assert contamination(edge, items).count() == 0
