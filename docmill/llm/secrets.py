@@ -5,6 +5,11 @@ decoded and reported only if what they hold parses: a DER private key whose nest
 private key whose length-prefixed fields fill it, or a signed token whose header and payload are JSON objects with an
 algorithm named. Spans are in code points, the end exclusive.
 
+- Base64 in lines is joined: a key may begin with any line of a block, and its own lengths say with which line it must end.
+- Decoded base64 may also hold a file in PEM armour, wherever in it; then the whole run or block is the span.
+- Armour may have header lines. With ``Proc-Type: 4,ENCRYPTED`` the body is a ciphertext, which must fill whole blocks of the cipher of ``DEK-Info``.
+- Lines of a key inside armour are not reported again.
+
 Edge cases: null and empty text have no spans. Rows are judged one by one, so repeated rows repeat. Very long texts
 are scanned whole, in time linear in their length for the patterns used.
 """
@@ -31,9 +36,14 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
 _HEX_ANY = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
-_BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+_BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_RUN = re.compile(rb"[A-Za-z0-9+/_-]+")
+#: Base64 of '-----BEGIN ' at the three places it can have in a group of three bytes.
+_ARMOUR = re.compile(rb"LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
 _TOKEN = re.compile(rb"(?<![A-Za-z0-9_.-])e[w-z0-9_-][A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[ \t]*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+\r?\n)*+)([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+_ENCRYPTED = re.compile(rb"^[ \t]*Proc-Type:[ \t]*4,[ \t]*ENCRYPTED", re.MULTILINE)
+_CIPHER = re.compile(rb"^[ \t]*DEK-Info:[ \t]*([A-Za-z0-9-]+),[ \t]*((?:[0-9A-Fa-f]{2}){8,16})[ \t\r]*$", re.MULTILINE)
 
 
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
@@ -100,11 +110,11 @@ def is_der_private_key(data: bytes) -> bool:
     return len(tags) == 2 and algorithm(parts[0]) and tags[1] == 0x04
 
 
-def is_openssh_private_key(data: bytes) -> bool:
-    """The fixed magic, then cipher, kdf and options as length-prefixed fields, a count, and that many public keys and one private part."""
+def openssh_size(data: bytes) -> int | None:
+    """The length of the OpenSSH private key that ``data`` begins with: the fixed magic, then cipher, kdf and options as length-prefixed fields, a count, and that many public keys and one private part."""
     magic, at = b"openssh-key-v1\x00", 15
     if not data.startswith(magic):
-        return False
+        return None
 
     def field(at):
         if at + 4 > len(data):
@@ -114,16 +124,28 @@ def is_openssh_private_key(data: bytes) -> bool:
 
     for _ in range(3):
         if (at := field(at)) is None:
-            return False
+            return None
     if at + 4 > len(data):
-        return False
+        return None
     count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= count <= 16:
-        return False
+        return None
     for _ in range(count + 1):
         if (at := field(at)) is None:
-            return False
-    return at == len(data)
+            return None
+    return at
+
+
+def is_openssh_private_key(data: bytes) -> bool:
+    return openssh_size(data) == len(data)
+
+
+def der_size(head: bytes) -> int | None:
+    """The length that the DER sequence whose first bytes are ``head`` says it has."""
+    if len(head) < 6 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+        return None
+    n = head[1] & 0x7F if head[1] > 0x80 else 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
 
 def _decoded(run: bytes) -> bytes | None:
@@ -151,16 +173,71 @@ def is_signed_token(run: bytes) -> bool:
     return isinstance((_object(header) or {}).get("alg"), str) and _object(payload) is not None and (signature == b"" or _decoded(signature) is not None)
 
 
+def pem_spans(text: bytes) -> list[tuple[int, int]]:
+    """Spans of private keys in PEM armour."""
+    found = []
+    for m in _PEM.finditer(text):
+        data = _decoded(b"".join(m[3].split()))
+        if _ENCRYPTED.search(m[2]):
+            cipher = _CIPHER.search(m[2])
+            if data and cipher and len(data) % (len(cipher[2]) // 2) == 0:
+                found.append((m.start(), m.end()))
+        elif _is_key(data):
+            found.append((m.start(), m.end()))
+    return found
+
+
+def _holds_armour(run: bytes) -> bool:
+    # the last characters may be other text, which leaves a group of four unfilled
+    data = _decoded(run if len(run) % 4 != 1 else run[:-1]) or b""
+    return b"-----BEGIN" in data and bool(pem_spans(data))
+
+
+def base64_spans(text: bytes) -> list[tuple[int, int]]:
+    """Spans of base64 runs, in one line or several, that hold a private key."""
+    found = []
+    for m in _BASE64.finditer(text):
+        runs = [(r.start(), r.end()) for r in _RUN.finditer(text, m.start(), m.end())]
+        parts = [text[a:b] for a, b in runs]
+        joined = b"".join(parts)
+        begins = [0]
+        for x in parts:
+            begins.append(begins[-1] + len(x))
+        line_at = {x: i for i, x in enumerate(begins)}
+        # padding belongs to the last line
+        ends = [*(b for _, b in runs[:-1]), m.end()]
+        armour, done = bool(_ARMOUR.search(joined)), -1
+        for i, x in enumerate(parts):
+            if i <= done or len(x) < 32:
+                continue
+            size = None
+            if x[:1] == b"M":
+                size = der_size(_decoded(x[:32]) or b"")
+            elif x.startswith(b"b3BlbnNzaC1rZXktdjE"):
+                rest = joined[begins[i] :]
+                size = openssh_size(_decoded(rest) or _decoded(rest[: len(rest) // 4 * 4]) or b"")
+            if size is not None:
+                last = line_at.get(begins[i] + size // 3 * 4 + (0, 2, 3)[size % 3], 0) - 1
+                if last >= i and _is_key(_decoded(joined[begins[i] : begins[last + 1]])):
+                    found.append((runs[i][0], ends[last]))
+                    done = last
+            elif armour and (i == 0 or x.startswith(b"LS0tLS1CRUdJTi")):
+                # a last line that isn't needed is other text
+                last = next((k for k in range(max(i, len(parts) - 2), len(parts)) if _holds_armour(joined[begins[i] : begins[k + 1]])), -1)
+                if last >= 0:
+                    found.append((runs[i][0], ends[last]))
+                    done = last
+    return found
+
+
 def confirmed_spans(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes of encoded keys and signed tokens whose structure parses."""
     found = []
     if b"-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            if _is_key(_decoded(b"".join(m[2].split()))):
-                found.append(("pem", m.start(), m.end()))
+        found += [("pem", a, b) for a, b in pem_spans(text)]
     if b".e" in text or b".Im" in text:
         found += [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-    found += [("key", m.start(), m.end()) for m in _BASE64.finditer(text) if m[0][:1] in b"MLb" and _is_key(_decoded(m[0]))]
+    found += [("key", a, b) for a, b in base64_spans(text) if not (b"\n" in text[a:b] and any(lo <= a and b <= hi for k, lo, hi in found if k == "pem"))]
     for m in _HEX_ANY.finditer(text):
         if _is_key(bytes.fromhex(m[0].decode())):
             found.append(("key", m.start(), m.end()))

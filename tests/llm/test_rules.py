@@ -156,6 +156,32 @@ def test_structure_confirms_secrets(spark):
     assert not any({"pem", "key", "token"} & {s.split(":")[0] for s in spans[i].split(",")} for i in bad)
 
 
+def test_keys_in_lines_inside_base64_and_under_headers(spark):
+    wrap = lambda x, n, end="\n": end.join(x[i : i + n] for i in range(0, len(x), n))
+    b64 = lambda x: base64.b64encode(x).decode()
+    key, ssh, body = b64(rsa_key()), b64(openssh_key()), b64(bytes(range(160)))
+    whole = b64(der(0x30, der(2, b"\0") + b"".join(der(2, bytes(range(1, 10))) for _ in range(7)) + der(2, bytes(range(12)))))
+    armour = lambda x, head="": f"-----BEGIN RSA PRIVATE KEY-----\n{head}{x}\n-----END RSA PRIVATE KEY-----\n"
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,000102030405060708090A0B0C0D0E0F\n\n"
+    file = b64(armour(wrap(key, 64)).encode())
+    assert "=" not in whole and len(whole) % 32 == 0
+    good = {
+        1: ("é ", wrap(key, 64), "\nmore text", "key"), 2: ("", wrap(key, 76, "\r\n"), "", "key"), 3: ("k:\n", wrap(ssh, 70), "", "key"), 4: ("a\n", wrap(whole, 32), "\nnext words", "key"),
+        5: ("x ", file, " y", "key"), 6: ("x\n", wrap(file, 76), "\ny z", "key"), 7: ("", armour(wrap(body, 64), locked).strip(), "", "pem"), 8: ("", armour(wrap(key, 64), "Comment: mine\n\n").strip(), "", "pem"),
+        9: ("", b64(b"notes\n" + armour(wrap(key, 64)).encode()), "", "key"), 10: ("", wrap(whole, 32) + "\n" + wrap(key, 64), "", None),
+    }
+    broken = b64(rsa_key()[:-3])
+    bad = {21: wrap(broken, 64), 22: b64(armour(broken).encode()), 23: armour(wrap(body[:-4], 64), locked), 24: wrap(body, 64), 25: armour(body, "Comment: x\n\n"), 26: wrap("MII" + "A" * 4000, 64)}
+    docs = spark.createDataFrame([(i, a + b + c) for i, (a, b, c, _) in good.items()] + list(bad.items()), "doc_id long, text string")
+    spans = {r.doc_id: [x for x in r.spans.split(",") if x.split(":")[0] in ("pem", "key", "token")] for r in secret_scan(docs).collect()}
+    for i, (a, b, _, kind) in good.items():
+        if kind:
+            assert spans[i] == [f"{kind}:{len(a)}:{len(a) + len(b)}"], i
+    first = len(wrap(whole, 32))
+    assert spans[10] == [f"key:0:{first}", f"key:{first + 1}:{first + 1 + len(wrap(key, 64))}"]
+    assert not any(spans[i] for i in bad)
+
+
 def test_secrets_nothing(nothing, edge):
     assert secret_scan(nothing).count() == 0 and secret_scan(edge).count() == edge.count()
 
