@@ -2,12 +2,13 @@
 
 A line's key is a hash of the line without white space at its ends, lower-cased, its inner white space made single
 spaces. A host's line is too frequent if more than ``max(min_docs, share x documents of the host)`` documents of the host
-hold it. Such lines go; a document that loses more than half of its lines' characters (each distinct line once) is
-depleted and not kept, nor is one that fails the base rules.
+hold it. Such lines go, wherever they stand in the text, and the others stay as they are; a document that loses more than half
+of its lines' characters (each distinct line once) is depleted and not kept, nor is one that fails the base rules.
 
-The texts are read once: statistics and line keys go to a slim written table with a row number, and all counting, joining and
+The texts are read once: statistics, line keys and text go to a written table with a row number, and all counting, joining and
 summing is done on that. Counts of (host, line) and sums by document combine on both sides of their shuffles; the frequent
-lines are broadcast only if counted to be few.
+lines are broadcast only if counted to be few. A document's own frequent lines are brought to its row, and texts go through that
+join only if the caller reads column ``text``.
 
 Edge cases: null text is empty, and has no words and no line with a word; such documents fail the base rules. A null host is a
 host of its own. Every row is a document, also with a repeated or null id. An empty table gives an empty table.
@@ -23,6 +24,7 @@ from docmill.runtime import small_enough, written
 _BLANK = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
+COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "frequent_chars")
 
 
 def words_of(text: Column) -> Column:
@@ -30,6 +32,10 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
 
 
+def _normal(line: Column) -> Column:
+    return F.regexp_replace(F.lower(F.btrim(line, F.lit(_BLANK))), "[ \\t-\\r]+", " ")
+
+
 def _repeats(words: Column, hashes: Column, n: Column) -> Column:
     """How many words lie in 3-word windows that occur twice or more. Windows are sorted by hash, so equal ones are neighbours."""
     numbered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -47,7 +53,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     out = out.withColumn("hashes", F.transform(starts, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
     with_word = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     out = out.withColumn("lines", with_word)
-    normal = F.array_distinct(F.transform("lines", lambda x: F.regexp_replace(F.lower(F.btrim(x, F.lit(_BLANK))), "[ \\t-\\r]+", " ")))
+    normal = F.array_distinct(F.transform("lines", _normal))
     return out.select(
         *docs.columns,
         "n_words",
@@ -60,25 +66,27 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.005) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_chars, frequent_chars, kept) of every row."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_chars, frequent_chars, kept, text) of every row, ``text`` without the frequent lines."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("h"), F.col(f"`{host}`").cast("string")), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = written(text_statistics(slim).drop("text").withColumn("row", F.monotonically_increasing_id()), "statistics")
+    table = written(text_statistics(slim).withColumn("row", F.monotonically_increasing_id()), "statistics")
     lines = table.select("row", "host", F.explode("keys").alias("k")).select("row", "host", "k.h", "k.c")
     # a document's keys are distinct, so rows are documents
     counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     counts = written(counts, "line-counts")
     hosts = written(table.groupBy("host").agg(F.count(F.lit(1)).alias("docs")), "hosts")
     frequent = written(counts.join(small_enough(hosts), "host").where(F.col("n") > F.lit(share) * F.col("docs")).select("host", "h"), "frequent")
-    lost = lines.join(small_enough(frequent), ["host", "h"]).groupBy("row").agg(F.sum("c").alias("frequent_chars"))
+    lost = lines.join(small_enough(frequent), ["host", "h"]).groupBy("row").agg(F.sum("c").alias("frequent_chars"), F.collect_list("h").alias("gone"))
     all_chars = F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x.c)
     out = table.withColumn("line_chars", all_chars).drop("keys").join(lost, "row", "left").withColumn("frequent_chars", F.coalesce("frequent_chars", F.lit(0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (2 * F.col("frequent_chars") <= F.col("line_chars")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "frequent_chars")
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(_normal(x))))
+    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
+    return out.select(*COLUMNS, "text")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).select(*COLUMNS)
 
 
 OP3_SQL = r"""

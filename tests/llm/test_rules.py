@@ -49,6 +49,12 @@ def test_quality_rules_reject_what_hosts_repeat(spark):
     assert not any(kept[i] for i in range(30)) and all(kept[100 + i] for i in range(5)) and kept[200]
 
 
+def test_frequent_lines_leave_the_text(spark):
+    made = [(i, f"own {i}\n\n  Read  MORE \nlast {i}\nread more\n", "a") for i in range(30)] + [(50, "read more\nx\r\n", "b"), (51, None, "a"), (52, "READ\tmore", "a"), (None, "own 1", None)]
+    got = {r.doc_id: r.text for r in quality_rules(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()}
+    assert got == {i: f"own {i}\n\nlast {i}\n" for i in range(30)} | {50: "read more\nx\r\n", 51: "", 52: "", None: "own 1"}
+
+
 # mixing
 
 
