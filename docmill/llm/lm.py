@@ -6,15 +6,18 @@ training documents only. Every word has a class, and
     P(word | previous word) = P(class | previous class) x P(word | class).
 
 - Counts: every token of every training document is counted, combined on both sides of the shuffle.
-- Classes: items are the ``items`` most frequent words, one for each of ``signatures`` hashes of the last three bytes of all other
-  words (so that rare and unseen words have a class too), and the end. Bigrams of items are counted over all training
-  documents, in a matrix of fixed size. Exchange clustering moves each item in turn to the class that gives the bigrams the highest
+- Classes, first on a matrix of fixed size: items are the ``items`` most frequent words, one for each of ``signatures`` hashes of the last three
+  bytes of all other words, and the end. Exchange clustering moves each item in turn to the class that gives the bigrams the highest
   likelihood, until a sweep moves none or ``sweeps`` are done. The end is a class of its own.
+- Classes, then for every other word that occurs ``seen`` times or more, however many there are: which classes stand before and after it is
+  counted over all training documents, and one exchange sweep, all words at once, moves it from its ending's class to the likeliest.
+  Only rarer words, and unseen ones, stay with their ending.
 - Transitions are smoothed by Witten-Bell interpolation with class frequencies. Emissions lose an absolute discount, which goes to one
   unknown word a class. So probabilities sum to one over the known words and the unknown.
 
-Scoring reads each text once. Words with counts at or above a threshold, at most ``frequent`` of them, are scored from a broadcast of that
-bounded size; of the others (rare, so never skewed) one row a document and word is joined with the counts, and summed by row.
+Each text is read once to score it. Words with counts at or above a threshold, at most ``frequent`` of them, have counts and classes in a
+broadcast of that bounded size. Bigrams of two of these are kept as class bigrams with their row; for others (with a rare word, so never
+skewed) one row a document and bigram is joined with the rare words' counts and classes. Transitions are counted from both.
 
 Edge cases: null and empty texts are the end token alone. A null id is no text to hash: such rows train. With no training
 document all counts are 0, and scores those of the empty model, 0. Rows with equal ids are scored each on its own.
@@ -30,11 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.sketch import count_sketch
-from docmill.llm.words import as_bytes, batches, hashed, signed
-from docmill.runtime import bounded_batches, tidy, written
+from docmill.llm.words import as_bytes, batches, hashed, mix, signed
+from docmill.runtime import bounded_batches, discard, tidy, written
 
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
-FREQUENT, ITEMS, SIGNATURES, CLASSES = 1 << 19, 1024, 1024, 64
+FREQUENT, ITEMS, SIGNATURES, CLASSES, SEEN = 1 << 19, 1024, 1024, 64, 4
+
+
+SCHEMA = "row long, held_out boolean, doc_id long, n_tokens long, n_known long, base double, score double, codes binary, a long, b long, a_rare boolean, b_rare boolean, a_class int, b_class int, tf int"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+#: Class codes and how often.
+ENTRY = np.dtype([("code", "<u2"), ("n", "<u4")])
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -102,35 +113,46 @@ def exchange_classes(bigrams: np.ndarray, n_classes: int, sweeps: int = 8) -> np
     return own
 
 
+def best_classes(table: np.ndarray, now: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For words in classes ``now``, the classes that give the highest likelihood, each word moved alone.
+
+    ``table`` counts class bigrams, its last class is the end's and takes no word. Entry i says that word ``word[i]`` (ascending) stands ``n[i]`` times
+    before class ``code[i]``, or after class ``code[i] - len(table)``.
+    """
+    c = len(table)
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    both = np.hstack([table, table.T]).T
+    own = np.arange(c) == now[word][:, None]
+    held = both[code]
+    less = np.where(own, np.maximum(held - n[:, None], 0), held)
+    gain = np.add.reduceat(f(less + n[:, None]) - f(less), np.searchsorted(word, np.arange(len(now))))
+    own = np.arange(c) == now[:, None]
+    for side, total in enumerate((table.sum(1), table.sum(0))):
+        mine = np.bincount(word, np.where(code // c == side, n, 0), len(now))[:, None]
+        less = np.where(own, np.maximum(total - mine, 0), total)
+        gain -= f(less + mine) - f(less)
+    return np.argmax(gain[:, :-1] + 1e-9 * own[:, :-1], 1)
+
+
 class ClassModel:
-    """What scoring needs: frequent words with counts and classes, classes of signatures, and probabilities."""
-
-    def __init__(self, keys, counts, item_of_key, classes, bigrams, types, n, v, discount):
-        self.keys, self.counts, self.n, self.v, self.discount = keys, counts, n, v, discount
-        self.classes = classes
-        c = int(classes.max()) + 1
-        table = np.zeros((c, c))
-        np.add.at(table, (classes[:, None], classes[None, :]), bigrams)
-        self.size = table.sum(0)
-        total = max(1.0, table.sum())
-        follow = table.sum(1)
-        kinds = (table > 0).sum(1)
-        share = (self.size + 1) / (total + c)
+    """Probabilities of classes, from the counts of class bigrams and the number of words of each class."""
+
+    def __init__(self, table, types, discount):
+        c = len(table)
+        size = table.sum(0)
+        follow, kinds = table.sum(1), (table > 0).sum(1)
+        share = (size + 1) / (max(1.0, table.sum()) + c)
         keep = follow / np.maximum(1, follow + kinds)
-        self.log_next = np.log10(keep[:, None] * table / np.maximum(1, follow)[:, None] + (1 - keep[:, None]) * share)
-        self.types = types
+        log_next = np.log10(keep[:, None] * table / np.maximum(1, follow)[:, None] + (1 - keep[:, None]) * share)
+        size = np.maximum(size, types)
+        log_size = np.log10(np.maximum(1, size))
+        # what a bigram of classes adds, but for the (discounted) count of its second word
+        self.step = log_next - log_size
         # the discount of all types of a class, for its unknown word; 1 in an empty class
-        self.size = np.maximum(self.size, types)
-        self.log_unknown = np.log10(np.where(self.size > 0, np.maximum(discount * types, 1e-9) / np.maximum(1, self.size), 1.0))
-        self.class_of_key = classes[item_of_key] if len(keys) else np.zeros(0, np.int64)
-        self.log_word = np.log10(np.maximum(counts - discount, 1e-9) / np.maximum(1, self.size[self.class_of_key])) if len(keys) else np.zeros(0)
-        self.log_base = np.log10((counts + 1) / (n + (v + 1)))
-
-    def base(self, c: int = 0) -> float:
-        return float(np.log10((c + 1) / (self.n + (self.v + 1))))
+        self.log_unknown = np.log10(np.where(size > 0, np.maximum(discount * types, 1e-9) / np.maximum(1, size), 1.0)) + log_size
 
 
-def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, signatures: int = SIGNATURES, n_classes: int = CLASSES, sweeps: int = 8) -> DataFrame:
+def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, signatures: int = SIGNATURES, n_classes: int = CLASSES, sweeps: int = 8, seen: int = SEEN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -221,70 +243,207 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
     bigrams = count_sketch(slim, pairs, width * width).reshape(width, width).astype(np.float64)
     tidy(spark)
     classes = exchange_classes(bigrams, n_classes, sweeps)
-    # how many words each class has: those that are items, and those of each signature that are not
-    types = np.bincount(classes[item_of_key[by_count]], minlength=n_classes + 1).astype(np.float64)
-    per_signature = np.zeros(signatures)
-    for r in counts.where(F.col("s") >= 0).groupBy("s").count().collect():
-        per_signature[r["s"]] = r["count"]
-    per_signature -= np.bincount(key_s[by_count], minlength=signatures)
-    types += np.bincount(classes[items : items + signatures], per_signature, n_classes + 1)
-    types[n_classes] = 0
-    model = ClassModel(keys, key_counts, item_of_key, classes, bigrams, types, float(n), float(v), discount)
-    shared = spark.sparkContext.broadcast(model)
+    c = n_classes + 1
+    table = np.zeros((c, c))
+    np.add.at(table, (classes[:, None], classes[None, :]), bigrams)
+    smallest = least if least is not None else 1
+    # words that get a class of their own; of those not in `keys` no count is known here, so all go out if any can be seen often enough
+    moves = (key_counts >= seen) & (keys != END)
+    moves[by_count] = False
+    start = spark.sparkContext.broadcast((keys, item_of_key, moves))
+
+    def around(parts):
+        some, item, wanted = start.value
+        held, size = [], 0
+
+        def combined(h, s, code, n):
+            order = np.lexsort((code, h))
+            h, s, code, n = h[order], s[order], code[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])]))
+            return h[first], s[first], code[first], np.add.reduceat(n, first)
+
+        def flush():
+            h, s, code, n = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            entry = np.empty(len(h), ENTRY)
+            entry["code"], entry["n"] = code, n
+            packed = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(h)) * ENTRY.itemsize), pa.py_buffer(entry.tobytes())])
+            for lo in range(0, len(first), 1 << 16):
+                part = first[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[part])), pa.array(s[part].astype(np.int32)), packed[lo : lo + len(part)].cast(pa.binary())], names=["h", "s", "entries"])
+
+        for batch in parts:
+            texts = training(batch)
+            for lo, hi in batches(texts):
+                h, s, offsets = tokens(texts[lo:hi], signatures)
+                own = np.where(h == END, width - 1, items + s)
+                pick = np.full(len(h), smallest > seen) & (h != END)
+                if len(some):
+                    at = np.minimum(np.searchsorted(some, h), len(some) - 1)
+                    hit = some[at] == h
+                    own[hit] = item[at[hit]]
+                    pick = np.where(hit, wanted[at], pick)
+                pick = np.flatnonzero(pick)
+                if not len(pick):
+                    continue
+                # each text ends with the end, so a word has a next token
+                after, prior = classes[own[pick + 1]], classes[before(own, offsets)[pick]]
+                ones = np.ones(2 * len(pick), np.int64)
+                held.append(combined(np.tile(h[pick], 2), np.tile(s[pick], 2), np.concatenate([after, c + prior]), ones))
+                size += len(held[-1][0])
+                if size > 1 << 22:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    def move(parts):
+        """The classes of words, whose entries come in the order of their hashes; the last word of a batch may go on in the next."""
+        last = None
+
+        def placed(h, s, word, code, n):
+            both, at = np.unique(word * (2 * c) + code, return_inverse=True)
+            n = np.bincount(at, n)
+            word, code = both // (2 * c), both % (2 * c)
+            often = np.bincount(word, n, len(h)) >= 2 * seen
+            keep = often[word]
+            word = (np.cumsum(often) - 1)[word[keep]]
+            found = best_classes(table, classes[items + s[often]], word, code[keep], n[keep]) if often.any() else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(found.astype(np.int32))], names=["h", "class"])
+
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            raw = batch.column("entries").to_pylist()
+            entry = np.frombuffer(b"".join(raw), ENTRY)
+            h, s = batch.column("h").to_numpy(), batch.column("s").to_numpy()
+            row = np.repeat(np.arange(len(raw)), [len(x) // ENTRY.itemsize for x in raw])
+            code, n = entry["code"].astype(np.int64), entry["n"].astype(np.float64)
+            if last is not None:
+                h, s = np.concatenate([last[0], h]), np.concatenate([last[1], s])
+                row, code, n = np.concatenate([np.zeros(len(last[2]), np.int64), row + 1]), np.concatenate([last[2], code]), np.concatenate([last[3], n])
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            word, first = (np.cumsum(new) - 1)[row], np.flatnonzero(new)
+            h, s = h[first], s[first]
+            tail = word == len(h) - 1
+            total = np.bincount(code[tail], n[tail], 2 * c)
+            last = h[-1:], s[-1:], np.flatnonzero(total), total[total > 0]
+            if len(h) > 1:
+                yield placed(h[:-1], s[:-1], word[~tail], code[~tail], n[~tail])
+        if last is not None:
+            yield placed(last[0], last[1], np.zeros(len(last[2]), np.int64), last[2], last[3])
+
+    near = slim.mapInArrow(around, "h long, s int, entries binary").repartition("h").sortWithinPartitions("h")
+    moved = written(near.mapInArrow(move, "h long, class int"), "word-classes")
+    del near
+    tidy(spark)
+    ending = F.array(*(F.lit(int(x)) for x in classes[items : items + signatures]))
+    classed = counts.join(moved, "h", "left").withColumn("class", F.coalesce("class", F.when(F.col("s") < 0, F.lit(n_classes)).otherwise(F.get(ending, F.col("s")))))
+    classed = written(classed.select("h", "s", "c", "class"), "classed")
+    discard(moved)
+    discard(counts)
+    tidy(spark)
+    # the words of `keys` again, with classes; then the items'
+    rows = classed.where(F.col("c") >= F.lit(smallest)).select("h", "class").toArrow()
+    h = rows.column("h").to_numpy().view(np.uint64)
+    class_of_key = np.empty(len(keys), np.int64)
+    class_of_key[np.searchsorted(keys, h)] = rows.column("class").to_numpy()
+    del rows, h
+    # how many words each class has
+    types = np.zeros(c)
+    for r in classed.where(F.col("s") >= 0).groupBy("class").count().collect():
+        types[r["class"]] = r["count"]
+    types -= np.bincount(class_of_key[by_count], minlength=c)
+    class_of_key[by_count] = classes[item_of_key[by_count]]
+    types += np.bincount(class_of_key[by_count], minlength=c)
+    endings = classes[items : items + signatures]
+    shared = spark.sparkContext.broadcast((keys, class_of_key, np.log10(np.maximum(key_counts - discount, 1e-9)), np.log10((key_counts + 1) / (float(n) + (float(v) + 1)))))
 
     def score(parts):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        m = shared.value
-        some = lookup.value
-        names = ["row", "h", "tf", "class", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+        some, class_of, log_word, log_base = shared.value
         for batch in parts:
             ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
             for lo, hi in batches(texts):
                 h, s, offsets = tokens(texts[lo:hi], signatures)
                 k = hi - lo
                 doc = np.repeat(np.arange(k), np.diff(offsets))
-                item = items_of(h, s, some)
-                cls = m.classes[item]
-                score = np.bincount(doc, m.log_next[m.classes[before(item, offsets)], cls], k)
-                if len(m.keys):
-                    at = np.minimum(np.searchsorted(m.keys, h), len(m.keys) - 1)
-                    hit = m.keys[at] == h
+                cls = np.where(h == END, n_classes, endings[s])
+                hit = np.zeros(len(h), bool)
+                base, known, score = np.zeros(k), np.zeros(k, np.int64), np.zeros(k)
+                if len(some):
+                    at = np.minimum(np.searchsorted(some, h), len(some) - 1)
+                    hit = some[at] == h
                     at = at[hit]
-                    score += np.bincount(doc[hit], m.log_word[at], k)
-                    base, known = np.bincount(doc[hit], m.log_base[at], k), np.bincount(doc[hit], minlength=k)
-                else:
-                    hit, base, known = np.zeros(len(h), bool), np.zeros(k), np.zeros(k, np.int64)
+                    cls[hit] = class_of[at]
+                    base, known, score = np.bincount(doc[hit], log_base[at], k), np.bincount(doc[hit], minlength=k), np.bincount(doc[hit], log_word[at], k)
+                # the token before each, the end before the first; the end is never rare
+                prior, prior_h, prior_rare = np.roll(cls, 1), np.roll(h, 1), np.roll(~hit & (h != END), 1)
+                first = offsets[:-1]
+                prior[first], prior_h[first], prior_rare[first] = n_classes, END, False
+                plain = hit & ~prior_rare
+                codes = (prior * c + cls)[plain].astype(np.int32)
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[plain], minlength=k))])
+                held = [is_held_out(i) for i in ids[lo:hi]]
                 own = row + np.arange(k)
                 row += k
-                nulls = lambda n, kind: pa.nulls(n, kind)
+                nulls = lambda m, kind: pa.nulls(m, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), nulls(k, pa.int64()), nulls(k, pa.int32()), nulls(k, pa.int32()), pa.array(ids[lo:hi], pa.int64()), pa.array([is_held_out(i) for i in ids[lo:hi]]), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(score)], names=names
+                    [pa.array(own), pa.array(held), pa.array(ids[lo:hi], pa.int64()), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(score), pa.array([codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), *(nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()))],
+                    names=NAMES,
                 )
-                rest = np.flatnonzero(~hit)
+                rest = np.flatnonzero(~plain)
                 if len(rest):
-                    order = rest[np.lexsort((h[rest], doc[rest]))]
-                    first = np.flatnonzero(np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])]))
-                    times, order = np.diff(np.append(first, len(order))), order[first]
+                    order = rest[np.lexsort((prior_h[rest], h[rest], doc[rest]))]
+                    new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (prior_h[order[1:]] != prior_h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])])
+                    new = np.flatnonzero(new)
+                    times, order = np.diff(np.append(new, len(order))), order[new]
                     j = len(order)
+                    # a word that needs no join has a key of its own, so that no task gets all of one word
+                    salt = mix(order.astype(np.uint64) + (own[doc[order]].astype(np.uint64) << np.uint64(20)))
+                    a, b = np.where(prior_rare[order], prior_h[order], salt), np.where(hit[order], ~salt, h[order])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[doc[order]]), pa.array(signed(h[order])), pa.array(times.astype(np.int32)), pa.array(cls[order].astype(np.int32)), nulls(j, pa.int64()), nulls(j, pa.bool_()), nulls(j, pa.int64()), nulls(j, pa.int64()), nulls(j, pa.float64()), nulls(j, pa.float64())], names=names
+                        [pa.array(own[doc[order]]), pa.array(np.array(held)[doc[order]]), *(nulls(j, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())), pa.array(signed(a)), pa.array(signed(b)), pa.array(prior_rare[order]), pa.array(~hit[order]), pa.array(prior[order].astype(np.int32)), pa.array(cls[order].astype(np.int32)), pa.array(times.astype(np.int32))],
+                        names=NAMES,
                     )
 
-    scored = written(slim.mapInArrow(score, "row long, h long, tf int, class int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"), "scored")
-    rare = scored.where(F.col("h").isNotNull()).select("row", "h", "tf", "class").join(counts.where(F.col("c") < F.lit(least if least is not None else 1)).select("h", "c"), "h", "left")
-    # a class's figures, for the emissions of rare words; a few dozen classes
-    size, unknown = (F.array(*(F.lit(float(x)) for x in values)) for values in (np.maximum(1, model.size), model.log_unknown))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    at = F.col("class") + 1
-    emission = F.when(c > 0, F.log10(F.greatest(c - F.lit(float(discount)), F.lit(1e-9)) / F.element_at(size, at))).otherwise(F.element_at(unknown, at))
+    scored = written(slim.mapInArrow(score, SCHEMA), "scored")
+    few = classed.where(F.col("c") < F.lit(smallest))
+    second = few.select(F.col("h").alias("b"), F.col("c").alias("b_count"), F.col("class").alias("b_moved"))
+    first = few.select(F.col("h").alias("a"), F.col("class").alias("a_moved"))
+    rare = scored.where(F.col("codes").isNull()).select("row", "held_out", "a", "b", "a_rare", "b_rare", "a_class", "b_class", "tf").join(second, "b", "left").join(first, "a", "left")
+    choose = lambda x: F.when(F.col(f"{x}_rare"), F.coalesce(f"{x}_moved", f"{x}_class")).otherwise(F.col(f"{x}_class")).alias(f"{x}_class")
+    rare = written(rare.select("row", "held_out", choose("a"), choose("b"), "b_rare", F.coalesce("b_count", F.lit(0)).alias("b_count"), "tf"), "rare")
+    tidy(spark)
+
+    def plain_codes(batch):
+        for x in batch.column("codes").to_pylist():
+            yield np.frombuffer(x, np.int32)
+
+    table = count_sketch(scored.where(F.col("codes").isNotNull() & ~F.col("held_out")).select("codes"), plain_codes, c * c).reshape(c, c).astype(np.float64)
+    for r in rare.where(~F.col("held_out")).groupBy("a_class", "b_class").agg(F.sum("tf").alias("n")).collect():
+        table[r["a_class"], r["b_class"]] += r["n"]
+    model = ClassModel(table, types, discount)
+    step = model.step.ravel()
+
+    def plain_scores(parts):
+        for batch in parts:
+            more = [float(step[np.frombuffer(x, np.int32)].sum()) for x in batch.column("codes").to_pylist()]
+            keep = [k for k in batch.schema.names if k not in ("codes", "score")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(np.asarray(batch.column("score")) + np.array(more), pa.float64())], names=[*keep, "score"])
+
+    whole = scored.where(F.col("codes").isNotNull()).select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "codes", "score").mapInArrow(plain_scores, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    steps, unknown = (F.array(*(F.lit(float(x)) for x in values)) for values in (step, model.log_unknown))
+    count = F.col("b_count")
+    word = F.when(~F.col("b_rare"), F.lit(0.0)).when(count > 0, F.log10(F.greatest(count - F.lit(float(discount)), F.lit(1e-9)))).otherwise(F.get(unknown, F.col("b_class")))
     sums = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(n) + (float(v) + 1)))).alias("more_base"),
-        F.sum(F.col("tf") * emission).alias("more_score"),
+        F.sum(F.when(F.col("b_rare") & (count > 0), F.col("tf")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(F.col("b_rare"), F.col("tf") * F.log10((count + 1) / F.lit(float(n) + (float(v) + 1)))).otherwise(0.0)).alias("more_base"),
+        F.sum(F.col("tf") * (word + F.get(steps, F.col("a_class") * c + F.col("b_class")))).alias("more_score"),
     )
-    whole = scored.where(F.col("h").isNull()).select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
+    whole = whole.join(sums, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return whole.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
 

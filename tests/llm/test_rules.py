@@ -386,6 +386,20 @@ def test_lm_beats_words_alone_on_held_out(spark):
     assert out[1] > out[0]
 
 
+def test_lm_words_beyond_the_matrix_get_classes(spark):
+    """Words of two kinds take turns, and their endings say nothing: half of each word's choices go if it has its class."""
+    rng = np.random.default_rng(8)
+    share = 1 / np.arange(1, 121)
+    said = lambda kind: f"{kind}{rng.choice(120, p=share / share.sum())}end"
+    made = [(i, " ".join(said("ab"[k % 2]) for k in range(80))) for i in range(400)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    out = {f: {r.doc_id: r for r in score_texts(docs, frequent=f, items=4, signatures=2, n_classes=4).collect()} for f in (1 << 19, 60)}
+    held = [r for r in out[60].values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) > 0.2 * sum(r.n_tokens for r in held)
+    for i, r in out[60].items():
+        assert r.score == pytest.approx(out[1 << 19][i].score, abs=1e-6) and r.n_known == out[1 << 19][i].n_known
+
+
 def test_lm_nothing(nothing):
     assert score_texts(nothing).count() == 0
 
