@@ -15,6 +15,7 @@ from docmill.llm.mixing import mix_sources, op8_mix_sources
 from docmill.llm.quality import quality_rules
 from docmill.llm.secrets import op10_secret_scan, secret_scan
 from docmill.llm.toxicity import fit_ordinal, fit_toxicity, op6_toxicity, score_toxicity
+from docmill.llm.words import hashed
 from tests.llm import brute
 from tests.llm.conftest import DATA
 
@@ -304,6 +305,44 @@ def test_leaks_at_the_edit_limit(size, kinds):
     assert got == {(d, d): edit_brute(items[d], made[d]) for d in range(30)} and max(got.values()) <= k
 
 
+@pytest.mark.parametrize("common", [False, True], ids=["even words", "common words"])
+@pytest.mark.parametrize("size", [3, 5, 7, 10, 15, 40, 200])
+def test_samples_alone_propose_leaks(size, common):
+    """Leaks at the edit limit that the samples propose, before any exact step: the share that LSH alone finds."""
+    rng = np.random.default_rng(size)
+    share = 1 / (np.arange(20000) + 2.7)
+    say = lambda n: [f"w{k}" for k in (rng.choice(20000, n, p=share / share.sum()) if common else rng.integers(0, 3000, n))]
+    items = [say(size) for _ in range(100)]
+    block, hit, all_leaks = Items(list(range(100)), [" ".join(x).encode() for x in items], 80), 0, 0
+    for kinds in ([0], [1], [2], [0, 1, 2]):
+        made = []
+        for x in items:
+            copy = list(x)
+            for at in sorted(rng.choice(size, size // 5, replace=False).tolist(), reverse=True):
+                kind = int(rng.choice(kinds))
+                copy[at : at + 1] = [] if kind == 0 else say(1) if kind == 1 else [copy[at], *say(1)]
+            made.append(say(30) + copy + say(30))
+        words, offsets = hashed([" ".join(x).encode() for x in made], lower=True, alnum=True)
+        found = {(d, i) for start, i, d in block.proposals(words, offsets).tolist() if abs(start - offsets[d] - 30) <= size // 5 + 1}
+        hit, all_leaks = hit + sum((d, d) in found for d in range(100)), all_leaks + 100
+    assert hit >= 0.95 * all_leaks
+
+
+def test_items_of_few_words_must_stand_exactly():
+    block = Items([1, 2, 3], [b"alpha", b"beta gamma", b"one two three four"], 80)
+    found = block.leaks([b"x alpha y", b"beta, GAMMA", b"beta x gamma", b"zero one two three four five", b"one two four"])
+    assert found == [(0, 0, 0, 1), (1, 1, 0, 0), (3, 2, 0, 1)]
+
+
+def test_a_very_long_text_and_a_very_long_item(spark):
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 4000, n))
+    item, whole = say(3000), say(400_000)
+    docs = spark.createDataFrame([(1, f"{say(50_000)} {item} {whole}", "x"), (2, whole, "y"), (None, item, None)], "doc_id long, text string, distance string")
+    items = spark.createDataFrame([(7, item, 0), (8, None, 0)], "item_id long, text string, first_word int")
+    assert {(r.doc_id, r.item_id, r.distance) for r in contamination(docs, items).collect()} == {(1, 7, 0), (None, 7, 0)}
+
+
 def test_contamination_nothing(spark, nothing, edge):
     items = spark.createDataFrame([], "item_id long, text string")
     assert contamination(edge, items).count() == 0
