@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import tokens
-from docmill.runtime import small_enough
+from docmill.runtime import small_enough, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(passages: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf): how often each passage has each lower-cased token. Combined within tasks before the shuffle."""
-    return passages.select(key, F.explode(tokens(F.col("text"), lower=True)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def raw_idf(n: float, df: str = "df") -> Column:
+    """ln(N - df + 0.5) - ln(df + 0.5)."""
+    return F.ln(F.lit(float(n)) - F.col(df) + 0.5) - F.ln(F.col(df) + 0.5)
 
 
-def lengths(passages: DataFrame, key: str) -> DataFrame:
-    return passages.select(key, F.size(tokens(F.col("text"), lower=True)).alias("dl"))
+def corpus_statistics(passages: DataFrame) -> tuple[DataFrame, int, float]:
+    """((term, df, raw_idf), number of passages, mean length) in one scan. Only (term, count) is shuffled, combined within tasks.
 
-
-def term_statistics(posted: DataFrame, n: int) -> DataFrame:
-    """(term, df, raw_idf) with raw_idf = ln(N - df + 0.5) - ln(df + 0.5)."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("raw_idf", F.ln(F.lit(float(n)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    A row with a null term stands for each passage, so that lengths come along.
+    """
+    words = tokens(F.col("text"), lower=True)
+    rows = passages.select(words.alias("w")).select(F.size("w").alias("dl"), F.explode(F.array_append(F.array_distinct("w"), F.lit(None).cast("string"))).alias("term"))
+    counted = written(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("all")), "terms")
+    whole = counted.where("term is null").first()
+    n, total = (whole["df"], whole["all"] or 0) if whole else (0, 0)
+    return counted.where("term is not null").select("term", "df", raw_idf(n).alias("raw_idf")), n, total / n if n else 0.0
 
 
-def idf(stats: DataFrame) -> DataFrame:
-    """``stats`` with idf: a negative value becomes ``EPSILON`` times the mean over all terms, negatives included."""
-    mean = stats.agg(F.avg("raw_idf").alias("mean_idf"))
-    return stats.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw_idf"))).drop("mean_idf")
+def floored(mean: float | None) -> Column:
+    """idf: a negative value becomes ``EPSILON`` times the mean over all terms, negatives included."""
+    return F.when(F.col("raw_idf") < 0, F.lit((mean or 0.0) * EPSILON)).otherwise(F.col("raw_idf"))
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -37,22 +41,98 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_idx", F.explode(tokens(F.col(text), lower=True)).alias("term")).groupBy("query_idx", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def weighed_terms(passages: DataFrame, queries: DataFrame, text: str = "query") -> tuple[DataFrame, float]:
+    """((query_idx, term, weight), mean length): each query's terms that any passage has, with qtf x idf. Written; one scan of the passages."""
+    stats, _, mean_length = corpus_statistics(passages)
+    mean = stats.agg(F.avg("raw_idf")).first()[0]
+    wanted = query_terms(queries, text)
+    weighed = wanted.join(stats, "term").select("query_idx", "term", (F.col("qtf") * floored(mean)).alias("weight"))
+    return written(weighed, "query-terms"), mean_length
+
+
 def bm25_scores(passages: DataFrame, queries: DataFrame, key: str, text: str = "query") -> DataFrame:
-    """(query_idx, key, bm25) for pairs that share a term.
+    """(query_idx, key, bm25) for all pairs that share a term.
 
-    Only postings of query terms are joined; their number a query is what the result needs. Query terms are
-    broadcast when counted to be few.
+    The passages are read twice: for statistics, and for the tokens that are query terms; others are dropped before they are grouped. Query terms
+    are broadcast when counted to be few.
     """
-    sizes = lengths(passages, key)
-    n, mean = sizes.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    posted = postings(passages, key)
-    wanted = query_terms(queries, text)
-    weights = idf(term_statistics(posted, n or 0))
-    weighed = wanted.join(weights.select("term", "idf"), "term")
-    hits = posted.join(small_enough(weighed), "term").join(sizes, key)
+    weighed, mean = weighed_terms(passages, queries, text)
+    words = passages.select(key, tokens(F.col("text"), lower=True).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    asked = small_enough(written(weighed.select("term").distinct(), "asked"))
+    posted = words.join(asked, "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0)))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    return hits.groupBy("query_idx", key).agg(F.round(F.sum(part), 6).alias("bm25"))
+    hits = posted.select(key, "term", (F.col("tf") * (K1 + 1) / norm).alias("part")).join(small_enough(weighed), "term")
+    return hits.groupBy("query_idx", key).agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("bm25"))
+
+
+def bm25_top_k(passages: DataFrame, queries: DataFrame, key: str, k: int, text: str = "query", block: int = 512) -> DataFrame:
+    """(query_idx, key, bm25, rank): the k best passages of each query among those that share a term with it, smallest key first among equals.
+
+    The query set is the small, stated side: it goes to the executors in blocks of ``block`` queries, each task scores its batches against a block and keeps
+    k rows a query, and only those are shuffled. No posting is.
+    """
+    weighed, mean = weighed_terms(passages, queries, text)
+    kind = passages.schema[key].dataType.simpleString()
+    ids = sorted(r[0] for r in weighed.select("query_idx").distinct().collect())
+    out = None
+    for lo in range(0, max(1, len(ids)), block):
+        part = ids[lo : lo + block]
+        place = {q: j for j, q in enumerate(part)}
+        mine = weighed.where(F.col("query_idx").between(part[0], part[-1])) if part else weighed.limit(0)
+        terms: dict[str, list[tuple[int, float]]] = {}
+        for r in mine.toLocalIterator():
+            terms.setdefault(r["term"], []).append((place[r["query_idx"]], r["weight"]))
+        edges = np.cumsum([0, *map(len, terms.values())])
+        flat = [x for pairs in terms.values() for x in pairs]
+        columns = np.array([q for q, _ in flat], np.int64), np.array([w for _, w in flat], np.float64)
+        shared = passages.sparkSession.sparkContext.broadcast((np.array(part, np.int64), {t: i for i, t in enumerate(terms)}, edges, *columns))
+
+        def search(batches, shared=shared):
+            queries, number, edges, column, weight = shared.value
+            best, keep = [], 0
+
+            def cut():
+                """The best k rows a query of what is kept; ties at the cut stay until the last step orders them."""
+                q, key, s = (np.concatenate(x) for x in zip(*best, strict=True))
+                order = np.lexsort((-s, q))
+                q, key, s = q[order], key[order], s[order]
+                first = np.searchsorted(q, np.arange(len(queries)))
+                last = np.searchsorted(q, np.arange(len(queries)), "right")
+                least = np.where(last > first, s[np.minimum(first + k, np.maximum(last, 1)) - 1], 0)
+                stays = s >= least[q]
+                return [(q[stays], key[stays], s[stays])]
+
+            kind = pa.null()
+            for batch in batches if len(queries) else ():
+                kind = batch.schema.field("k").type
+                keys = batch.column("k").to_numpy(zero_copy_only=False)
+                for at in range(0, batch.num_rows, 256):
+                    texts = batch.column("text")[at : at + 256].to_pylist()
+                    words = [(t or "").lower().split() for t in texts]
+                    known = [(i, n) for i, own in enumerate(words) for w in own if (n := number.get(w)) is not None]
+                    pair, tf = np.unique(np.array(known, np.int64).reshape(-1, 2) @ np.array([len(number) or 1, 1]), return_counts=True)
+                    row, term = pair // (len(number) or 1), pair % (len(number) or 1)
+                    size = np.array([len(own) for own in words], np.float64)[row]
+                    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (mean or 1.0)))
+                    # each posting once for every query that has its term
+                    n = edges[term + 1] - edges[term]
+                    each = np.repeat(edges[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    cell = np.repeat(row, n) * len(queries) + column[each]
+                    score = np.bincount(cell, np.repeat(value, n) * weight[each], len(texts) * len(queries)).reshape(len(texts), -1)
+                    shares = np.bincount(cell, minlength=len(texts) * len(queries)).reshape(len(texts), -1) > 0
+                    i, q = np.nonzero(shares)
+                    best.append((q, keys[at + i], np.round(score[i, q], 6)))
+                    keep += len(q)
+                    if keep > 1 << 20:
+                        best = cut()
+                        keep = len(best[0][0])
+            if best:
+                ((q, key, s),) = cut()
+                yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(key.tolist(), kind), pa.array(s, pa.float64())], names=["query_idx", "k", "bm25"])
+
+        found = passages.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(search, f"query_idx long, k {kind}, bm25 double")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, "bm25", "k", k).withColumnRenamed("k", key)
 
 
 def top_k(scores: DataFrame, score: str, key: str, k: int) -> DataFrame:

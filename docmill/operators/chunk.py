@@ -1,49 +1,44 @@
-"""Sentence-aware overlapping chunks, as a fold over window starts."""
+"""Sentence-aware overlapping chunks, cut batch by batch through Arrow in time linear in the text."""
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import strip
-
-
-def _rfind(window: Column, mark: str) -> Column:
-    """Where the last ``mark`` begins, from 0; -1 if nowhere."""
-    at = F.instr(F.reverse(window), mark[::-1])
-    return F.when(at == 0, F.lit(-1)).otherwise(F.length(window) - at - (len(mark) - 1))
-
 
-def chunk_bounds(text: Column, chunk_size: int = 400, overlap: float = 0.15) -> Column:
-    """An array of (s, e), offsets from 0, for a text longer than one window.
+def spans(text: str, chunk_size: int = 400, overlap: float = 0.15) -> list[tuple[int, int]]:
+    """(start, end) of each window, offsets from 0, of a text longer than one window.
 
     A window of 4 x ``chunk_size`` characters that doesn't reach the end is cut after its last ``". "`` or newline if that lies past
     70 % of it. The next begins ``overlap`` before the (unclamped) end, so a text that ends within the overlap gets one more short chunk.
     """
     size = 4 * chunk_size
-    back = int(size * overlap)
-    least = max(1, math.floor(size * 0.7) + 1 - back)
-    steps = F.sequence(F.lit(1), F.ceil(F.length(text) / F.lit(least)).cast("int") + 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    back, least, out, at = int(size * overlap), size * 0.7, [], 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            cut = max(text.rfind(". ", at, end), text.rfind("\n", at, end)) - at
+            if cut > least:
+                end = at + cut + 1
+        out.append((at, end))
+        at = end - back
+    return out
 
-    def step(acc: Column, _: Column) -> Column:
-        window = F.substring(text, acc.at + 1, F.lit(size))
-        cut = F.greatest(_rfind(window, ". "), _rfind(window, "\n"))
-        inner = (acc.at + size < F.length(text)) & (cut > size * 0.7)
-        end = acc.at + F.when(inner, cut + 1).otherwise(F.lit(size))
-        going = acc.at < F.length(text)
-        more = F.struct((end - back).cast("int").alias("at"), F.concat(acc.out, F.array(F.struct(acc.at.alias("s"), end.cast("int").alias("e")))).alias("out"))
-        return F.when(going, more).otherwise(acc)
 
-    return F.aggregate(steps, start, step, lambda acc: acc.out)
+def chunks_of(text: Column, chunk_size: int = 400, overlap: float = 0.15) -> Column:
+    """The chunks of a text: itself, not stripped, if it fits one window; else the stripped pieces. Null for null.
+
+    Spark's own ``substring`` counts characters from the beginning of a text each time, so a fold over it is quadratic; texts of one window, most of them, don't
+    leave the JVM.
+    """
 
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [t[a:b].strip() for a, b in spans(t, chunk_size, overlap)])
 
-def chunks_of(text: Column, chunk_size: int = 400, overlap: float = 0.15) -> Column:
-    """The chunks of a text: itself, not stripped, if it fits one window; else the stripped pieces."""
-    pieces = F.transform(chunk_bounds(text, chunk_size, overlap), lambda b: strip(F.substring(text, b.s + 1, b.e - b.s)))
-    return F.when(F.length(text) <= 4 * chunk_size, F.array(text)).otherwise(pieces)
+    long_one = F.length(text) > 4 * chunk_size
+    return F.when(long_one, cut(F.when(long_one, text))).otherwise(F.when(text.isNotNull(), F.array(text)))
 
 
 def chunked(articles: DataFrame, text: str = "text", chunk_size: int = 400, overlap: float = 0.15) -> DataFrame:
@@ -51,7 +46,9 @@ def chunked(articles: DataFrame, text: str = "text", chunk_size: int = 400, over
     rest = [c for c in articles.columns if c != text]
     out = articles.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("__chunks", chunks_of(F.col(text), chunk_size, overlap))
     sizes = F.transform("__chunks", lambda c: F.length(c))
-    out = out.withColumn("__ends", F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n))))
-    out = out.select(*rest, F.size("__chunks").alias("chunk_count"), "__ends", F.posexplode("__chunks").alias("chunk_index", "text"))
-    end = F.get("__ends", F.col("chunk_index"))
-    return out.select(*rest, "chunk_index", "chunk_count", "text", (end - F.length("text")).alias("char_start"), end.alias("char_end"))
+    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+    # each row takes its own end along, not all ends of its text
+    both = F.arrays_zip(F.col("__chunks").alias("text"), ends.alias("char_end"))
+    out = out.select(*rest, F.size("__chunks").alias("chunk_count"), F.posexplode(both).alias("chunk_index", "__chunk"))
+    end = F.col("__chunk")["char_end"]
+    return out.select(*rest, "chunk_index", "chunk_count", F.col("__chunk")["text"].alias("text"), (end - F.length(F.col("__chunk")["text"])).alias("char_start"), end.alias("char_end"))

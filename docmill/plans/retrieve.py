@@ -36,7 +36,7 @@ def scored_chunks(chunks: DataFrame, queries: DataFrame, config: RetrieveConfig
     model = model or HashedEmbedder()
     asked = queries.select("query_idx", expanded_query(F.col("query"), F.col("expansions")).alias("query"))
     dense = vector_top_k(embedded(chunks.select(KEY, "text"), "text", model), embedded(asked, "query", model), KEY, config.k_ann)
-    found = written(bm25.top_k(bm25.bm25_scores(chunks.select(KEY, "text"), asked, KEY), "bm25", KEY, config.k_bm25), "lexical")
+    found = written(bm25.bm25_top_k(chunks.select(KEY, "text"), asked, KEY, config.k_bm25), "lexical")
     lexical = bm25.normalised(found, "bm25").withColumn("bm25", F.round("bm25", 6))
     return hybrid.fused(dense, lexical, KEY, config.alpha_lexical, config.k_merge)
 

@@ -110,24 +110,18 @@ def vector_topk(spark, sf_dir):
 
 
 def bm25_corpus_stats(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    sizes = bm25.lengths(d, "doc_id")
-    n = sizes.count()
-    stats = bm25.term_statistics(bm25.postings(d, "doc_id"), n)
+    stats, n, mean = bm25.corpus_statistics(table(spark, sf_dir, "documents"))
     terms = stats.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"), F.round(F.avg("raw_idf"), 6).alias("mean_idf"), F.count_if(F.col("raw_idf") < 0).alias("n_negative"))
-    return sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("dl"), 6).alias("mean_length")).crossJoin(terms)
-
-
-def _document_scores(spark, sf_dir):
-    return bm25.bm25_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), query_set(spark, sf_dir), "doc_id")
+    return terms.select(F.lit(n).cast("long").alias("n_docs"), F.lit(round(mean, 6)).alias("mean_length"), "*")
 
 
 def bm25_topk(spark, sf_dir):
-    return bm25.top_k(_document_scores(spark, sf_dir), "bm25", "doc_id", CONFIG.k_bm25)
+    return bm25.bm25_top_k(table(spark, sf_dir, "documents").select("doc_id", "text"), query_set(spark, sf_dir), "doc_id", CONFIG.k_bm25)
 
 
 def bm25_normalised(spark, sf_dir):
-    return bm25.normalised(written(_document_scores(spark, sf_dir), "scores"), "bm25").select("query_idx", "doc_id", F.round("bm25", 6).alias("bm25"))
+    scores = bm25.bm25_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), query_set(spark, sf_dir), "doc_id")
+    return bm25.normalised(written(scores, "scores"), "bm25").select("query_idx", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _scored(spark, sf_dir):
