@@ -11,7 +11,8 @@ A window is looked at only if it holds a cue: a word from a set chosen so that w
 the shingles of any template can occur. That rule follows from the templates and loses no match.
 
 Edge cases: null and empty text have no match, nor have texts of fewer than five words. Rows with the same id count as one
-document, a null id as one too. An empty table gives an empty table. Long texts are cut into overlapping pieces first.
+document, a null id as one too. An empty table gives an empty table. Very long texts are cut into overlapping pieces of bounded size first.
+Repeated and equal windows of a text count once a place. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.runtime import small_enough
+
 #: Notices and passages of public licenses, by which a text is recognised.
 TEMPLATES = {
     "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -55,6 +58,8 @@ TEMPLATES = {
 K = 5
 #: Words of a piece into which long texts are cut.
 PIECE = 4096
+#: Band keys of a class that are asked for before windows leave their piece (more are found by the join alone), and rows of templates that are broadcast.
+LITERAL_KEYS, TEMPLATE_ROWS = 1 << 12, 1 << 12
 
 
 def template_words(text: str) -> list[str]:
@@ -135,7 +140,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, perce
 
     rows = [(c, name, s) for c, names in classes.items() for name in names for s in [shingles[name]]]
     table = spark.createDataFrame(rows, "c int, license_id string, s array<string>").withColumn("t", F.transform("s", lambda x: F.xxhash64(x))).drop("s")
-    # a few dozen templates: a proven bound
+    # the templates come from the driver's memory, and their hashes go back there
     index = {c: table.where(F.col("c") == c).withColumn("t_bands", signature(F.col("t"), c)).drop("c").collect() for c in classes}
 
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -145,27 +150,31 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, perce
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(any_cue)
     words = F.split(F.trim(F.regexp_replace("text", "[^\\p{L}\\p{N}]+", " ")), " ")
     longest = 2 * max(classes) + K
-    pieces = slim.select("doc_id", words.alias("all")).withColumn("from", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE))))
-    pieces = pieces.select("doc_id", "from", F.slice("all", F.col("from") + 1, F.lit(PIECE + longest)).alias("words")).where(F.size("words") >= K)
+    # the pieces are sliced off first, so that no row but the first carries the words of a whole text
+    cut = lambda at: F.struct(at.alias("from"), F.slice("all", at + 1, F.lit(PIECE + longest)).alias("words"))
+    pieces = slim.select("doc_id", words.alias("all")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE)), cut)).alias("p"))
+    pieces = pieces.select("doc_id", "p.from", "p.words").where(F.size("words") >= K)
     hashes = F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, K), " ")))
     cue_at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(found_by), i)), lambda i: i.isNotNull())
-    pieces = pieces.withColumn("h", hashes).withColumn("cues", cue_at).where(F.size("cues") > 0).select("doc_id", "from", "h", "cues")
-    out = None
-    for c in classes:
+    pieces = pieces.withColumn("cues", cue_at).where(F.size("cues") > 0).withColumn("h", hashes).select("doc_id", "from", "h", "cues")
+
+    def windows_of(c):
+        """The windows of one class in a piece that collide with a template in a band (where so few keys are to be asked for)."""
         width, step = 2 * c, c // 2
         # starts are even in the whole text, as PIECE is a multiple of any step
-        at = F.explode(F.filter(_window_starts(width, step), lambda s: s < F.size("h")))
-        windows = pieces.withColumn("at", at).select("doc_id", "from", "at", F.slice("h", F.col("at") + 1, F.lit(width)).alias("w"))
-        windows = windows.where(F.col("at") < PIECE).withColumn("w_bands", signature(F.col("w"), c))
-        # windows none of whose bands any template has end here; the rest find their templates by an equality join on the band
+        at = F.filter(_window_starts(width, step), lambda s: (s < F.size("h")) & (s < PIECE))
+        made = F.transform(at, lambda s: F.struct(F.lit(c).alias("c"), s.alias("at"), F.slice("h", s + 1, F.lit(width)).alias("w")))
+        keyed = F.transform(made, lambda x: F.struct(x.c.alias("c"), x.at.alias("at"), x.w.alias("w"), signature(x.w, c).alias("bands")))
         keys = sorted({k for row in index[c] for k in row["t_bands"]})
-        windows = windows.where(F.arrays_overlap("w_bands", F.array(*map(F.lit, keys))))
-        by_band = spark.createDataFrame([(k, row["license_id"], row["t"]) for row in index[c] for k in row["t_bands"]], "band long, license_id string, t array<long>")
-        hit = windows.withColumn("band", F.explode(F.array_distinct("w_bands"))).join(F.broadcast(by_band), "band")
-        held = F.size(F.array_intersect("w", "t"))
-        hit = hit.withColumn("held", held).withColumn("m", F.size("t")).where(100 * F.col("held") >= percent * F.col("m"))
-        one = hit.select("doc_id", "license_id", (F.col("from") + F.col("at")).alias("start"), (F.col("held") / F.col("m")).alias("containment"))
-        out = one if out is None else out.unionByName(one)
+        return F.filter(keyed, lambda x: F.arrays_overlap(x.bands, F.array(*map(F.lit, keys)))) if len(keys) <= LITERAL_KEYS else keyed
+
+    # all classes at once: texts are read, split and hashed a single time
+    windows = pieces.select("doc_id", "from", F.explode(F.concat(*(windows_of(c) for c in classes))).alias("x"))
+    by_band = spark.createDataFrame([(c, k, row["license_id"], row["t"]) for c in classes for row in index[c] for k in row["t_bands"]], "c int, band long, license_id string, t array<long>")
+    hit = windows.select("doc_id", "from", "x.*").withColumn("band", F.explode(F.array_distinct("bands"))).join(small_enough(by_band, TEMPLATE_ROWS), ["c", "band"])
+    held = F.size(F.array_intersect("w", "t"))
+    hit = hit.withColumn("held", held).withColumn("m", F.size("t")).where(100 * F.col("held") >= percent * F.col("m"))
+    out = hit.select("doc_id", "license_id", (F.col("from") + F.col("at")).alias("start"), (F.col("held") / F.col("m")).alias("containment"))
     # a window that collides with a template in several bands counts once
     return out.groupBy("doc_id", "license_id", "start").agg(F.max("containment").alias("containment")).groupBy("doc_id", "license_id").agg(F.round(F.max("containment"), 6).alias("containment"), F.count(F.lit(1)).alias("n_windows"))
 
