@@ -7,11 +7,14 @@ algorithm named. Spans are in code points, the end exclusive.
 
 - Base64 in lines is joined: a key may begin with any line of a block, and its own lengths say with which line it must end.
 - Decoded base64 may also hold a file in PEM armour, wherever in it; then the whole run or block is the span.
+- Line ends may be written as ``\\n``, as in JSON; then armour and lines are joined as over real ones.
+- A key wrapped in PKCS#8 must itself parse as one of the algorithm named, and encrypted PKCS#8 must name password-based encryption.
 - Armour may have header lines. With ``Proc-Type: 4,ENCRYPTED`` the body is a ciphertext, which must fill whole blocks of the cipher of ``DEK-Info``.
 - Lines of a key inside armour are not reported again.
 
-Edge cases: null and empty text have no spans. Rows are judged one by one, so repeated rows repeat. Very long texts
-are scanned whole, in time linear in their length for the patterns used.
+Edge cases: null and empty text have no spans. Rows are judged one by one, so repeated rows repeat and rows with equal or null ids keep their own. Spans that
+begin together are in the order of kinds, then of ends. Very long texts are scanned whole, in time linear in their length for the patterns used. An
+empty table gives an empty table. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +38,12 @@ KINDS = ("assign", "access", "hex", "pem", "key", "token")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
-_HEX_ANY = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
+_HEX_ANY = re.compile(rb"(?:(?<![0-9A-Za-z])|(?<=0[xX]))(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
 _BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _RUN = re.compile(rb"[A-Za-z0-9+/_-]+")
 #: Base64 of '-----BEGIN ' at the three places it can have in a group of three bytes.
 _ARMOUR = re.compile(rb"LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
-_TOKEN = re.compile(rb"(?<![A-Za-z0-9_.-])e[w-z0-9_-][A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])e[w-z0-9_-][A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*+((?:[ \t]*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+\r?\n)*+)([A-Za-z0-9+/=\s]{16,})-----END \1-----")
 _ENCRYPTED = re.compile(rb"^[ \t]*Proc-Type:[ \t]*4,[ \t]*ENCRYPTED", re.MULTILINE)
 _CIPHER = re.compile(rb"^[ \t]*DEK-Info:[ \t]*([A-Za-z0-9-]+),[ \t]*((?:[0-9A-Fa-f]{2}){8,16})[ \t\r]*$", re.MULTILINE)
@@ -85,8 +88,26 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return found
 
 
+#: Object identifiers (content bytes) of key algorithms whose inner structure is known, and the beginnings of those of password-based encryption.
+_RSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+_CURVES = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def _wraps_key(algorithm: bytes, inner: bytes) -> bool:
+    """Whether the octets in PKCS#8 are a key of the algorithm: a nested key of its own structure, or one element that fills them."""
+    element = _element(inner, 0, len(inner))
+    if element is None or element[2] != len(inner):
+        return False
+    if algorithm in (_RSA, _EC):
+        return is_der_private_key(inner)
+    if algorithm in _CURVES:
+        return element[0] == 0x04 and element[2] - element[1] == _CURVES[algorithm]
+    return element[0] in (0x02, 0x04) or element[0] == 0x30 and bool(_children(inner, element[1], element[2]))
+
+
 def is_der_private_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8, SEC1, DSA or encrypted PKCS#8, with every length nested inside its parent's."""
+    """PKCS#1, PKCS#8, SEC1, DSA or encrypted PKCS#8, with every length nested inside its parent's, down to the key that PKCS#8 wraps."""
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
@@ -96,18 +117,19 @@ def is_der_private_key(data: bytes) -> bool:
     tags = [x[0] for x in parts]
 
     def algorithm(x):
+        """The identifier in an algorithm's sequence, empty if it isn't one."""
         inner = _children(data, x[1], x[2]) if x[0] == 0x30 else None
-        return bool(inner) and inner[0][0] == 0x06
+        return data[inner[0][1] : inner[0][2]] if inner and inner[0][0] == 0x06 else b""
 
     if tags[0] == 0x02:
         if parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
             return False
         if len(tags) >= 9 and set(tags[:9]) == {0x02} or len(tags) == 6 and set(tags) == {0x02}:
             return True
-        if len(tags) >= 3 and algorithm(parts[1]) and tags[2] == 0x04:
-            return True
+        if len(tags) >= 3 and (own := algorithm(parts[1])) and tags[2] == 0x04:
+            return _wraps_key(own, data[parts[2][1] : parts[2][2]])
         return tags[1] == 0x04 and all(t in (0xA0, 0xA1) for t in tags[2:]) and data[parts[0][1]] == 1
-    return len(tags) == 2 and algorithm(parts[0]) and tags[1] == 0x04
+    return len(tags) == 2 and algorithm(parts[0]).startswith(_PASSWORD_BASED) and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16
 
 
 def openssh_size(data: bytes) -> int | None:
@@ -187,6 +209,18 @@ def pem_spans(text: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def token_spans(text: bytes) -> list[tuple[int, int]]:
+    """Spans of signed tokens. After three parts that are none, the search goes on with the second of them."""
+    found, at = [], 0
+    while m := _TOKEN.search(text, at):
+        if is_signed_token(m[0]):
+            found.append((m.start(), m.end()))
+            at = m.end()
+        else:
+            at = m.start() + m[0].index(b".") + 1
+    return found
+
+
 def _holds_armour(run: bytes) -> bool:
     # the last characters may be other text, which leaves a group of four unfilled
     data = _decoded(run if len(run) % 4 != 1 else run[:-1]) or b""
@@ -232,16 +266,21 @@ def base64_spans(text: bytes) -> list[tuple[int, int]]:
 
 def confirmed_spans(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes of encoded keys and signed tokens whose structure parses."""
-    found = []
-    if b"-----BEGIN" in text:
-        found += [("pem", a, b) for a, b in pem_spans(text)]
+    found: set[tuple[str, int, int]] = set()
+    readings = [text]
+    if b"\\n" in text:
+        # line ends written as escapes, as in JSON, read as white space of the same length
+        readings.append(text.replace(b"\\r", b"  ").replace(b"\\n", b" \n"))
+    for t in readings:
+        if b"-----BEGIN" in t:
+            found |= {("pem", a, b) for a, b in pem_spans(t)}
+    armour = [(a, b) for _, a, b in found]
+    for t in readings:
+        found |= {("key", a, b) for a, b in base64_spans(t) if not (b"\n" in t[a:b] and any(lo <= a and b <= hi for lo, hi in armour))}
     if b".e" in text or b".Im" in text:
-        found += [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-    found += [("key", a, b) for a, b in base64_spans(text) if not (b"\n" in text[a:b] and any(lo <= a and b <= hi for k, lo, hi in found if k == "pem"))]
-    for m in _HEX_ANY.finditer(text):
-        if _is_key(bytes.fromhex(m[0].decode())):
-            found.append(("key", m.start(), m.end()))
-    return found
+        found |= {("token", a, b) for a, b in token_spans(text)}
+    found |= {("key", m.start(), m.end()) for m in _HEX_ANY.finditer(text) if _is_key(bytes.fromhex(m[0].decode()))}
+    return sorted(found)
 
 
 def _points(text: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -189,6 +189,42 @@ def test_keys_in_lines_inside_base64_and_under_headers(spark):
     assert not any(spans[i] for i in bad)
 
 
+def pkcs8(oid, inner):
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex(oid)) + b"\x05\x00") + der(4, inner))
+
+
+def test_keys_with_escaped_line_ends_prefixes_and_inner_keys(spark):
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda x, end: end.join(x[i : i + 64] for i in range(0, len(x), 64))
+    armour = lambda x, end: f"-----BEGIN PRIVATE KEY-----{end}{wrap(x, end)}{end}-----END PRIVATE KEY-----"
+    rsa, curve = pkcs8("2a864886f70d010101", rsa_key()), pkcs8("2b6570", der(4, bytes(32)))
+    locked = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, bytes(8)))) + der(4, bytes(64)))
+    jwt = token({"alg": "HS256"})
+    good = {
+        1: ('{"private_key": "', armour(b64(rsa), "\\n"), '\\n", "x": 1}', "pem"), 2: ("", armour(b64(rsa), "\\r\\n"), "", "pem"), 3: ('"', wrap(b64(rsa_key()), "\\n"), '"', "key"),
+        4: ("0x", rsa_key().hex(), "", "key"), 5: ("\\x 0X", rsa_key().hex().upper(), " y", "key"), 6: ("see.", jwt, "", "token"), 7: ("eyX.ey.", jwt, "", "token"), 8: ("a ", b64(curve), "", "key"), 9: ("b ", b64(locked), "", "key"),
+    }
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + b"\x05\x00") + der(4, bytes(32)))
+    bad = {
+        21: b64(pkcs8("2a864886f70d010101", bytes(200))), 22: b64(pkcs8("2a864886f70d010101", rsa_key()[:-2])), 23: b64(pkcs8("2b6570", der(4, bytes(31)))), 24: b64(digest + b""), 25: armour(b64(rsa[:-4]), "\\n"),
+        26: "x" + rsa_key().hex() + "g", 27: f"see.{jwt.split('.')[0]}.x.y", 28: b64(pkcs8("2a8648ce3d0201", rsa_key()[:9])),
+    }
+    docs = spark.createDataFrame([(i, a + b + c) for i, (a, b, c, _) in good.items()] + list(bad.items()), "doc_id long, text string")
+    spans = {r.doc_id: [x for x in r.spans.split(",") if x.split(":")[0] in ("pem", "key", "token")] for r in secret_scan(docs).collect()}
+    for i, (a, b, _, kind) in good.items():
+        assert spans[i] == [f"{kind}:{len(a)}:{len(a) + len(b)}"], i
+    assert not any(spans[i] for i in bad), spans
+
+
+def test_secrets_in_a_very_long_text_and_beside_clashing_names(spark):
+    key = base64.b64encode(rsa_key()).decode()
+    text = "plain words and 12345 more. " * 200_000 + key + " é " + token({"alg": "none"})
+    docs = spark.createDataFrame([(1, text, "x", 1), (1, text, "x", 1), (None, "password=abcdefghijklmnop", None, None)], "doc_id long, text string, spans string, n_hex int")
+    got = sorted(((r.doc_id or 0, r.n_assign, r.spans) for r in secret_scan(docs).collect()))
+    assert [x[:2] for x in got] == [(0, 1), (1, 0), (1, 0)] and got[1] == got[2]
+    assert [s.split(":")[0] for s in got[1][2].split(",")] == ["key", "token"]
+
+
 def test_secrets_nothing(nothing, edge):
     assert secret_scan(nothing).count() == 0 and secret_scan(edge).count() == edge.count()
 
