@@ -5,22 +5,26 @@ training documents only. Every word has a class, and
 
     P(word | previous word) = P(class | previous class) x P(word | class).
 
-- Counts: every token of every training document is counted, combined on both sides of the shuffle.
-- Classes, first on a matrix of fixed size: items are the ``items`` most frequent words, one for each of ``signatures`` hashes of the last three
+- Counts: every token of every document is counted, combined on both sides of the shuffle; only those of training documents (``c``) enter the
+  model. The others say which unknown words are frequent.
+- Classes, first on a matrix of fixed size: items are the ``items`` words of the broadcast (see below) that training has most often, one for each of ``signatures`` hashes of the last three
   bytes of all other words, and the end. Exchange clustering moves each item in turn to the class that gives the bigrams the highest
   likelihood, until a sweep moves none or ``sweeps`` are done. The end is a class of its own.
-- Classes, then for every other word that occurs ``seen`` times or more, however many there are: which classes stand before and after it is
-  counted over all training documents, and one exchange sweep, all words at once, moves it from its ending's class to the likeliest.
-  Only rarer words, and unseen ones, stay with their ending.
+- Classes, then for every other word that occurs ``seen`` times or more, however many there are (with ``seen`` 1, every training word): which classes stand
+  before and after it is counted over all training documents, and one exchange sweep, all words at once, moves it from its ending's class to the
+  likeliest. Only words never seen in training stay with their ending.
 - Transitions are smoothed by Witten-Bell interpolation with class frequencies. Emissions lose an absolute discount, which goes to one
-  unknown word a class. So probabilities sum to one over the known words and the unknown.
+  unknown word a class; the end's class has only the end, which loses nothing. So probabilities sum to one over the known words and the unknown.
 
-Each text is read once to score it. Words with counts at or above a threshold, at most ``frequent`` of them, have counts and classes in a
-broadcast of that bounded size. Bigrams of two of these are kept as class bigrams with their row; for others (with a rare word, so never
-skewed) one row a document and bigram is joined with the rare words' counts and classes. Transitions are counted from both.
+Each text is read once to score it. Words whose count in all documents is at or above a threshold, at most ``frequent`` of them, and the end, have counts
+and classes in a broadcast of that bounded size, whether training has them or not. Bigrams of two of these are kept as class bigrams with
+their row; for others one row a document and bigram is joined with the rare words' counts and classes. A rare word is rare in training and
+in held-out texts alike, so no key of that join is hot. Transitions are counted from both, in 64 bits.
 
 Edge cases: null and empty texts are the end token alone. A null id is no text to hash: such rows train. With no training
-document all counts are 0, and scores those of the empty model, 0. Rows with equal ids are scored each on its own.
+document all counts and base scores are 0, and each class is as likely as any other. Rows with equal ids are scored each on its own. Words of equal count are ordered by their
+hashes, classes of equal likelihood by number, a word's own first. Very long texts are read in pieces. An empty table gives an empty table. Other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from docmill.llm.words import as_bytes, batches, hashed, mix, signed
 from docmill.runtime import bounded_batches, discard, tidy, written
 
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
-FREQUENT, ITEMS, SIGNATURES, CLASSES, SEEN = 1 << 19, 1024, 1024, 64, 4
+FREQUENT, ITEMS, SIGNATURES, CLASSES, SEEN = 1 << 19, 1024, 1024, 64, 1
 
 
 SCHEMA = "row long, held_out boolean, doc_id long, n_tokens long, n_known long, base double, score double, codes binary, a long, b long, a_rare boolean, b_rare boolean, a_class int, b_class int, tf int"
@@ -141,15 +145,15 @@ class ClassModel:
         c = len(table)
         size = table.sum(0)
         follow, kinds = table.sum(1), (table > 0).sum(1)
-        share = (size + 1) / (max(1.0, table.sum()) + c)
+        share = (size + 1) / (table.sum() + c)
         keep = follow / np.maximum(1, follow + kinds)
         log_next = np.log10(keep[:, None] * table / np.maximum(1, follow)[:, None] + (1 - keep[:, None]) * share)
-        size = np.maximum(size, types)
         log_size = np.log10(np.maximum(1, size))
         # what a bigram of classes adds, but for the (discounted) count of its second word
         self.step = log_next - log_size
-        # the discount of all types of a class, for its unknown word; 1 in an empty class
-        self.log_unknown = np.log10(np.where(size > 0, np.maximum(discount * types, 1e-9) / np.maximum(1, size), 1.0)) + log_size
+        # the discount of all types of a class, for its unknown word: all in an empty class, and nothing in the end's, whose one word is known
+        with np.errstate(divide="ignore"):
+            self.log_unknown = np.log10(np.where(size > 0, discount * np.asarray(types, float), 1.0))
 
 
 def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, signatures: int = SIGNATURES, n_classes: int = CLASSES, sweeps: int = 8, seen: int = SEEN) -> DataFrame:
@@ -159,6 +163,7 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def training(batch):
+        """The texts of a batch that train."""
         return [t for t, i in zip(as_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), strict=True) if not is_held_out(i)]
 
     def count(parts):
@@ -167,16 +172,17 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
         def flush():
             h = np.concatenate([x[0] for x in held])
             order = np.argsort(h, kind="stable")
-            h, s, n = h[order], np.concatenate([x[1] for x in held])[order], np.concatenate([x[2] for x in held])[order]
+            h, s, n, t = h[order], *(np.concatenate([x[k] for x in held])[order] for k in (1, 2, 3))
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(signed(h[first])), pa.array(s[first].astype(np.int32)), pa.array(np.add.reduceat(n, first))], names=["h", "s", "c"])
+            sums = (pa.array(np.add.reduceat(x, first)) for x in (n, t))
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[first])), pa.array(s[first].astype(np.int32)), *sums], names=["h", "s", "c", "t"])
 
         for batch in parts:
-            texts = training(batch)
+            texts, trains = as_bytes(batch.column("text")), np.array([not is_held_out(i) for i in batch.column("doc_id").to_pylist()], bool)
             for lo, hi in batches(texts):
-                h, s, _ = tokens(texts[lo:hi], signatures)
-                found, at, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((found, s[at], n))
+                h, s, offsets = tokens(texts[lo:hi], signatures)
+                found, at, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                held.append((found, s[at], np.bincount(which, np.repeat(trains[lo:hi], np.diff(offsets)), len(found)).astype(np.int64), n))
                 size += len(found)
                 if size > 1 << 22:
                     yield flush()
@@ -184,14 +190,14 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
         if held:
             yield flush()
 
-    counted = slim.mapInArrow(count, "h long, s int, c long").groupBy("h").agg(F.max("s").alias("s"), F.sum("c").alias("c"))
+    counted = slim.mapInArrow(count, "h long, s int, c long, t long").groupBy("h").agg(F.max("s").alias("s"), F.sum("c").alias("c"), F.sum("t").alias("t"))
     counts = written(counted, "word-counts")
     tidy(spark)
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n, v, ones, twos = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
 
     # the smallest count that at most `frequent` words have, from a histogram of bounded length
-    step = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.floor(F.pow(F.lit(2.0), F.ceil(F.log2("c") * 8) / 8)).cast("long"))
-    histogram = sorted(((r[0], r[1], r[2]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)), F.min("c")).collect()), reverse=True)
+    step = F.when(F.col("t") < 1024, F.col("t")).otherwise(F.floor(F.pow(F.lit(2.0), F.ceil(F.log2("t") * 8) / 8)).cast("long"))
+    histogram = sorted(((r[0], r[1], r[2]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)), F.min("t")).collect()), reverse=True)
     least, total = None, 0
     for _, words, smallest in histogram:
         total += words
@@ -200,17 +206,17 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
         least = smallest
         if total > frequent:
             break
-    ones, twos = (next((w for s, w, _ in histogram if s == k), 0) for k in (1, 2))
+    smallest = least if least is not None else 1
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    top = counts.where(F.col("c") >= F.lit(least if least is not None else 1))
-    # bounded by `frequent` rows, or by the words of the one most frequent step
-    rows = top.select("h", "c", "s").orderBy("h").toArrow()
+    # bounded by `frequent` rows, or by the words of the one most frequent step; the end is always one of them
+    known_here = (F.col("t") >= F.lit(smallest)) | (F.col("h") == F.lit(int(signed(np.array([END]))[0])))
+    rows = counts.where(known_here).select("h", "c", "s").orderBy("h").toArrow()
     keys = rows.column("h").to_numpy().view(np.uint64).copy()
     order = np.argsort(keys)
     keys, key_counts, key_s = keys[order], rows.column("c").to_numpy()[order], rows.column("s").to_numpy()[order]
     del rows
     by_count = np.lexsort((keys, -key_counts))
-    by_count = by_count[keys[by_count] != END][:items]
+    by_count = by_count[(keys[by_count] != END) & (key_counts[by_count] > 0)][:items]
     width = items + signatures + 1
     item_of_key = np.where(keys == END, width - 1, items + key_s)
     item_of_key[by_count] = np.arange(len(by_count))
@@ -246,7 +252,6 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
     c = n_classes + 1
     table = np.zeros((c, c))
     np.add.at(table, (classes[:, None], classes[None, :]), bigrams)
-    smallest = least if least is not None else 1
     # words that get a class of their own; of those not in `keys` no count is known here, so all go out if any can be seen often enough
     moves = (key_counts >= seen) & (keys != END)
     moves[by_count] = False
@@ -339,31 +344,32 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
     tidy(spark)
     ending = F.array(*(F.lit(int(x)) for x in classes[items : items + signatures]))
     classed = counts.join(moved, "h", "left").withColumn("class", F.coalesce("class", F.when(F.col("s") < 0, F.lit(n_classes)).otherwise(F.get(ending, F.col("s")))))
-    classed = written(classed.select("h", "s", "c", "class"), "classed")
+    classed = written(classed.select("h", "s", "c", "t", "class"), "classed")
     discard(moved)
     discard(counts)
     tidy(spark)
     # the words of `keys` again, with classes; then the items'
-    rows = classed.where(F.col("c") >= F.lit(smallest)).select("h", "class").toArrow()
+    rows = classed.where(known_here).select("h", "class").toArrow()
     h = rows.column("h").to_numpy().view(np.uint64)
     class_of_key = np.empty(len(keys), np.int64)
     class_of_key[np.searchsorted(keys, h)] = rows.column("class").to_numpy()
     del rows, h
     # how many words each class has
     types = np.zeros(c)
-    for r in classed.where(F.col("s") >= 0).groupBy("class").count().collect():
+    for r in classed.where((F.col("s") >= 0) & (F.col("c") > 0)).groupBy("class").count().collect():
         types[r["class"]] = r["count"]
     types -= np.bincount(class_of_key[by_count], minlength=c)
     class_of_key[by_count] = classes[item_of_key[by_count]]
     types += np.bincount(class_of_key[by_count], minlength=c)
     endings = classes[items : items + signatures]
-    shared = spark.sparkContext.broadcast((keys, class_of_key, np.log10(np.maximum(key_counts - discount, 1e-9)), np.log10((key_counts + 1) / (float(n) + (float(v) + 1)))))
+    log_word = np.log10(np.where(keys == END, np.maximum(1, key_counts), np.where(key_counts > 0, key_counts - discount, 1.0)))
+    shared = spark.sparkContext.broadcast((keys, class_of_key, key_counts > 0, log_word, np.log10((key_counts + 1) / (float(n) + (float(v) + 1)))))
 
     def score(parts):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        some, class_of, log_word, log_base = shared.value
+        some, class_of, trained, log_word, log_base = shared.value
         for batch in parts:
             ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
             for lo, hi in batches(texts):
@@ -372,19 +378,25 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
                 doc = np.repeat(np.arange(k), np.diff(offsets))
                 cls = np.where(h == END, n_classes, endings[s])
                 hit = np.zeros(len(h), bool)
-                base, known, score = np.zeros(k), np.zeros(k, np.int64), np.zeros(k)
+                known, score, strange, word_base = np.zeros(k, np.int64), np.zeros(k), np.zeros(len(h), bool), np.zeros(len(h))
                 if len(some):
                     at = np.minimum(np.searchsorted(some, h), len(some) - 1)
                     hit = some[at] == h
                     at = at[hit]
                     cls[hit] = class_of[at]
-                    base, known, score = np.bincount(doc[hit], log_base[at], k), np.bincount(doc[hit], minlength=k), np.bincount(doc[hit], log_word[at], k)
+                    strange[hit] = ~trained[at]
+                    word_base[hit] = log_base[at]
+                    known, score = np.bincount(doc[hit], trained[at], k).astype(np.int64), np.bincount(doc[hit], log_word[at], k)
                 # the token before each, the end before the first; the end is never rare
                 prior, prior_h, prior_rare = np.roll(cls, 1), np.roll(h, 1), np.roll(~hit & (h != END), 1)
                 first = offsets[:-1]
                 prior[first], prior_h[first], prior_rare[first] = n_classes, END, False
                 plain = hit & ~prior_rare
-                codes = (prior * c + cls)[plain].astype(np.int32)
+                # what training hasn't counts as rare after a rare word, and gets its base there
+                rare = ~hit | strange & prior_rare
+                base = np.bincount(doc[~rare], word_base[~rare], k)
+                # bigrams whose second word training hasn't have codes of their own
+                codes = (prior * c + cls + c * c * strange)[plain].astype(np.int32)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[plain], minlength=k))])
                 held = [is_held_out(i) for i in ids[lo:hi]]
                 own = row + np.arange(k)
@@ -403,14 +415,14 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
                     j = len(order)
                     # a word that needs no join has a key of its own, so that no task gets all of one word
                     salt = mix(order.astype(np.uint64) + (own[doc[order]].astype(np.uint64) << np.uint64(20)))
-                    a, b = np.where(prior_rare[order], prior_h[order], salt), np.where(hit[order], ~salt, h[order])
+                    a, b = np.where(prior_rare[order], prior_h[order], salt), np.where(hit[order] | (h[order] == END), ~salt, h[order])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[doc[order]]), pa.array(np.array(held)[doc[order]]), *(nulls(j, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())), pa.array(signed(a)), pa.array(signed(b)), pa.array(prior_rare[order]), pa.array(~hit[order]), pa.array(prior[order].astype(np.int32)), pa.array(cls[order].astype(np.int32)), pa.array(times.astype(np.int32))],
+                        [pa.array(own[doc[order]]), pa.array(np.array(held)[doc[order]]), *(nulls(j, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())), pa.array(signed(a)), pa.array(signed(b)), pa.array(prior_rare[order]), pa.array(rare[order]), pa.array(prior[order].astype(np.int32)), pa.array(cls[order].astype(np.int32)), pa.array(times.astype(np.int32))],
                         names=NAMES,
                     )
 
     scored = written(slim.mapInArrow(score, SCHEMA), "scored")
-    few = classed.where(F.col("c") < F.lit(smallest))
+    few = classed.where(~known_here)
     second = few.select(F.col("h").alias("b"), F.col("c").alias("b_count"), F.col("class").alias("b_moved"))
     first = few.select(F.col("h").alias("a"), F.col("class").alias("a_moved"))
     rare = scored.where(F.col("codes").isNull()).select("row", "held_out", "a", "b", "a_rare", "b_rare", "a_class", "b_class", "tf").join(second, "b", "left").join(first, "a", "left")
@@ -427,10 +439,11 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
         table[r["a_class"], r["b_class"]] += r["n"]
     model = ClassModel(table, types, discount)
     step = model.step.ravel()
+    both_steps = np.concatenate([step, (model.step + model.log_unknown).ravel()])
 
     def plain_scores(parts):
         for batch in parts:
-            more = [float(step[np.frombuffer(x, np.int32)].sum()) for x in batch.column("codes").to_pylist()]
+            more = [float(both_steps[np.frombuffer(x, np.int32)].sum()) for x in batch.column("codes").to_pylist()]
             keep = [k for k in batch.schema.names if k not in ("codes", "score")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(np.asarray(batch.column("score")) + np.array(more), pa.float64())], names=[*keep, "score"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SEGMENT = 1 << 15
-#: Counters (4 bytes each) of a sketch; the bound of what is broadcast.
+#: Counters (8 bytes each) of a sketch; the bound of what is broadcast.
 WIDTH = 1 << 21
 
 
@@ -19,47 +19,55 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 
 
 class Counters:
-    """The counters of one task."""
+    """The counters of one task: 32 bits each; before one would overflow, all go out and begin again at 0. Sums over tasks have 64 bits."""
 
-    def __init__(self, width: int = WIDTH):
-        self.total = np.zeros(-(-width // SEGMENT) * SEGMENT, np.uint32)
+    def __init__(self, width: int = WIDTH, most: int = 0xFFFFFFFF):
+        self.total, self.most, self.full = np.zeros(-(-width // SEGMENT) * SEGMENT, np.uint32), most, []
 
     def add(self, at: np.ndarray) -> None:
         found, counts = np.unique(at, return_counts=True)
-        self.total[found] = np.minimum(self.total[found].astype(np.int64) + counts, 0xFFFFFFFF)
+        after = self.total[found].astype(np.int64) + counts
+        if len(found) and after.max() > self.most:
+            self.full += self._payloads()
+            self.total[:] = 0
+            after = counts
+        self.total[found] = after
+
+    def _payloads(self) -> list[tuple[int, bytes]]:
+        pieces = self.total.reshape(-1, SEGMENT)
+        return [(k, zlib.compress(pieces[k].astype(np.uint64).tobytes(), 1)) for k in np.flatnonzero(pieces.any(1)).tolist()]
 
     def segments(self) -> Iterator[tuple[int, bytes]]:
-        pieces = self.total.reshape(-1, SEGMENT)
-        for k in np.flatnonzero(pieces.any(1)).tolist():
-            yield k, zlib.compress(pieces[k].tobytes(), 1)
+        yield from self.full
+        yield from self._payloads()
 
 
 def summed(table: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """The sum of the counters in ``table`` (segment, counts), segment by segment, in memory of one segment."""
+    """The sum of the counters in ``table`` (segment, counts), in 64 bits, segment by segment, in memory of one segment."""
     schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
 
-    def rows(segments, payloads):
-        return pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(payloads, pa.binary())], schema=schema)
+    def row(segment, total):
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], schema=schema)
 
     def merge(parts):
         at, total = -1, None
         for batch in parts:
-            for row in batch.to_pylist():
-                piece = np.frombuffer(zlib.decompress(row["counts"]), np.uint32).astype(np.int64)
-                if row["segment"] != at:
+            for r in batch.to_pylist():
+                piece = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
+                if r["segment"] != at:
                     if at >= 0:
-                        yield rows([at], [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)])
-                    at, total = row["segment"], piece
+                        yield row(at, total)
+                    at, total = r["segment"], piece
                 else:
                     total = total + piece
         if at >= 0:
-            yield rows([at], [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)])
+            yield row(at, total)
 
     merged = table.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, counts binary")
-    out = np.zeros(-(-width // SEGMENT) * SEGMENT, np.uint32)
-    for row in merged.toLocalIterator():
-        lo = row["segment"] * SEGMENT
-        out[lo : lo + SEGMENT] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint32)
+    out = np.zeros(-(-width // SEGMENT) * SEGMENT, np.uint64)
+    for r in merged.toLocalIterator():
+        lo = r["segment"] * SEGMENT
+        out[lo : lo + SEGMENT] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
     return out[:width]
 
 

@@ -1,4 +1,5 @@
 import base64
+import collections
 import json
 import math
 import re
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from docmill.llm import licenses, secrets
 from docmill.llm.decontaminate import Items, contamination, edit_search, op1_decontaminate
 from docmill.llm.licenses import TEMPLATES, bands_for, license_scan
-from docmill.llm.lm import exchange_classes, is_held_out, score_texts
+from docmill.llm.lm import ClassModel, exchange_classes, is_held_out, score_texts
+from docmill.llm.lm import tokens as lm_tokens
 from docmill.llm.mixing import mix_sources, op8_mix_sources
 from docmill.llm.quality import quality_rules
 from docmill.llm.secrets import op10_secret_scan, secret_scan
+from docmill.llm.sketch import Counters, summed
 from docmill.llm.toxicity import fit_ordinal, fit_toxicity, op6_toxicity, score_toxicity
 from docmill.llm.words import hashed
 from tests.llm import brute
@@ -455,6 +458,114 @@ def test_lm_base(edge, frequent):
     assert got == lm_brute(texts(edge))
 
 
+def lm_scores_brute(made, n_items, n_endings, n_classes):
+    """The model in plain Python: only the hashes of words and endings, which name them, and the first exchange, which has a test of its own, are the engine's."""
+    said = [[*brute.words(t, True), None] for _, t in made]
+    train = [k for k, (i, _) in enumerate(made) if not is_held_out(i)]
+    h, s, _ = lm_tokens([(t or "").encode() for _, t in made], n_endings)
+    name, flat = {}, [w for ws in said for w in ws]
+    for w, a, b in zip(flat, h.tolist(), s.tolist(), strict=True):
+        name[w] = (a, b)
+    count = collections.Counter(w for k in train for w in said[k])
+    pairs = collections.Counter((a, b) for k in train for a, b in zip([None, *said[k]], said[k], strict=False))
+    ranked = sorted((w for w in count if w is not None), key=lambda w: (-count[w], name[w][0]))
+    item = {w: j for j, w in enumerate(ranked[:n_items])} | {None: n_items + n_endings}
+    at = lambda w: item.get(w, n_items + name[w][1])
+    matrix = np.zeros((n_items + n_endings + 1,) * 2)
+    for (a, b), n in pairs.items():
+        matrix[at(a), at(b)] += n
+    first = exchange_classes(matrix, n_classes)
+    c = n_classes + 1
+    table = np.zeros((c, c))
+    np.add.at(table, (first[:, None], first[None, :]), matrix)
+    f = lambda v: v * math.log(v) if v > 0 else 0.0
+    own = {w: int(first[at(w)]) for w in name}
+    for w in ranked[n_items:]:
+        k, after, before = int(first[at(w)]), collections.Counter(), collections.Counter()
+        for (a, b), n in pairs.items():
+            if a == w:
+                after[int(first[at(b)])] += n
+            if b == w:
+                before[int(first[at(a)])] += n
+        gains = []
+        for d in range(n_classes):
+            less = lambda v, n, d=d: max(v - n, 0) if d == k else v
+            gain = sum(f(less(table[d, x], n) + n) - f(less(table[d, x], n)) for x, n in after.items()) + sum(f(less(table[x, d], n) + n) - f(less(table[x, d], n)) for x, n in before.items())
+            for total, n in ((table[d].sum(), after.total()), (table[:, d].sum(), before.total())):
+                gain -= f(less(total, n) + n) - f(less(total, n))
+            gains.append(gain + 1e-9 * (d == k))
+        own[w] = int(np.argmax(gains))
+    final = collections.Counter()
+    for (a, b), n in pairs.items():
+        final[own[a], own[b]] += n
+    size, follow = collections.Counter(), collections.Counter()
+    for (a, b), n in final.items():
+        size[b] += n
+        follow[a] += n
+    kinds = collections.Counter(a for a, _ in final)
+    types = collections.Counter(own[w] for w in count if w is not None)
+    ones, twos = (sum(v == k for v in count.values()) for k in (1, 2))
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    total = sum(final.values())
+
+    def step(a, b):
+        keep = follow[a] / max(1, follow[a] + kinds[a])
+        return keep * final[a, b] / max(1, follow[a]) + (1 - keep) * (size[b] + 1) / (total + c)
+
+    def word(w):
+        k = own[w]
+        if w in count:
+            return (count[w] - (discount if w is not None else 0)) / size[k]
+        return discount * types[k] / size[k] if size[k] else 1.0
+
+    return [(i, sum(math.log10(step(own[a], own[b]) * word(b)) for a, b in zip([None, *ws], ws, strict=False))) for (i, _), ws in zip(made, said, strict=True)]
+
+
+@pytest.mark.parametrize("frequent", [1 << 19, 50], ids=["all frequent", "mostly rare"])
+def test_lm_score_against_plain_python(edge, frequent):
+    made = texts(edge)
+    got = sorted(((r.doc_id, r.score) for r in score_texts(edge, frequent=frequent, items=8, signatures=32, n_classes=8).collect()), key=repr)
+    want = sorted(lm_scores_brute(made, 8, 32, 8), key=repr)
+    close = lambda rows: sorted((str(i), round(s, 5)) for i, s in rows)
+    assert close(got) == close(want)
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(7)
+    c, discount = 6, 0.7
+    table = rng.integers(0, 9, (c, c)).astype(float)
+    table[:, 2] = 0  # a class that never occurs
+    words = [[] if k in (2, c - 1) else (lambda n: np.bincount(np.concatenate([np.arange(n), rng.integers(0, n, int(table[:, k].sum()) - n)]), minlength=n))(5) for k in range(c)]
+    model = ClassModel(table, np.array([len(w) for w in words]), discount)
+    for k in range(c):
+        log_size = math.log10(max(1, table[:, k].sum()))
+        known = sum(10 ** (math.log10(n - discount) - log_size) for n in words[k]) if k < c - 1 else 10 ** (math.log10(table[:, k].sum()) - log_size)
+        assert known + 10 ** (model.log_unknown[k] - log_size) == pytest.approx(1), k
+        assert (10 ** (model.step[k] + np.log10(np.maximum(1, table.sum(0))))).sum() == pytest.approx(1), k
+    empty = ClassModel(np.zeros((3, 3)), np.zeros(3), 0.5)
+    assert (10**empty.step).sum(1) == pytest.approx([1, 1, 1]) and (empty.log_unknown == 0).all()
+
+
+def test_counters_beyond_32_bits(spark):
+    one = Counters(100)
+    one.total[7] = 0xFFFFFFFE
+    one.add(np.array([7, 7, 7, 8]))
+    parts = list(one.segments())
+    table = spark.createDataFrame([(k, bytearray(p)) for k, p in parts] * 3, "segment int, counts binary")
+    out = summed(table, 100)
+    assert len(parts) == 2 and out[7] == 3 * (0xFFFFFFFE + 3) and out[8] == 3 and out.sum() == out[7] + 3
+
+
+def test_lm_in_a_very_long_text_and_beside_clashing_names(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 500, 300_000))
+    made = [(1, long), (2, "w1 w2 new"), (2, "w1 w2 new"), (None, "w3"), (3, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x", 0.5) for i, t in made], "doc_id long, text string, c int, class string, score double")
+    got = score_texts(docs, items=64, signatures=32, n_classes=8).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == [(-1, 2), (1, 300_001), (2, 4), (2, 4), (3, 1)]
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
+
+
 def test_lm_beats_words_alone_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = score_texts(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
