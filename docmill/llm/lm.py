@@ -18,7 +18,7 @@ training documents only. Every word has a class, and
 
 Each text is read once to score it. Words whose count in all documents is at or above a threshold, at most ``frequent`` of them, and the end, have counts
 and classes in a broadcast of that bounded size, whether training has them or not. Bigrams of two of these are kept as class bigrams with
-their row; for others one row a document and bigram is joined with the rare words' counts and classes. A rare word is rare in training and
+their row; for others one row a bigram is joined with the rare words' counts and classes. A rare word is rare in training and
 in held-out texts alike, so no key of that join is hot. Transitions are counted from both, in 64 bits.
 
 Edge cases: null and empty texts are the end token alone. A null id is no text to hash: such rows train. With no training
@@ -44,7 +44,7 @@ END = np.uint64(0x0E0E0E0E0E0E0E0E)
 FREQUENT, ITEMS, SIGNATURES, CLASSES, SEEN = 1 << 19, 1024, 1024, 64, 1
 
 
-SCHEMA = "row long, held_out boolean, doc_id long, n_tokens long, n_known long, base double, score double, codes binary, a long, b long, a_rare boolean, b_rare boolean, a_class int, b_class int, tf int"
+SCHEMA = "row long, held_out boolean, doc_id long, n_tokens long, n_known long, base double, score double, codes binary, a long, b long, a_rare boolean, b_rare boolean, a_class int, b_class int"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
@@ -171,7 +171,7 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
 
         def flush():
             h = np.concatenate([x[0] for x in held])
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, s, n, t = h[order], *(np.concatenate([x[k] for x in held])[order] for k in (1, 2, 3))
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sums = (pa.array(np.add.reduceat(x, first)) for x in (n, t))
@@ -181,9 +181,12 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
             texts, trains = as_bytes(batch.column("text")), np.array([not is_held_out(i) for i in batch.column("doc_id").to_pylist()], bool)
             for lo, hi in batches(texts):
                 h, s, offsets = tokens(texts[lo:hi], signatures)
-                found, at, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                held.append((found, s[at], np.bincount(which, np.repeat(trains[lo:hi], np.diff(offsets)), len(found)).astype(np.int64), n))
-                size += len(found)
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                train = np.repeat(trains[lo:hi], np.diff(offsets))[order].astype(np.int64)
+                held.append((h[first], s[order[first]], np.add.reduceat(train, first), np.diff(np.append(first, len(h)))))
+                size += len(first)
                 if size > 1 << 22:
                     yield flush()
                     held, size = [], 0
@@ -262,10 +265,17 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
         held, size = [], 0
 
         def combined(h, s, code, n):
-            order = np.lexsort((code, h))
-            h, s, code, n = h[order], s[order], code[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])]))
-            return h[first], s[first], code[first], np.add.reduceat(n, first)
+            """Equal pairs of word and code as one, in the order of words: sorted as one number each."""
+            by = np.argsort(h)
+            new = np.concatenate([[True], h[by[1:]] != h[by[:-1]]])
+            word = np.empty(len(h), np.int64)
+            word[by] = np.cumsum(new) - 1
+            pair = word * (2 * c) + code
+            order = np.argsort(pair)
+            pair = pair[order]
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            at = by[new][pair[first] // (2 * c)]
+            return h[at], s[at], pair[first] % (2 * c), np.add.reduceat(n[order], first)
 
         def flush():
             h, s, code, n = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -313,7 +323,19 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
             often = np.bincount(word, n, len(h)) >= 2 * seen
             keep = often[word]
             word = (np.cumsum(often) - 1)[word[keep]]
-            found = best_classes(table, classes[items + s[often]], word, code[keep], n[keep]) if often.any() else np.zeros(0, np.int64)
+            code, n, now = code[keep], n[keep], classes[items + s[often]]
+            found = np.zeros(len(now), np.int64)
+            # of words seen once all that matters is the class before, the class after and their own: each such case is settled once
+            once = np.bincount(word, minlength=len(now)) == 2
+            once[word[n > 1]] = False
+            single = once[word]
+            if once.any():
+                a, b = code[single].reshape(-1, 2).T
+                case, at, which = np.unique((now[once] * (2 * c) + a) * (2 * c) + b, return_index=True, return_inverse=True)
+                pair = np.stack([a[at], b[at]], 1).ravel()
+                found[once] = best_classes(table, now[once][at], np.repeat(np.arange(len(case)), 2), pair, np.ones(len(pair)))[which]
+            if not once.all():
+                found[~once] = best_classes(table, now[~once], (np.cumsum(~once) - 1)[word[~single]], code[~single], n[~single])
             return pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(found.astype(np.int32))], names=["h", "class"])
 
         for batch in parts:
@@ -403,21 +425,17 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
                 row += k
                 nulls = lambda m, kind: pa.nulls(m, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(held), pa.array(ids[lo:hi], pa.int64()), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(score), pa.array([codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), *(nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()))],
+                    [pa.array(own), pa.array(held), pa.array(ids[lo:hi], pa.int64()), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(score), pa.array([codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), *(nulls(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32()))],
                     names=NAMES,
                 )
                 rest = np.flatnonzero(~plain)
                 if len(rest):
-                    order = rest[np.lexsort((prior_h[rest], h[rest], doc[rest]))]
-                    new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (prior_h[order[1:]] != prior_h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])])
-                    new = np.flatnonzero(new)
-                    times, order = np.diff(np.append(new, len(order))), order[new]
-                    j = len(order)
+                    order, j = rest, len(rest)
                     # a word that needs no join has a key of its own, so that no task gets all of one word
                     salt = mix(order.astype(np.uint64) + (own[doc[order]].astype(np.uint64) << np.uint64(20)))
                     a, b = np.where(prior_rare[order], prior_h[order], salt), np.where(hit[order] | (h[order] == END), ~salt, h[order])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[doc[order]]), pa.array(np.array(held)[doc[order]]), *(nulls(j, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())), pa.array(signed(a)), pa.array(signed(b)), pa.array(prior_rare[order]), pa.array(rare[order]), pa.array(prior[order].astype(np.int32)), pa.array(cls[order].astype(np.int32)), pa.array(times.astype(np.int32))],
+                        [pa.array(own[doc[order]]), pa.array(np.array(held)[doc[order]]), *(nulls(j, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())), pa.array(signed(a)), pa.array(signed(b)), pa.array(prior_rare[order]), pa.array(rare[order]), pa.array(prior[order].astype(np.int32)), pa.array(cls[order].astype(np.int32))],
                         names=NAMES,
                     )
 
@@ -425,9 +443,9 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
     few = classed.where(~known_here)
     second = few.select(F.col("h").alias("b"), F.col("c").alias("b_count"), F.col("class").alias("b_moved"))
     first = few.select(F.col("h").alias("a"), F.col("class").alias("a_moved"))
-    rare = scored.where(F.col("codes").isNull()).select("row", "held_out", "a", "b", "a_rare", "b_rare", "a_class", "b_class", "tf").join(second, "b", "left").join(first, "a", "left")
+    rare = scored.where(F.col("codes").isNull()).select("row", "held_out", "a", "b", "a_rare", "b_rare", "a_class", "b_class").join(second, "b", "left").join(first, "a", "left")
     choose = lambda x: F.when(F.col(f"{x}_rare"), F.coalesce(f"{x}_moved", f"{x}_class")).otherwise(F.col(f"{x}_class")).alias(f"{x}_class")
-    rare = written(rare.select("row", "held_out", choose("a"), choose("b"), "b_rare", F.coalesce("b_count", F.lit(0)).alias("b_count"), "tf"), "rare")
+    rare = written(rare.select("row", "held_out", choose("a"), choose("b"), "b_rare", F.coalesce("b_count", F.lit(0)).alias("b_count")), "rare")
     tidy(spark)
 
     def plain_codes(batch):
@@ -435,7 +453,7 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
             yield np.frombuffer(x, np.int32)
 
     table = count_sketch(scored.where(F.col("codes").isNotNull() & ~F.col("held_out")).select("codes"), plain_codes, c * c).reshape(c, c).astype(np.float64)
-    for r in rare.where(~F.col("held_out")).groupBy("a_class", "b_class").agg(F.sum("tf").alias("n")).collect():
+    for r in rare.where(~F.col("held_out")).groupBy("a_class", "b_class").agg(F.count(F.lit(1)).alias("n")).collect():
         table[r["a_class"], r["b_class"]] += r["n"]
     model = ClassModel(table, types, discount)
     step = model.step.ravel()
@@ -452,9 +470,9 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, items: int = ITEMS, s
     count = F.col("b_count")
     word = F.when(~F.col("b_rare"), F.lit(0.0)).when(count > 0, F.log10(F.greatest(count - F.lit(float(discount)), F.lit(1e-9)))).otherwise(F.get(unknown, F.col("b_class")))
     sums = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("b_rare") & (count > 0), F.col("tf")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(F.col("b_rare"), F.col("tf") * F.log10((count + 1) / F.lit(float(n) + (float(v) + 1)))).otherwise(0.0)).alias("more_base"),
-        F.sum(F.col("tf") * (word + F.get(steps, F.col("a_class") * c + F.col("b_class")))).alias("more_score"),
+        F.count_if(F.col("b_rare") & (count > 0)).alias("more_known"),
+        F.sum(F.when(F.col("b_rare"), F.log10((count + 1) / F.lit(float(n) + (float(v) + 1)))).otherwise(0.0)).alias("more_base"),
+        F.sum(word + F.get(steps, F.col("a_class") * c + F.col("b_class"))).alias("more_score"),
     )
     whole = whole.join(sums, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
