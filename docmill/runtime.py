@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a slim side (ids and a few numbers a row) may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 16
+#: Keys that may each hold more than one in so many rows are fewer than that.
+HOT_KEYS = 1 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,9 +58,29 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a (written, or else cheap) table is counted to be within ``rows``."""
+    return table.limit(rows + 1).count() <= rows
+
+
 def small_enough(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only if ``table`` is counted to be within ``rows``; else Spark shuffles it."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    return F.broadcast(table) if is_small(table, rows) else table
+
+
+def join_keys(rows: DataFrame, side: DataFrame, keys: list[str], n: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The inner join of ``rows`` with a written ``side`` that has each key once and in column ``n`` how many of ``rows`` have it.
+
+    A small side is broadcast. Of a larger one only keys that hold over a ``HOT_KEYS``-th of the rows are, which are fewer than ``HOT_KEYS`` whatever
+    the input; the others are joined by a shuffle in which no key is hot.
+    """
+    if is_small(side, limit):
+        return rows.join(F.broadcast(side), keys)
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = F.coalesce(F.col(n) * HOT_KEYS > F.lit(total), F.lit(False))
+    few = F.broadcast(side.where(hot))
+    cold = rows.join(F.broadcast(side.where(hot).select(*keys)), keys, "left_anti").join(side.where(~hot), keys)
+    return rows.join(few, keys).unionByName(cold)
 
 
 def plan_bytes(df: DataFrame) -> int:
