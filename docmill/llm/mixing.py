@@ -6,14 +6,15 @@ A source's target takes every document as often as it fits whole (complete epoch
 taken in the order of exponential keys -ln(u) / quality, u from a hash of the document's id, up to the word budget.
 The document in which the budget ends is taken in part, so a source meets its target to the word.
 
-The prefix sum within a source goes by key range: words summed per range, the range in which the budget ends found
-from at most 1024 sums a source, that range divided once more, and only the last small range sorted row by row. A
-source that holds a third of all rows is thus spread like any other. Sources are ranked by ranges too, and the
-shares found by passes that bring two numbers to the driver.
+The prefix sum within a source goes by key range, level by level: words summed per range of the keys, of which the one in which the budget ends is divided
+further, into at most some 2048 each time. After the key come the id, the size and a row number, so that rows that share a key, all rows without id say, are divided
+too. Only what at most ``LAST`` rows of a source are left for is sorted row by row. A source that holds a third of all rows is thus spread like any other, and
+so is one whose budget ends among many like keys. Sources are ranked by ranges too, and the shares found by passes that bring two numbers to the driver;
+each caps at least one more source, so they end.
 
 Edge cases: null text has size 0, as has empty text; a null source is a source of its own, after the others; null
 ids are one id. Rows that agree in id and size are interchangeable; each is taken on its own. With no words at all every target is 0. An
-empty table gives an empty table.
+empty table gives an empty table. Very long texts count like others: a budget may end inside one. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.runtime import small_enough, written
+from docmill.runtime import discard, is_small, join_keys, written
 
-RANGES = 1024
+#: Rows of a source that may be sorted in one task.
+LAST = 1 << 13
 _BLANK = " \t\n\x0b\f\r"
 #: Characters that speak against a text's quality.
 _MARKS = "0123456789#*$%&|<>{}[]()!_=/\\@"
@@ -66,62 +68,75 @@ def shares(sources: DataFrame, weights: Sequence[float], share: float, most: flo
     full = F.col("source_size") * F.lit(float(most))
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     each, capped = 0.0, None
-    for _ in range(1000):
+    while True:
         over = full < F.lit(each) * F.col("weight")
         row = weighed.agg(F.coalesce(F.sum(F.when(over, full)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)), F.count(F.when(over, 1))).first()
         if row[2] == capped or not row[1]:
             break
         capped, each = row[2], (share * total - row[0]) / row[1]
-    return weighed.withColumn("target", F.least(full, F.lit(each) * F.col("weight"))).drop("weight")
+    # nothing but capped sources (or none): all get what they may
+    share_of = F.when(F.lit(bool(row[1])), F.lit(each) * F.col("weight")).otherwise(full)
+    return weighed.withColumn("target", F.least(full, share_of)).drop("weight")
 
 
-def _cut(rows: DataFrame, by: str, left: str) -> DataFrame:
-    """For each source the range ``by`` in which ``left`` words end and the words before it."""
-    sums = rows.groupBy("source", by, left).agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy(by))
-    ends = sums.withColumn("upto", upto).where((F.col("upto") >= F.col(left)) & (F.col("upto") - F.col("words") < F.col(left)))
-    return ends.groupBy("source").agg(F.min(by).alias(f"{by}_end"), F.min(F.col("upto") - F.col("words")).alias(f"{by}_before"))
+def _prefixes(column: str, bits: int) -> list[Column]:
+    """A whole number's leading bits, 11 more each time, down to all of it: each divides the one before."""
+    return [F.shiftright(F.col(column), max(0, k)) for k in range(bits - 11, -11, -11)]
 
 
-def _with(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """A left join on the source, null matching null; broadcast only if counted to be small."""
-    other = small_enough(per_source.withColumnRenamed("source", "__source"))
-    return rows.join(other, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+def _levels() -> list[Column]:
+    """What divides the rows of a source in the order of key, id, size and row. A key times a power of two is exact."""
+    return [F.floor(F.col("key") * float(1 << k)) for k in (2, 13, 24, 35, 46)] + _prefixes("id", 64) + _prefixes("size", 40) + _prefixes("row", 64)
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, last: int = LAST) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, taken): how many words of each document the mix takes.
 
     ``epochs`` is how often the source goes in whole; ``taken`` adds the document's part in the last, partial epoch.
     """
     text = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), quality_weight(text).alias("w"))
-    key = sampling_key(F.col("doc_id"), F.col("w"), seed)
-    slim = slim.withColumn("key", key).withColumn("x", (1 - F.exp(-F.col("key"))) * RANGES)
-    first = F.least(F.floor("x"), F.lit(RANGES - 1)).cast("int")
-    slim = slim.withColumn("r1", first).withColumn("r2", F.least(F.floor((F.col("x") - F.col("r1")) * RANGES), F.lit(RANGES - 1)).cast("int"))
-    slim = written(slim.drop("w", "x"), "sizes")
-    targets = shares(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    slim = slim.withColumn("key", sampling_key(F.col("doc_id"), F.col("w"), seed)).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # a source by a name that is never null, and a number for each row
+    slim = slim.withColumn("s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).withColumn("row", F.monotonically_increasing_id())
+    slim = written(slim.drop("w"), "sizes")
+    targets = shares(slim.groupBy("s", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most)
     whole = F.coalesce(F.try_divide(F.floor("target"), F.col("source_size")), F.lit(0.0))
     targets = targets.withColumn("epochs", F.floor(whole).cast("long")).withColumn("left", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
     targets = written(targets, "targets")
-    rows = _with(slim, targets)
-    open_rows = rows.where(F.col("left") > 0)
-    one = _cut(open_rows, "r1", "left")
-    rows = _with(rows, one)
-    inside = rows.where((F.col("left") > 0) & (F.col("r1") == F.col("r1_end"))).withColumn("left2", F.col("left") - F.col("r1_before"))
-    two = _cut(inside, "r2", "left2")
-    ends = written(_with(one, two), "ends")
-    rows = _with(_with(slim, targets), ends)
-    here = (F.col("left") > 0) & (F.col("r1") == F.col("r1_end")) & (F.col("r2") == F.col("r2_end"))
-    early = (F.col("left") > 0) & ((F.col("r1") < F.col("r1_end")) | (F.col("r1") == F.col("r1_end")) & (F.col("r2") < F.col("r2_end")))
-    done = rows.where(~F.coalesce(here, F.lit(False))).withColumn("part", F.when(early, F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("r1_before") + F.col("r2_before")
-    last = rows.where(here).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - before)))
+    inside = join_keys(slim.select("s", "key", "id", "size", "row"), targets.where("left > 0").select("s", "left", "n"), ["s"], "n").drop("n")
+    ends, levels, before = None, [], []
+    for k, level in enumerate(_levels()):
+        levels.append(level)
+        rows = inside.withColumn("d", level)
+        sums = rows.groupBy("s", "left", "d").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("d")))
+        cut = upto.where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("words") < F.col("left")))
+        cut = written(cut.select("s", F.col("d").alias(f"e{k}"), (F.col("upto") - F.col("words")).alias("skip"), "n"), "cuts")
+        here = join_keys(rows, cut, ["s"], "n").where(F.col("d") == F.col(f"e{k}"))
+        after = written(here.select("s", "key", "id", "size", "row", (F.col("left") - F.col("skip")).alias("left")), "inside")
+        found = cut.select("s", f"e{k}")
+        ends = found if ends is None else ends.join(found, "s")
+        before.append(inside)
+        inside = after
+        if (cut.agg(F.max("n")).first()[0] or 0) <= last:
+            break
+    for old in before:
+        discard(old)
+    targets = written(targets.join(ends, "s", "left"), "ends")
+    rows = join_keys(slim, targets.drop("source"), ["s"], "n")
+    mark, end = F.struct(*(x.alias(f"e{k}") for k, x in enumerate(levels))), F.struct(*(F.col(f"e{k}") for k in range(len(levels))))
+    open_source = F.col("e0").isNotNull()
+    order = Window.partitionBy("s").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0))
+    parts = written(inside.select("s", "row", F.greatest(F.lit(0), F.least(F.col("size"), rest)).alias("part")), "parts")
+    discard(inside)
+    early = rows.where(~open_source | (mark != end)).withColumn("part", F.when(open_source & (mark < end), F.col("size")).otherwise(F.lit(0)))
+    # the few rows in which budgets end
+    here = rows.where(open_source & (mark == end)).join(F.broadcast(parts.drop("s")) if is_small(parts) else parts.drop("s"), "row")
     taken = F.col("epochs") * F.col("size") + F.col("part")
     columns = ["doc_id", "source", "size", "source_size", "target", "epochs"]
-    return done.unionByName(last).select(*columns, taken.cast("long").alias("taken"))
+    return early.select(*columns, taken.cast("long").alias("taken")).unionByName(here.select(*columns, taken.cast("long").alias("taken")))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

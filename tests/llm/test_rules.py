@@ -98,6 +98,30 @@ def test_mixing_prefers_quality(spark):
     assert taken[True] > 1.5 * taken[False] > 0
 
 
+def test_mixing_divides_rows_that_share_a_key(spark):
+    """A third of all rows without id and of one weight, so of one key; and weights so low that most keys are large. Few rows may be left to sort."""
+    made = [(None, "word " * (k % 3 + 1), "a") for k in range(3000)] + [(k, "1234 5678 ###", "b") for k in range(3000)] + [(9, "word word", "c")] * 2000 + [(k, "word " * 9, None) for k in range(1000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(7)
+    some = {n: sorted(map(repr, mix_sources(docs, weights=(3, 1, 1, 4), share=0.4, last=n).drop("taken").collect())) for n in (40, 1 << 13)}
+    assert some[40] == some[1 << 13]
+    for n in (40, 1 << 13):
+        out = mix_sources(docs, weights=(3, 1, 1, 4), share=0.4, last=n).groupBy("source", "target").agg(F.sum("taken").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if((F.col("taken") > 0) & (F.col("taken") < F.col("size"))).alias("parts")).collect()
+        assert len(out) == 4 and sum(r["rows"] for r in out) == 9000 and all(r["n"] == math.floor(r["target"]) and r["parts"] <= 1 for r in out)
+
+
+def test_mixing_a_very_long_text_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "x " * 2_000_000, "a", 5, "k", 3), (2, "a b", "a", 5, "k", 3), (3, None, None, 5, "k", 3)], "doc_id long, text string, source string, size int, key string, row int")
+    out = mix_sources(docs).collect()
+    assert sum(r.taken for r in out) == math.floor(1.5 * 2_000_002) and {r["size"] for r in out} == {2_000_000, 2, 0}
+
+
+def test_mixing_many_capped_sources(spark):
+    """Each source many times larger than the one before: they are capped one after the other."""
+    docs = spark.createDataFrame([(k, "w " * 3**k, f"s{k:02d}") for k in range(9)], "doc_id long, text string, source string")
+    out = {r.source: r for r in mix_sources(docs, weights=(1,)).collect()}
+    assert sum(r.target for r in out.values()) == pytest.approx(1.5 * sum(3**k for k in range(9))) and all(r.target <= 2 * r.source_size for r in out.values())
+
+
 def test_mixing_without_words(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {(r.target, r.taken) for r in mix_sources(docs).collect()} == {(0.0, 0)}
