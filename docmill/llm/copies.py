@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.words import as_bytes
-from docmill.runtime import small_enough, written
+from docmill.runtime import join_keys, small_enough, written
 
 SLIM = "doc_id long, n long, f1 long, f2 long"
 
@@ -41,7 +41,6 @@ def with_copy_marks(docs: DataFrame, prints: DataFrame, classes: DataFrame) -> D
 
     The larger table is shuffled only if the list of copies is counted to be too long for a broadcast.
     """
-    several = small_enough(classes.where(F.col("members") > 1))
-    later = prints.join(several, ["f1", "f2", "n"]).where(F.col("doc_id") > F.col("rep"))
+    later = join_keys(prints, classes.where(F.col("members") > 1), ["f1", "f2", "n"], "members").where(F.col("doc_id") > F.col("rep"))
     marks = written(later.groupBy("doc_id").agg(F.collect_set("f1").alias("copy_of")).withColumnRenamed("doc_id", "__id"), "copies")
     return slim(docs).join(small_enough(marks), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "copy_of")

@@ -8,11 +8,11 @@ The first pass puts a hash of each key (once a document) in two Bloom filters of
 sends on only keys that the twice-seen filter holds, as 128-bit digests with the document's id, and aggregates
 them on both sides of the shuffle: an exact count and the largest id for each key, however many documents share
 it. The third pass drops lines. The confirmed keys reach it as a broadcast if they are counted to be few, and else
-by joins on the key and then on the document.
+by joins on the key and then on the document, which shuffle the texts once. Keys that very many documents hold are broadcast in any case.
 
 Edge cases: null or empty text is one empty line. Every row of the table is a document; rows that share the
 largest ``doc_id`` all keep the line. A null ``doc_id`` is smaller than any other; a key that only documents without
-id hold stays in all of them. An empty table gives an empty table. Other columns pass through; columns named like
+id hold stays in all of them. Very long texts are split whole. An empty table gives an empty table. Other columns pass through; columns named like
 the added ones (``n_lines``, ``n_dropped``) are replaced.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bloom
 from docmill.llm.words import as_bytes
-from docmill.runtime import bounded_batches, plan_bytes, written
+from docmill.runtime import bounded_batches, join_keys, plan_bytes, written
 
 #: Confirmed keys (24 bytes each) up to which they are broadcast.
 MOST_BROADCAST_KEYS = 1 << 18
@@ -66,18 +66,19 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
 
     def suspects(batches):
         for batch in batches:
-            ids, keys, owners = batch.column("doc_id").to_pylist(), [], []
-            for doc_id, text in zip(ids, as_bytes(batch.column("text")), strict=True):
+            ids, keys, owners, marks = batch.column("doc_id").to_pylist(), [], [], []
+            for doc_id, text, mark in zip(ids, as_bytes(batch.column("text")), batch.column("same").to_pylist(), strict=True):
                 own = list({k for line in text.split(b"\n") if (k := line_key(line, min_chars)) is not None})
                 if own:
                     hit = bloom.contains(seen.value, np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)))
                     found = [_digest(k) for k, h in zip(own, hit.tolist(), strict=True) if h]
                     keys += found
                     owners += [doc_id] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], names=["key", "doc_id"])
+                    marks += [mark] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64()), pa.array(marks, pa.int64())], names=["key", "doc_id", "same"])
 
-    held = slim.mapInArrow(suspects, "key binary, doc_id long")
-    confirmed = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).select("key", "keeper"), "line-keys")
+    held = slim.withColumn("same", F.xxhash64("text")).mapInArrow(suspects, "key binary, doc_id long, same long")
+    confirmed = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs), "line-keys")
     schema = docs.schema.names
     rest = [c for c in schema if c not in ("text", "n_lines", "n_dropped")]
     order = ["text", *rest]
@@ -123,8 +124,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
 
         out = plain.mapInArrow(with_broadcast, out_spec)
     else:
-        drops = held.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc_id", "__id")
-        joined = plain.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+        # a list for each id and text, so that no list is longer than its text has lines, however many rows share an id or have none
+        lost = join_keys(held.select("key", "doc_id", "same"), confirmed, ["key"], "n_docs", broadcast_keys).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        drops = lost.groupBy("doc_id", "same").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("doc_id", "__id")
+        joined = plain.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("same")), "left").drop("__id", "same")
 
         def with_column(batches):
             def drop_of(batch, k):

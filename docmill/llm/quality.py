@@ -7,11 +7,12 @@ of its lines' characters (each distinct line once) is depleted and not kept, nor
 
 The texts are read once: statistics, line keys and text go to a written table with a row number, and all counting, joining and
 summing is done on that. Counts of (host, line) and sums by document combine on both sides of their shuffles; the frequent
-lines are broadcast only if counted to be few. A document's own frequent lines are brought to its row, and texts go through that
+lines are broadcast if counted to be few, else those that hold many documents are, and the others shuffled. A document's own frequent lines are brought to its row, and texts go through that
 join only if the caller reads column ``text``.
 
 Edge cases: null text is empty, and has no words and no line with a word; such documents fail the base rules. A null host is a
-host of its own. Every row is a document, also with a repeated or null id. An empty table gives an empty table.
+host of its own. Every row is a document, also with a repeated or null id. An empty table gives an empty table. Very long texts are read
+whole; a line is counted once a document however often it stands there. Lines exactly at a limit stay. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.runtime import small_enough, written
+from docmill.runtime import discard, join_keys, small_enough, written
 
 _BLANK = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -74,8 +75,10 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, sha
     counts = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     counts = written(counts, "line-counts")
     hosts = written(table.groupBy("host").agg(F.count(F.lit(1)).alias("docs")), "hosts")
-    frequent = written(counts.join(small_enough(hosts), "host").where(F.col("n") > F.lit(share) * F.col("docs")).select("host", "h"), "frequent")
-    lost = lines.join(small_enough(frequent), ["host", "h"]).groupBy("row").agg(F.sum("c").alias("frequent_chars"), F.collect_list("h").alias("gone"))
+    frequent = written(counts.join(small_enough(hosts), "host").where(F.col("n") > F.lit(share) * F.col("docs")).select("host", "h", "n"), "frequent")
+    discard(counts)
+    discard(hosts)
+    lost = join_keys(lines, frequent, ["host", "h"], "n").groupBy("row").agg(F.sum("c").alias("frequent_chars"), F.collect_list("h").alias("gone"))
     all_chars = F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x.c)
     out = table.withColumn("line_chars", all_chars).drop("keys").join(lost, "row", "left").withColumn("frequent_chars", F.coalesce("frequent_chars", F.lit(0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
