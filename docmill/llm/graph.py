@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.runtime import discard, written
+from docmill.runtime import discard, join_keys, written
 
 #: Links that one task joins: 16 bytes each, and a few hundred as objects.
 LINKS_A_TASK = 1 << 16
@@ -56,11 +56,11 @@ def components(links: DataFrame, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     while tasks > 1 and not _is_forest_of_stars(now):
         # large star: larger neighbours of a node link to its smallest
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = written(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v")).distinct(), "large")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = written(join_keys(both, least, ["u"], "n").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v")).distinct(), "large")
         # small star: smaller neighbours of a node, and itself, link to its smallest
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = join_keys(large, low, ["u"], "n").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = written(small.where(F.col("u") > F.col("v")).distinct(), "links")
         for old in (now, least, large, low):
             discard(old)

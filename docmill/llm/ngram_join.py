@@ -13,16 +13,19 @@ when their sets' Jaccard similarity is at least ``percent`` / 100.
   largest size at which enumerating costs no more rows than scanning lists of the mean length that the sketch measures.
 - Within a list, each document is compared to the list's smallest id and, in long lists, to the smallest of two seeded
   divisions. Sizes and 512-bit parity maps rule out most pairs without loss: each element in which two sets differ changes at most one bit.
-  What remains is verified on the texts. Lists whose documents are connected by now are done; in the others every pair from
-  different components that sizes and maps allow is verified. A pair inside a component cannot change a component, so no
-  link between different texts is lost, and no list is expanded into all its pairs.
+  What remains is verified on the texts; the text of a document with many candidates is sent once for ``PAIRS`` of them. Lists whose documents are connected by
+  now are done; in the others every pair from different components that sizes and maps allow is verified, block by block of ``MEETING`` documents, so
+  that a long list is spread over tasks. A pair inside a component cannot change a component, so no link between different texts is lost, and
+  no list is expanded into all its pairs.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing. Rows without id get their set's size and a null
-component. Rows that share an id count as one node. An empty table gives an empty table. Other columns don't matter.
+component. Rows that share an id count as one node. Very long texts take part whole, with a map as wide as their set. An empty table gives an empty
+table. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -35,11 +38,13 @@ from docmill.llm.copies import SLIM, classes_of, slim, with_copy_marks
 from docmill.llm.graph import components
 from docmill.llm.sketch import Counters, slots, summed
 from docmill.llm.words import as_bytes, batches, hashed, mix, sequence, windows
-from docmill.runtime import bounded_batches, discard, plan_bytes, small_enough, tidy, written
+from docmill.runtime import bounded_batches, discard, join_keys, plan_bytes, small_enough, tidy, written
 
 MAPS = [f"b{k}" for k in range(8)]
 #: Lists above this length are divided for further comparisons, and the size of a division.
 LONG_LIST, DIVISION = 24, 12
+#: Pairs for which the text of their smaller id is sent once, and documents of a block of a long list whose pairs are still to be tested.
+PAIRS, MEETING = 256, 4096
 
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
@@ -128,50 +133,61 @@ def least_difference(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (u, v) among candidate pairs: maps as wide as the sets rule out most, exact comparison of both texts' sets settles the rest."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
-    texts = written(slim(docs).join(small_enough(ids), "doc_id", "left_semi"), "texts")
-
-    def mapped(parts):
-        for batch in parts:
-            sets = shingle_sets(as_bytes(batch.column("text")), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_map(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "n", "m"])
-
-    maps = written(texts.mapInArrow(mapped, "doc_id long, n long, m binary"), "maps")
-    side = lambda x: maps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
-    room = (100 * F.col("nu") >= percent * F.col("nv")) & (100 * F.col("nv") >= percent * F.col("nu"))
-
-    def close(parts):
-        for batch in parts:
-            sizes = np.array(batch.column("nu").to_pylist(), np.int64) + np.array(batch.column("nv").to_pylist(), np.int64)
-            both = zip(batch.column("mu").to_pylist(), batch.column("mv").to_pylist(), strict=True)
-            differ = np.array([least_difference(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in both], np.int64)
-            keep = pa.array((100 + percent) * differ <= (100 - percent) * sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+def _compared(pairs: DataFrame, table: DataFrame, kind: str, read: Callable, close: Callable) -> DataFrame:
+    """The pairs (u, v) of which ``close`` says so, given what ``read`` makes of their values in ``table`` (doc_id, x).
 
-    near = written(pairs.join(side("u"), "u").join(side("v"), "v").where(room).select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(close, "u long, v long"), "near")
-    both = near.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
+    The value of u is sent once for up to ``PAIRS`` of its pairs, not with each: rows come in the order of u, its own first, and a task holds one at a time.
+    """
+    degrees = written(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("c")), "degrees")
+    salted = join_keys(pairs, degrees, ["u"], "c").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / PAIRS)).alias("salt"))
+    heads = salted.select("u", "salt").distinct().join(table.select(F.col("doc_id").alias("u"), "x"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "x")
+    tails = salted.join(table.select(F.col("doc_id").alias("v"), "x"), "v").select("u", "salt", "v", "x")
+    rows = heads.unionByName(tails).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
 
-    def check(parts):
+    def compare(parts):
+        own = None
         for batch in parts:
             us, vs = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            left, right = as_bytes(batch.column("tu")), as_bytes(batch.column("tv"))
+            values = as_bytes(batch.column("x"))
             out = []
-            for lo, hi in batches(left):
-                sets = shingle_sets(left[lo:hi] + right[lo:hi], k)
-                out += [i for i in range(lo, hi) if linked(sets[i - lo], sets[hi - lo + i - lo], percent)]
+            for lo, hi in batches(values):
+                for i, x in enumerate(read(values[lo:hi]), lo):
+                    if vs[i] is None:
+                        own = x
+                    elif close(own, x):
+                        out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in out], pa.int64()), pa.array([vs[i] for i in out], pa.int64())], names=["u", "v"])
 
-    links = written(both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "verified")
-    for old in (pairs, ids, texts, maps, near):
+    links = written(rows.mapInArrow(compare, "u long, v long"), kind)
+    discard(degrees)
+    return links
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (u, v) among written candidate pairs: maps as wide as the sets rule out most, exact comparison of both texts' sets settles the rest."""
+    ids = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
+    texts = written(slim(docs).join(small_enough(ids), "doc_id", "left_semi").withColumnRenamed("text", "x"), "texts")
+
+    def mapped(parts):
+        for batch in parts:
+            sets = shingle_sets(as_bytes(batch.column("x")), k)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.uint64(len(x)).tobytes() + parity_map(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "x"])
+
+    def may_link(a, b):
+        """Sizes come first, then maps."""
+        n, m = int(a[0]), int(b[0])
+        return 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * least_difference(a[1:], b[1:]) <= (100 - percent) * (n + m)
+
+    maps = written(texts.mapInArrow(mapped, "doc_id long, x binary"), "maps")
+    near = _compared(pairs, maps, "near", lambda values: [np.frombuffer(x, np.uint64) for x in values], may_link)
+    links = _compared(near, texts, "verified", lambda values: shingle_sets(values, k), lambda a, b: linked(a, b, percent))
+    for old in (ids, texts, maps, near):
         discard(old)
     tidy(docs.sparkSession)
     return links
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, meeting: int = MEETING) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``component_id`` is the smallest id that links reach."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -247,8 +263,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     one = F.struct("rep", "n", *MAPS)
     lists = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("o")).where(F.col("c") > 1), "lists")
-    found = [posts.join(lists, "key").select("o", one.alias("x"))]
-    inside = posts.join(small_enough(lists.where(F.col("c") > LONG_LIST).select("key", "c")), "key")
+    found = [join_keys(posts, lists, ["key"], "c").select("o", one.alias("x"))]
+    inside = join_keys(posts, lists.where(F.col("c") > LONG_LIST).select("key", "c"), ["key"], "c")
     # two seeds deal a long list out differently, and differently from other lists
     seeds = inside.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2))))
     part = seeds.withColumn("part", F.pmod(F.xxhash64("key", "rep", "seed"), F.ceil(F.col("c") / DIVISION)))
@@ -270,19 +286,27 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     # lists of three or more with several components: whatever pairs sizes and maps allow, from different components only.
     # A list of two has had its pair tested.
     placed = posts.join(small_enough(groups), F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("c") > 2)).select("key")
-    rows = written(placed.join(small_enough(written(mixed, "mixed")), "key", "left_semi"), "mixed-rows")
-    o, x = rows.alias("o"), rows.alias("x")
-    meet = (F.col("o.key") == F.col("x.key")) & (F.col("o.rep") < F.col("x.rep")) & (F.col("o.component") != F.col("x.component")) & _possible("o", "x", percent)
-    rest = written(o.join(x, meet).select(F.col("o.rep").alias("u"), F.col("x.rep").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"), "rest")
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("c") > 2)).select("key", "c")
+    rows = join_keys(placed, written(mixed, "mixed"), ["key"], "c")
+    # a long list is dealt into blocks, and each two of them meet in a place of their own: no task has more than the pairs of two blocks
+    blocks = F.ceil(F.col("c") / meeting).cast("int")
+    rows = written(rows.withColumn("last", blocks - 1).withColumn("block", F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")).drop("c"), "mixed-rows")
+    o = rows.withColumn("lo", F.col("block")).withColumn("hi", F.explode(F.sequence("block", "last"))).alias("o")
+    x = rows.withColumn("hi", F.col("block")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("x")
+    meet = (F.col("o.key") == F.col("x.key")) & (F.col("o.lo") == F.col("x.lo")) & (F.col("o.hi") == F.col("x.hi")) & ((F.col("o.lo") < F.col("o.hi")) | (F.col("o.rep") < F.col("x.rep")))
+    meet = meet & (F.col("o.component") != F.col("x.component")) & _possible("o", "x", percent)
+    apart = o.join(x, meet).select(F.least("o.rep", "x.rep").alias("u"), F.greatest("o.rep", "x.rep").alias("v")).distinct()
+    rest = written(apart.join(tested, ["u", "v"], "left_anti"), "rest")
     for old in (posts, rows):
         discard(old)
     tidy(spark)
     more = _verified(rest, docs, k, percent)
     final = written(components(links.unionByName(more)), "components")
 
-    named = written(classes.join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id")), "named")
-    whole = full.where(F.col("doc_id").isNotNull()).join(small_enough(named), ["f1", "f2", "n"])
+    named = written(classes.join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", "members", F.coalesce("component", "rep").alias("component_id")), "named")
+    for old in (tested, rest, links, more, groups, final, classes):
+        discard(old)
+    whole = join_keys(full.where(F.col("doc_id").isNotNull()), named, ["f1", "f2", "n"], "members")
     apart = prints.where(F.col("doc_id").isNull() | (F.col("n") == 0))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(apart.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

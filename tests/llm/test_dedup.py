@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,16 @@ def test_a_chain_of_near_copies_in_one_long_list(spark):
     assert rows(ngram_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.ngram_components(made), key=repr)
 
 
+@pytest.mark.parametrize("meeting", [4096, 7], ids=["one block", "many blocks"])
+def test_a_list_of_documents_that_do_not_link(spark, meeting):
+    """Documents made of a few common passages share shingles with very many others and link with few: what is left in long lists is tested block by block."""
+    rng = random.Random(5)
+    passage = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(9)]
+    made = [(i, " ".join(rng.sample(passage, 4))) for i in range(160)] + [(1000 + i, " ".join([*passage[:5], f"end{i}"])) for i in range(20)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(ngram_components(docs, meeting=meeting), "doc_id", "n_shingles", "component_id") == sorted(brute.ngram_components(made), key=repr)
+
+
 def test_small_sets(spark):
     """Sizes around those at which sets begin to link, on both sides of the boundary."""
     made, word = [], [f"t{k}" for k in range(60)]
