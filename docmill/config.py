@@ -1,4 +1,4 @@
-"""Settings: frozen dataclasses, each field an environment variable with a default."""
+"""Settings: frozen dataclasses, each field an environment variable with a default. The names and defaults are fixed values."""
 
 from __future__ import annotations
 
@@ -46,6 +46,7 @@ class EnrichConfig(FromEnvironment):
     per_domain_qps: float = 0.5
     http_timeout_sec: int = 20
     http_max_retries: int = 3
+    user_agent: str = "Mozilla/5.0 (compatible; docmill)"
     follow_redirects: bool = True
     extractor_sequence: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "article", "page")
     min_accept_words: int = 200
@@ -61,6 +62,8 @@ class EnrichConfig(FromEnvironment):
 class RetrieveConfig(FromEnvironment):
     PREFIX = "RAG_"
 
+    #: Empty: the hashed stand-in.
+    embedding_model: str = ""
     chunk_size: int = 400
     chunk_overlap: float = 0.15
     k_ann: int = 300
@@ -83,6 +86,9 @@ class ScriptConfig(FromEnvironment):
     max_words_per_line: int = 100
     default_pause_ms: int = 120
     segment_prefix: str = "SEG_"
+    allow_consecutive_speaker: bool = True
+    digits_to_speech: bool = True
+    spell_acronyms: bool = True
     wpm_estimate: int = 150
     show_name: str = ""
 
@@ -95,4 +101,8 @@ class PolishConfig(FromEnvironment):
     tone: str = "warm, clear, no slang"
     enable_micro_transitions: bool = True
     enable_ssml: bool = False
+    lock_segment_boundaries: bool = True
+    allow_merge_lines: bool = True
+    allow_split_lines: bool = True
+    enforce_balance: bool = True
     balance_tolerance_pct: float = 10.0

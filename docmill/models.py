@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import importlib
+import importlib.util
 import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol, TypeVar
@@ -46,6 +51,33 @@ class HashedEmbedder:
         return out
 
 
+@dataclass(frozen=True)
+class LibraryEmbedder:
+    """An encoder of the library ``sentence_transformers``, where that is installed; each Python worker loads it when it is first used."""
+
+    name: str
+    dimension: int = 384
+
+    def embed(self, texts: list[str], normalise: bool = True) -> np.ndarray:
+        if not texts:
+            return np.zeros((0, self.dimension))
+        return np.asarray(_encoder(self.name).encode([t or "" for t in texts], normalize_embeddings=normalise, show_progress_bar=False), float)
+
+
+@functools.cache
+def _encoder(name: str):
+    return importlib.import_module("sentence_transformers").SentenceTransformer(name)
+
+
+def named_embedder(name: str) -> Embedder:
+    """The encoder of that name; the hashed stand-in for no name. A name whose library isn't installed is an error, not another model."""
+    if not name:
+        return HashedEmbedder()
+    if importlib.util.find_spec("sentence_transformers") is None:
+        raise ValueError(f"the encoder {name} needs the library sentence_transformers")
+    return LibraryEmbedder(name)
+
+
 class TextModel(Protocol):
     """A language model: instructions and a prompt to a text."""
 
@@ -68,6 +100,31 @@ class Fetcher(Protocol):
     def get(self, url: str, timeout: float) -> tuple[int, str, bytes]: ...
 
 
+class _Stay(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *args, **kwargs):
+        return None
+
+
+@dataclass(frozen=True)
+class HttpFetcher:
+    """The standard library's client. Without ``follow_redirects`` a redirect is its own answer."""
+
+    user_agent: str = "Mozilla/5.0 (compatible; docmill)"
+    follow_redirects: bool = True
+
+    def get(self, url: str, timeout: float) -> tuple[int, str, bytes]:
+        opener = urllib.request.build_opener(*([] if self.follow_redirects else [_Stay]))
+        try:
+            with opener.open(urllib.request.Request(url, headers={"User-Agent": self.user_agent}), timeout=timeout) as answer:
+                return answer.status, answer.geturl(), answer.read()
+        except urllib.error.HTTPError as e:
+            return e.code, e.geturl() or url, e.read()
+        except urllib.error.URLError as e:
+            if isinstance(e.reason, TimeoutError):
+                raise TimeoutError(url) from e
+            raise
+
+
 @dataclass(frozen=True)
 class TableFetcher:
     """Pages from a dict; unknown addresses are 404. For tests and offline runs."""

@@ -143,7 +143,7 @@ def top_k(scores: DataFrame, score: str, key: str, k: int) -> DataFrame:
 
 def normalised(scores: DataFrame, score: str) -> DataFrame:
     """Scores over the largest of their query; as they are where that is 0 or less. A query's best k rows hold its largest, so they
-    can be cut first. The largest are one row a query, so they are broadcast."""
+    can be cut first."""
     best = scores.groupBy("query_idx").agg(F.max(score).alias("__best"))
-    out = scores.join(F.broadcast(best), "query_idx")
+    out = scores.join(best, "query_idx")
     return out.withColumn(score, F.when(F.col("__best") <= 0, F.col(score)).otherwise(F.col(score) / F.col("__best"))).drop("__best")

@@ -29,23 +29,24 @@ def check_dimension(rows: DataFrame, column: str, dimension: int) -> DataFrame:
     return rows.withColumn(column, F.when(F.size(column) == dimension, F.col(column)).otherwise(wrong.cast(rows.schema[column].dataType)))
 
 
-def vector_top_k(rows: DataFrame, queries: DataFrame, key: str, k: int, column: str = "embedding", block: int = 1024) -> DataFrame:
+def vector_top_k(rows: DataFrame, queries: DataFrame, key: str, k: int, column: str = "embedding", block: int = 1024, within: str | None = None) -> DataFrame:
     """(query_idx, key, dense, rank): the k rows of the largest inner product with each query, smallest key first among equals.
 
     The queries are the small, stated side: they go to the executors in blocks of ``block``, each task multiplies its batches by the block and
-    keeps k rows a query, and only those are shuffled. No pair of row and query is a row of any table.
+    keeps k rows a query, and only those are shuffled. No pair of row and query is a row of any table. With ``within``, a column of both sides, only rows
+    that agree with the query in it count.
     """
-    wanted = queries.where(F.col(column).isNotNull()).select("query_idx", F.col(column).alias("v")).orderBy("query_idx").collect()
+    wanted = queries.where(F.col(column).isNotNull()).select("query_idx", F.col(column).alias("v"), (F.lit(0) if within is None else F.col(within)).alias("w")).orderBy("query_idx").collect()
     kind = rows.schema[key].dataType.simpleString()
     out = None
     for lo in range(0, max(1, len(wanted)), block):
         part = wanted[lo : lo + block]
         ids = np.array([r["query_idx"] for r in part], np.int64)
         matrix = np.array([r["v"] for r in part], np.float64) if part else np.zeros((0, 1))
-        shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = rows.sparkSession.sparkContext.broadcast((ids, matrix, np.array([r["w"] for r in part])))
 
         def search(batches, shared=shared):
-            ids, matrix = shared.value
+            ids, matrix, own = shared.value
             best: pd.DataFrame | None = None
             kind = pa.null()
             for batch in batches:
@@ -55,16 +56,18 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, key: str, k: int, column:
                 kind = batch.schema.field("k").type
                 keys = batch.column("k").to_numpy(zero_copy_only=False)
                 scores = np.round(np.stack(vectors.to_numpy(zero_copy_only=False)).astype(np.float64) @ matrix.T, 6)
+                if within is not None:
+                    scores[batch.column("w").to_numpy(zero_copy_only=False)[:, None] != own[None, :]] = -np.inf
                 # ties at the cut stay until the last step orders them
                 cut = scores.min(0) if len(scores) <= k else np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-                row, query = np.nonzero(scores >= cut)
+                row, query = np.nonzero((scores >= cut) & (scores > -np.inf))
                 found = pd.DataFrame({"query_idx": ids[query], "k": keys[row], "dense": scores[row, query]})
                 best = found if best is None else pd.concat([best, found])
                 best = best.sort_values(["query_idx", "dense", "k"], ascending=[True, False, True]).groupby("query_idx").head(k)
             if best is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(best["query_idx"].to_numpy(), pa.int64()), pa.array(best["k"].tolist(), kind), pa.array(best["dense"].to_numpy(), pa.float64())], names=["query_idx", "k", "dense"])
 
-        slim = rows.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("v"))
+        slim = rows.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("v"), *([] if within is None else [F.col(within).alias("w")]))
         found = slim.mapInArrow(search, f"query_idx long, k {kind}, dense double")
         out = found if out is None else out.unionByName(found)
     return top_k(out, "dense", "k", k).withColumnRenamed("k", key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.config import EnrichConfig
-from docmill.functions.html import extract_chain
+from docmill.functions.html import extract_chain, html_variants
 from docmill.functions.language import detect
 from docmill.functions.urls import registered_domain
 from docmill.operators.enrich import enrichment_statistics, failure_reason, merged_result, survivors, with_robots
@@ -36,3 +36,9 @@ def enriched(items: DataFrame, robots: DataFrame, fetches: DataFrame, config: En
     kept = survivors(rows).select("item_index", F.col("clean_text").alias("full_text"), "extraction_method", "full_text_words")
     out = merged_result(items.join(kept.select("item_index"), "item_index", "left_semi"), kept)
     return out, enrichment_statistics(rows)
+
+
+def variant_urls(fetches: DataFrame, config: EnrichConfig = EnrichConfig()) -> DataFrame:
+    """(url, variant): AMP and print addresses of fetched pages, to fetch where a page itself has too little text; none unless the settings allow."""
+    out = fetches.select("url", F.explode(html_variants(F.col("html"), F.col("url"))).alias("variant"))
+    return out if config.allow_amp_print_variants else out.limit(0)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from docmill.config import RetrieveConfig
 from docmill.functions.text import expanded_query, retrieval_text
-from docmill.models import Embedder, HashedEmbedder
+from docmill.models import Embedder, HashedEmbedder, named_embedder
 from docmill.operators import bm25, hybrid
 from docmill.operators.chunk import chunked
 from docmill.operators.dedup import deduplicated
 from docmill.operators.mmr import mmr_select
 from docmill.operators.vector import embedded, vector_top_k
-from docmill.runtime import written
+from docmill.runtime import is_small, small_enough, written
 
 KEY = "chunk_key"
 
@@ -45,17 +45,36 @@ def merged_articles(scored: DataFrame, chunks: DataFrame) -> DataFrame:
     return hybrid.merged(hybrid.rolled_up(scored, chunks, KEY), KEY)
 
 
+#: Candidates that one task may choose from.
+MOST_CANDIDATES = 1 << 16
+
+
+def candidates(chunks: DataFrame, queries: DataFrame, config: RetrieveConfig = RetrieveConfig(), model: Embedder | None = None) -> DataFrame:
+    """The best articles of each primary query, written."""
+    return written(hybrid.capped(merged_articles(scored_chunks(chunks, queries, config, model), chunks), config.per_query_cap), "capped")
+
+
+def diversified(capped: DataFrame, chunks: DataFrame, config: RetrieveConfig = RetrieveConfig(), model: Embedder | None = None) -> DataFrame:
+    """(item_id, rank) of at most ``final_limit`` candidates, by their scores and the vectors of their best chunks.
+
+    The choice is sequential, so one task makes it; more than ``MOST_CANDIDATES`` (queries x cap) are refused.
+    """
+    if not is_small(capped, MOST_CANDIDATES):
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates: lower the cap a query, or ask fewer queries at once")
+    vectors = embedded(chunks.join(F.broadcast(capped.select(KEY)), KEY, "left_semi").select(KEY, "text"), "text", model or HashedEmbedder()).select(KEY, "embedding")
+    return mmr_select(capped.join(vectors, KEY, "left"), config.final_limit, config.mmr_lambda)
+
+
 def retrieve(articles: DataFrame, queries: DataFrame, config: RetrieveConfig = RetrieveConfig(), model: Embedder | None = None) -> DataFrame:
     """At most ``final_limit`` articles in order of ``rank``, with scores, best chunk, and the queries that matched."""
-    model = model or HashedEmbedder()
+    model = model or named_embedder(config.embedding_model)
     chunks = written(article_chunks(articles, config), "chunks")
-    capped = written(hybrid.capped(merged_articles(scored_chunks(chunks, queries, config, model), chunks), config.per_query_cap), "capped")
-    # the vector of the best chunk; bounded rows: queries x cap
-    vectors = embedded(chunks.join(F.broadcast(capped.select(KEY)), KEY, "left_semi").select(KEY, "text"), "text", model).select(KEY, "embedding")
-    order = mmr_select(capped.join(vectors, KEY, "left"), config.final_limit, config.mmr_lambda)
+    capped = candidates(chunks, queries, config, model)
+    # at most `final_limit` rows
+    order = diversified(capped, chunks, config, model)
     chosen = capped.join(F.broadcast(order), "item_id")
     names = queries.select(F.col("query_idx").alias("__q"), F.col("query").alias("__query"))
-    matched = chosen.select("item_id", F.explode("matched").alias("__q")).join(F.broadcast(names), "__q").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("__q", "__query"))).alias("m"))
+    matched = chosen.select("item_id", F.explode("matched").alias("__q")).join(small_enough(names), "__q").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("__q", "__query"))).alias("m"))
     matched = matched.select("item_id", F.transform("m", lambda x: x["__query"]).alias("matched_queries"))
     full = hybrid.described(chosen.drop("matched", "query_rank"), chunks, articles, KEY)
     return full.join(matched, "item_id", "left").drop(KEY, "primary_query")

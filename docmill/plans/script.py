@@ -61,7 +61,8 @@ def dialogue(items: DataFrame, model: TextModel, config: ScriptConfig = ScriptCo
     """Valid lines of all items (with ``position``), numbered before validation."""
     ready = ops.with_bullets(items).withColumn("first", ops.first_speaker(F.col("position") - 1, config.speaker_names)).withColumn("n_bullets", F.size("bullets"))
     asked = ready.select("position", "title", "first", "n_bullets", F.col("item_id").alias("own_id"), F.to_json("bullets").alias("facts"))
-    rule = f"Write at most {config.max_lines_per_item} lines of dialogue for {' and '.join(config.speaker_names)} as JSON lines, at most {config.max_words_per_line} words each, with refs to the facts."
+    rule = f"Write at most {config.max_lines_per_item} lines of dialogue for {' and '.join(config.speaker_names)} as JSON lines, at most {config.max_words_per_line} words each, with refs to the facts and a pause_ms_after of about {config.default_pause_ms}. All items together take about {config.target_total_secs} seconds."
+    rule += "".join(f" {text}" for off, text in ((config.allow_consecutive_speaker, "No speaker has two lines in a row."), (not config.digits_to_speech, "Write numbers as they are spoken."), (not config.spell_acronyms, "Spell acronyms out.")) if not off)
     answers = _asked(asked, model, rule, lambda r: f"{r['first']} begins.\n{r['own_id']}\n{r['title']}\n{r['facts']}", 0.4, 2048, "position, title, n_bullets", "response")
     parsed = ops.parsed_lines(answers).select("position", "title", "n_bullets", "pos", "line.*").drop("line_id")
     lines = ops.with_defaults(ops.numbered(parsed, "position", "pos"), "title", config.wpm_estimate)
@@ -71,7 +72,12 @@ def dialogue(items: DataFrame, model: TextModel, config: ScriptConfig = ScriptCo
 def polished(lines: DataFrame, model: TextModel, config: ScriptConfig = ScriptConfig(), polish: PolishConfig = PolishConfig()) -> DataFrame:
     """Lines polished segment by segment; a segment whose answer fails or isn't valid stays as it was."""
     whole = lines.groupBy("segment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", F.to_json(F.struct(*lines.columns)).alias("j")))), lambda x: x.j), "\n").alias("jsonl"))
-    answers = _asked(whole.withColumnRenamed("segment_id", "own_segment"), model, f"Polish the lines; pace {polish.pace}, tone {polish.tone}. Keep all refs. Answer in JSON lines.", lambda r: r["jsonl"], 0.4, 4096, "own_segment", "response")
+    wishes = (
+        (polish.enable_micro_transitions, "Add short transitions."), (polish.lock_segment_boundaries, "Keep segments as they are."), (not polish.allow_merge_lines, "Don't merge lines."),
+        (not polish.allow_split_lines, "Don't split lines."), (polish.enforce_balance, f"Keep each speaker's share within {polish.balance_tolerance_pct:g} points of an equal one."),
+    )
+    rule = f"Polish the lines; pace {polish.pace}, tone {polish.tone}. Keep all refs. Answer in JSON lines." + "".join(f" {text}" for on, text in wishes if on)
+    answers = _asked(whole.withColumnRenamed("segment_id", "own_segment"), model, rule, lambda r: r["jsonl"], 0.4, 4096, "own_segment", "response")
     new = ops.parsed_lines(answers).select("own_segment", "line.*")
     new = new.withColumn("segment_id", F.coalesce("segment_id", "own_segment")).where(F.col("segment_id") == F.col("own_segment")).select(*lines.columns)
     if polish.enable_ssml:

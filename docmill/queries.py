@@ -45,6 +45,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`articles`, with the whole first line as title and the whole text as content."""
+    return articles(spark, sf_dir).withColumn("title", F.split_part("full_text", F.lit("\n"), F.lit(1))).withColumn("content", F.col("full_text"))
+
+
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``benchmark`` as queries."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_idx"), F.col("text").alias("query"), F.array().cast("array<string>").alias("expansions"))
@@ -109,6 +114,13 @@ def vector_topk(spark, sf_dir):
     return vector_top_k(e, q, "vec_id", 30)
 
 
+def vector_topk_by_label(spark, sf_dir):
+    """For each query vector its best rows among those of its label."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_idx"), "embedding", "label")
+    return vector_top_k(e, q, "vec_id", 10, within="label")
+
+
 def bm25_corpus_stats(spark, sf_dir):
     stats, n, mean = bm25.corpus_statistics(table(spark, sf_dir, "documents"))
     terms = stats.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"), F.round(F.avg("raw_idf"), 6).alias("mean_idf"), F.count_if(F.col("raw_idf") < 0).alias("n_negative"))
@@ -147,8 +159,13 @@ def per_query_cap(spark, sf_dir):
     return hybrid.capped(plan.merged_articles(*_scored(spark, sf_dir)), CONFIG.per_query_cap).select("primary_query", "query_rank", "item_id", "hybrid")
 
 
+def mmr_select(spark, sf_dir):
+    chunks = written(plan.article_chunks(whole_articles(spark, sf_dir)), "chunks")
+    return plan.diversified(plan.candidates(chunks, query_set(spark, sf_dir)), chunks)
+
+
 def retrieve_end_to_end(spark, sf_dir):
-    out = plan.retrieve(articles(spark, sf_dir), query_set(spark, sf_dir))
+    out = plan.retrieve(whole_articles(spark, sf_dir), query_set(spark, sf_dir))
     return out.select("rank", "item_id", "title", "source", F.col("score.hybrid").alias("hybrid"), F.col("best_chunk.chunk_index").alias("chunk_index"), F.size("matched_queries").alias("n_queries"))
 
 
@@ -182,6 +199,14 @@ def quality_gate(spark, sf_dir):
     return _gated(spark, sf_dir).select("doc_id", "failure_reason")
 
 
+def fetch_gates(spark, sf_dir):
+    """Every gate before extraction, with robots, paywalls and statuses dealt to the documents by their ids."""
+    a, at = articles(spark, sf_dir), F.col("ord")
+    status = F.element_at(F.array(*(F.lit(x) for x in (200, 404, 503, 0, 408, 200, 499, 500, 302, None))), (at % 10 + 1).cast("int"))
+    rows = a.select(at.alias("doc_id"), F.when(at % 9 > 0, at % 13 != 1).alias("allowed"), F.when(at % 8 > 0, at % 11 == 3).alias("paywall_detected"), status.alias("status_code"), F.when(at % 17 != 5, F.length("full_text")).alias("html_size"), F.when(at % 19 != 7, F.col("full_text")).alias("clean_text"), F.col("lang").alias("language_detected"), F.col("title").alias("abstract"))
+    return enrich.failure_reason(rows, ("en", "fr")).select("doc_id", "failure_reason")
+
+
 def failure_histogram(spark, sf_dir):
     return enrich.failure_histogram(_gated(spark, sf_dir))
 
@@ -205,6 +230,14 @@ def jsonl_parse_validate(spark, sf_dir):
     return rows.withColumn("error", script.line_error(["user", "assistant"], 40)).select("conv_id", "line_id", "error")
 
 
+def line_checks(spark, sf_dir):
+    """Every check of a line, with missing fields and references dealt to the lines by their turns."""
+    c, turn = table(spark, sf_dir, "conversations"), F.col("turn")
+    refs = F.element_at(F.array(F.array(F.lit(0)), F.array().cast("array<int>"), F.array(F.lit(0), F.lit(2)), F.array(F.lit(-1)), F.array(F.lit(1), F.lit(None).cast("int")), F.lit(None).cast("array<int>")), ((turn + F.col("conv_id")) % 6 + 1).cast("int"))
+    rows = c.select("conv_id", "turn", F.when(turn % 23 != 11, turn.cast("int")).alias("line_id"), F.col("conv_id").cast("string").alias("segment_id"), F.col("role").alias("speaker"), F.element_at(F.array(F.lit("i"), F.lit("null"), F.lit("")), (F.col("conv_id") % 3 + 1).cast("int")).alias("item_id"), "text", refs.alias("refs"), F.when(turn % 7 != 6, F.lit(120)).alias("pause_ms_after"), F.lit(2).alias("n_bullets"))
+    return rows.withColumn("error", script.line_error(["user", "assistant"], 40)).select("conv_id", "turn", "error")
+
+
 def apply_order(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.md5("n_name").alias("item_id"), "n_name")
     answer = n.where("ord = 7").select(F.concat(F.lit('```json\n[5, "3", "'), "item_id", F.lit('", 5, 99999, "nobody", 3, 0]\n```')).alias("response"))
@@ -234,8 +267,8 @@ def tts_normalise(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     retrieve_end_to_end, recent_items, dedup_url_latest, dedup_title_longest, dedup_union, new_items_anti, collection_summary, retrieval_text, segment_ids, snippets, word_counts,
-    chunk_documents, chunk_stats, vector_topk, bm25_corpus_stats, bm25_topk, bm25_normalised, hybrid_fusion, article_rollup, multi_query_merge, per_query_cap, html_clean, html_variants_found, url_domain,
-    paywall_flag, language_guess, quality_gate, failure_histogram, enrichment_summary, jsonl_parse_validate, apply_order, speaker_balance, total_duration, line_numbering, ssml, tts_normalise,
+    chunk_documents, chunk_stats, vector_topk, vector_topk_by_label, bm25_corpus_stats, bm25_topk, bm25_normalised, hybrid_fusion, article_rollup, multi_query_merge, per_query_cap, mmr_select, html_clean, html_variants_found, url_domain,
+    paywall_flag, language_guess, quality_gate, fetch_gates, failure_histogram, enrichment_summary, jsonl_parse_validate, line_checks, apply_order, speaker_balance, total_duration, line_numbering, ssml, tts_normalise,
 )}
 
 _ARTICLES = r"""
@@ -295,6 +328,21 @@ ru AS (SELECT query_idx, item_id, chunk_index, hybrid FROM hy JOIN c USING (chun
 mq AS (SELECT item_id, list_sort(list(DISTINCT query_idx)) AS matched FROM ru GROUP BY item_id),
 me AS (SELECT item_id, chunk_index, hybrid, matched[1] AS primary_query, array_to_string(matched, ',') AS matched FROM ru JOIN mq USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hybrid DESC, query_idx) = 1)"""
 
+#: The same over whole texts and first lines, then the cap, and the choice of at most 30 by a row for each candidate and step.
+_CHOSEN = (
+    _FUSION.replace("left(split_part(text, chr(10), 1), 60) AS title", "split_part(text, chr(10), 1) AS title").replace("left(text, 400) AS content", "text AS content")
+    + """,
+cp AS (SELECT me.*, c.chunk_key FROM me JOIN c USING (item_id, chunk_index) QUALIFY row_number() OVER (PARTITION BY primary_query ORDER BY hybrid DESC, item_id) <= 8),
+po AS (SELECT *, row_number() OVER (ORDER BY hybrid DESC, item_id) AS pos, count(*) OVER () AS n FROM cp),
+sm AS (SELECT a.pos AS x, b.pos AS y, coalesce(sum(av.v * bv.v), 0) AS sim FROM (SELECT a.pos, a.chunk_key FROM po a) a CROSS JOIN (SELECT b.pos, b.chunk_key FROM po b) b
+       LEFT JOIN cv av ON av.chunk_key = a.chunk_key LEFT JOIN cv bv ON bv.chunk_key = b.chunk_key AND bv.bucket = av.bucket GROUP BY a.pos, b.pos),
+mm AS (SELECT 1 AS step, po.pos, hybrid, sim AS nearest, po.pos = 1 AS chosen, po.pos = 1 AS now FROM po JOIN sm ON sm.x = 1 AND sm.y = po.pos
+       UNION ALL
+       SELECT step + 1, t.pos, hybrid, greatest(nearest, sim), chosen OR t.pos = best, t.pos = best
+       FROM (SELECT *, first_value(pos) OVER (ORDER BY chosen, round(0.3::DOUBLE * hybrid - 0.7::DOUBLE * nearest, 9) DESC, pos) AS best FROM mm WHERE step < 30) t JOIN sm ON sm.x = best AND sm.y = t.pos),
+ra AS (SELECT po.*, (CASE WHEN n <= 30 THEN po.pos ELSE step END)::INT AS rank FROM po LEFT JOIN (SELECT pos, step FROM mm WHERE now) s USING (pos) WHERE n <= 30 OR step IS NOT NULL)"""
+)
+
 _GATED = rf"""
 WITH {_ARTICLES.strip()}, g AS (SELECT ord AS doc_id, CASE WHEN length(full_text) = 0 THEN 'empty_response' WHEN full_text_words < 200 THEN 'empty_extract' WHEN lang <> 'en' THEN 'lang_mismatch'
   WHEN length(full_text) < 1000 AND length(full_text) < 2 * length(content) THEN 'too_short' END AS failure_reason FROM a)"""
@@ -328,6 +376,9 @@ ORACLE_SQL = {
     "vector_topk": """
 WITH p AS (SELECT q.vec_id AS query_idx, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dense FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
 SELECT query_idx, vec_id, dense, (row_number() OVER (PARTITION BY query_idx ORDER BY dense DESC, vec_id))::INT AS rank FROM p QUALIFY rank <= 30""",
+    "vector_topk_by_label": """
+WITH p AS (SELECT q.vec_id AS query_idx, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dense FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 50 = 0)
+SELECT query_idx, vec_id, dense, (row_number() OVER (PARTITION BY query_idx ORDER BY dense DESC, vec_id))::INT AS rank FROM p QUALIFY rank <= 10""",
     "bm25_corpus_stats": f"WITH {_Q}, {_bm25('documents', 'doc_id')} SELECT (SELECT n::BIGINT FROM nn) AS n_docs, (SELECT round(mean, 6) FROM nn) AS mean_length, count(*) AS n_terms, sum(df)::BIGINT AS n_postings, round(avg(raw), 6) AS mean_idf, count(*) FILTER (raw < 0) AS n_negative FROM df",
     "bm25_topk": f"WITH {_Q}, {_bm25('documents', 'doc_id')} SELECT query_idx, doc_id, bm25, (row_number() OVER (PARTITION BY query_idx ORDER BY bm25 DESC, doc_id))::INT AS rank FROM bm QUALIFY rank <= 200",
     "bm25_normalised": f"WITH {_Q}, {_bm25('documents', 'doc_id')} SELECT query_idx, doc_id, round(bm25 / max(bm25) OVER (PARTITION BY query_idx), 6) AS bm25 FROM bm",
@@ -335,6 +386,24 @@ SELECT query_idx, vec_id, dense, (row_number() OVER (PARTITION BY query_idx ORDE
     "article_rollup": f"{_FUSION} SELECT query_idx, item_id, chunk_index, hybrid FROM ru",
     "multi_query_merge": f"{_FUSION} SELECT item_id, chunk_index, hybrid, primary_query, matched FROM me",
     "per_query_cap": f"{_FUSION} SELECT primary_query, (row_number() OVER (PARTITION BY primary_query ORDER BY hybrid DESC, item_id))::INT AS query_rank, item_id, hybrid FROM me QUALIFY query_rank <= 8",
+    "mmr_select": f"{_CHOSEN} SELECT item_id, rank FROM ra",
+    "retrieve_end_to_end": f"{_CHOSEN} SELECT rank, item_id, m.title, m.source, hybrid, chunk_index, len(string_split(matched, ','))::INT AS n_queries FROM ra JOIN m USING (item_id)",
+    "html_clean": r"""
+WITH a AS (SELECT page_id, string_split_regex(CASE WHEN contains(html, '<article') THEN regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) ELSE regexp_replace(html, '(?s)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'g') END, '(?s)<[^>]*>') AS nodes FROM pages),
+d AS (SELECT page_id, list_transform(nodes, lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g')) AS nodes FROM a),
+j AS (SELECT page_id, array_to_string(list_filter(nodes, lambda x: x <> ''), chr(10)) AS t FROM d)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM j""",
+    "html_variants_found": """
+SELECT page_id, concat_ws(' ', nullif(regexp_extract(html, '<link[^>]*rel="amphtml"[^>]*href="([^"]+)"', 1), ''), CASE WHEN NOT contains(url, '/print') AND NOT contains(url, '?print') THEN url || CASE WHEN url LIKE '%/' THEN 'print' ELSE '/print' END END) AS variants FROM pages""",
+    "fetch_gates": r"""
+WITH d AS (SELECT *, [200, 404, 503, 0, 408, 200, 499, 500, 302, NULL][doc_id % 10 + 1] AS s, CASE WHEN doc_id % 17 <> 5 THEN length(text) END AS size, CASE WHEN doc_id % 19 <> 7 THEN text ELSE '' END AS t FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 9 > 0 AND doc_id % 13 = 1 THEN 'robots_disallow' WHEN doc_id % 8 > 0 AND doc_id % 11 = 3 THEN 'paywall' WHEN s BETWEEN 400 AND 499 THEN 'http_4xx' WHEN s >= 500 THEN 'http_5xx' WHEN coalesce(s, 0) = 0 THEN 'timeout'
+  WHEN coalesce(size, 0) = 0 THEN 'empty_response' WHEN t = '' THEN 'empty_extract' WHEN lang NOT IN ('en', 'fr') THEN 'lang_mismatch'
+  WHEN length(t) < 1000 AND length(t) < 2 * length(left(split_part(text, chr(10), 1), 60)) THEN 'too_short' END AS failure_reason FROM d""",
+    "line_checks": f"""
+WITH l AS (SELECT *, (turn + conv_id) % 6 AS r, {_WORDS} AS w FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 23 = 11 THEN 'missing line_id' WHEN r = 5 THEN 'missing refs' WHEN turn % 7 = 6 THEN 'missing pause_ms_after' WHEN role NOT IN ('user', 'assistant') THEN 'speaker' WHEN len(w) > 40 THEN 'too long'
+  WHEN conv_id % 3 = 0 AND r = 1 THEN 'no refs' WHEN conv_id % 3 = 0 AND r IN (2, 3, 4) THEN 'refs out of range' END AS error FROM l""",
     "url_domain": r"""SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS netloc,
   array_to_string(string_split(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '.')[-2:], '.') AS domain, md5(url) AS item_id FROM pages""",
     "paywall_flag": "SELECT page_id, " + " OR ".join(f"contains(lower(html), '{m}')" for m in enrich.PAYWALL_MARKS) + " AS paywall FROM pages",

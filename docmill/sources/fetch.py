@@ -1,4 +1,4 @@
-"""Polite HTTP scans: one task a host, a pause between requests, retries. The client is injected."""
+"""Polite HTTP scans: one task a lane of a host, a pause between requests, retries. The client is injected."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.config import EnrichConfig
 from docmill.functions.urls import netloc
-from docmill.models import Fetcher
+from docmill.models import Fetcher, HttpFetcher
 from docmill.operators.enrich import has_paywall
 
 #: Statuses after which a request is tried again.
@@ -51,18 +52,19 @@ def get_simple(client: Fetcher, url: str, timeout: float = 15, attempts: int = 3
     return None
 
 
-def fetched(urls: DataFrame, client: Fetcher, qps: float = 0.5, timeout: float = 20, attempts: int = 3, respect_paywalls: bool = True, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
-    """``schemas.FETCHES`` for each distinct url. All addresses of a host go to one task, which keeps 1 / ``qps`` seconds between requests to it.
+def fetched(urls: DataFrame, client: Fetcher, qps: float = 0.5, timeout: float = 20, attempts: int = 3, respect_paywalls: bool = True, lanes: int = 1, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """``schemas.FETCHES`` for each distinct url. All addresses of a lane of a host go to one task, which keeps ``lanes`` / ``qps`` seconds between its
+    requests, so that at most ``lanes`` requests to a host are open at once and ``qps`` begin each second.
 
     Politeness makes a host sequential by intent; hosts run in parallel. Streams row by row, so a large host needs no memory.
     """
-    least = 1 / qps if qps > 0 else 0.0
+    least = lanes / qps if qps > 0 else 0.0
 
     def scan(batches):
-        last: dict[str, float] = {}
+        last: dict[tuple[str, int], float] = {}
         for pdf in batches:
             rows = []
-            for url, host in zip(pdf["url"], pdf["host"], strict=True):
+            for url, host in zip(pdf["url"], zip(pdf["host"], pdf["lane"], strict=True), strict=True):
                 rest = last.get(host, -least) + least - clock()
                 if rest > 0:
                     sleep(rest)
@@ -71,7 +73,14 @@ def fetched(urls: DataFrame, client: Fetcher, qps: float = 0.5, timeout: float =
                 rows.append((url, status, final, body))
             yield pd.DataFrame(rows, columns=["url", "status_code", "final_url", "html"])
 
-    hosts = urls.select("url").where("url is not null").distinct().withColumn("host", netloc(F.col("url"))).repartition("host").sortWithinPartitions("host", "url")
+    hosts = urls.select("url").where("url is not null").distinct().withColumn("host", netloc(F.col("url"))).withColumn("lane", F.pmod(F.xxhash64("url"), F.lit(lanes)))
+    hosts = hosts.repartition("host", "lane").sortWithinPartitions("host", "lane", "url")
     out = hosts.mapInPandas(scan, "url string, status_code int, final_url string, html binary")
     wall = has_paywall(F.decode("html", "UTF-8"), F.col("status_code")) if respect_paywalls else F.lit(False)
     return out.withColumn("paywall_detected", wall)
+
+
+def fetched_by(urls: DataFrame, config: EnrichConfig = EnrichConfig(), client: Fetcher | None = None) -> DataFrame:
+    """:func:`fetched` as the settings say, with the standard library's client unless another is given."""
+    client = client or HttpFetcher(config.user_agent, config.follow_redirects)
+    return fetched(urls, client, config.per_domain_qps, config.http_timeout_sec, config.http_max_retries, config.respect_paywalls, config.per_domain_concurrency)
