@@ -94,6 +94,8 @@ def bm25_top_k(passages: DataFrame, queries: DataFrame, key: str, k: int, text:
             def cut():
                 """The best k rows a query of what is kept; ties at the cut stay until the last step orders them."""
                 q, key, s = (np.concatenate(x) for x in zip(*best, strict=True))
+                if not len(q):
+                    return [(q, key, s)]
                 order = np.lexsort((-s, q))
                 q, key, s = q[order], key[order], s[order]
                 first = np.searchsorted(q, np.arange(len(queries)))
