@@ -4,8 +4,9 @@ Toxic documents go, repeated lines go, one document of each group of near duplic
 go, and what is left is mixed to target weights. All stages but the last return the columns of ``documents`` (``n_chars`` follows
 the text where lines were dropped); the last returns, for each document, how many of its words the mix takes.
 
-Edge cases are those of the operators: null and empty texts pass the first four stages, as do rows without id; rows that repeat an
-id that stands for its group are reduced to one by the third stage; an empty table gives an empty table.
+Edge cases are those of the operators: null and empty texts pass the first four stages. Rows are judged one by one, whether they share an id or have none: the third
+and fourth stage number them where ids don't tell them apart. Of equal texts the one with the smallest id stays, rows without id after
+all others. Very long texts pass whole. Other columns pass through, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,10 +22,24 @@ from docmill.llm.toxicity import fit_toxicity, score_toxicity
 from docmill.runtime import discard, small_enough, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``doc_id`` is in ``ids``, which are broadcast only if counted to be few."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).where(F.col("__gone").isNotNull()).distinct()
-    return docs.join(small_enough(written(gone, "gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
+KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a key for each row, and whether it is not the id: that is the key where each row has its own, else rows are numbered in a written copy."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.where(F.col("doc_id").isNull()).isEmpty() and ids.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id").cast("long")), False
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed"), True
+
+
+def _as_ids(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in ``gone`` (doc_id), which is broadcast only if counted to be small."""
+    return keyed.join(small_enough(written(gone.select(F.col("doc_id").alias(KEY)), "gone")), KEY, "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,19 +57,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: the one with the smallest id."""
-    groups = written(ngram_components(docs), "groups")
-    kept = _without(docs, groups.where(F.col("doc_id") != F.col("component_id")))
-    repeated = groups.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(again)
+    """One document of each group that links connect: the one with the smallest id, of several with it the first."""
+    keyed, apart = _keyed(docs)
+    groups = written(ngram_components(_as_ids(keyed)), "groups")
+    gone = groups.where(F.col("doc_id") != F.col("component_id"))
+    if apart:
+        named = groups.where(F.col("n_shingles") > 0).join(keyed.select(F.col(KEY).alias("doc_id"), F.col("doc_id").cast("long").alias("id")), "doc_id")
+        best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id")).alias("b")).select("b.doc_id")
+        gone = named.select("doc_id").join(best, "doc_id", "left_anti")
+    return _without(keyed, gone).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    keyed, _ = _keyed(docs)
+    found = contamination(_as_ids(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(keyed, found.select("doc_id").distinct()).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
