@@ -5,13 +5,14 @@ Features are hashes of words (A-Z lower-cased, ASCII marks as separators) and of
 P(grade > k) = sigmoid(w.x - threshold_k). It gives the expected severity and the probability that the grade is above 0.
 
 It is fitted on a bounded sample of the labelled documents (``sample`` rows in the order of a hash of the id, copies of
-a text and near copies once), and scores every document in one pass without a shuffle. Labels without grades get them from the text: a
-toxic document's grade is 1, 2 or 3 by the tertile of how many toxic markers it holds a word, markers being features
-far more frequent in toxic than in other documents of the sample.
+a text and near copies once), and scores every document in one pass without a shuffle. Labels of more than two values are grades as they
+are (in their order, 0 or less for clean). Labels of two get grades from the text: a toxic document's grade is 1, 2 or 3 by the tertile of
+how many toxic markers it holds a word, markers being features far more frequent in toxic than in other documents of the sample.
 
 Edge cases: null or empty text has no feature and gets the base rate. Labels with null in id or label are left out; if a
 document has several labels the largest counts. Without any toxic or any clean label every probability is the base
-rate of the sample, 0 for no labels.
+rate of the sample, 0 for no labels. Repeated rows get equal scores; in the sample equal texts count once, with the largest label. Documents are taken into the
+sample by a hash of their ids, ties by id. Very long texts are read in pieces. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 from docmill.llm.words import as_bytes, batches, hashed
 from docmill.runtime import bounded_batches
 
-#: Rows of the labelled sample on which the model is fitted, and features it may keep.
+#: Rows of the labelled sample on which the model is fitted. Features are kept as the sample's evidence asks, however many.
 SAMPLE = 8192
-FEATURES = 4096
 PREFIXES = (4, 5, 6, 7, 8)
 #: Beside the hashed features: whether at least so many words of a text have a marker.
 STEPS = (1, 2, 4, 8)
@@ -137,7 +137,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.nda
     return params[:n_features], np.cumsum(np.concatenate([params[n_features : n_features + 1], np.exp(params[n_features + 1 :])]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES) -> Ordinal:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """The model from at most ``sample`` labelled rows."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -173,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_
 
     texts = collected(lambda t: [np.unique(features([t])[1])], [np.uint32])
     texts = [texts[i] for i in unlike([k for _, _, k in texts])]
-    y, keys, chosen_texts = np.array([t for _, t, _ in texts], np.int64), [k for _, _, k in texts], {s for s, _, _ in texts}
+    y, keys, chosen_texts = np.array([t > 0 for _, t, _ in texts], np.int64), [k for _, _, k in texts], {s for s, _, _ in texts}
     none = np.zeros(0)
     if not len(y) or y.min() == y.max():
         share = np.clip(y.mean() if len(y) else 1e-6, 1e-6, 1 - 1e-6)
@@ -195,8 +195,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_
         for observed, expected in ((seen_here, of * share), (of - seen_here, of * (1 - share))):
             g += 2 * observed * np.log(np.maximum(observed, 1) / np.maximum(expected, 1e-9)) * (observed > 0)
     z = np.sqrt(np.maximum(g, 0)) * (ratio > 0)
-    best = np.argsort(-z, kind="stable")[:most_features]
-    best = np.sort(best[z[best] >= np.sqrt(2 * np.log(max(2, len(in_toxic))))])
+    best = np.flatnonzero(z >= np.sqrt(2 * np.log(max(2, len(in_toxic)))))
     kept, marker = in_toxic[best], ratio[best] > 3
     if not len(kept):
         share = T / len(y)
@@ -206,14 +205,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_
         return col, val, [len(t.split())]
 
     again = [r[1:] for r in collected(sparse, [np.int32, np.float64, np.int64]) if r[0] in chosen_texts]
-    y = np.array([r[0] for r in again], np.int64)
+    given = np.array([r[0] for r in again], np.int64)
+    y = (given > 0).astype(np.int64)
     rows = np.repeat(np.arange(len(again)), [len(r[1]) for r in again])
     cols, vals = np.concatenate([r[1] for r in again]).astype(np.int64), np.concatenate([r[2] for r in again])
     marks = cols < len(kept)
     marks[marks] = marker[cols[marks]]
     density = np.bincount(rows[marks], np.exp(vals[marks] - 1), len(again)) / np.maximum(1, np.array([int(r[3][0]) for r in again]))
-    cuts = np.quantile(density[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (density > cuts[0]) + (density > cuts[1]), 0)
+    if len(np.unique(given)) > 2:
+        grade = np.maximum(given, 0)
+    else:
+        cuts = np.quantile(density[y == 1], [1 / 3, 2 / 3])
+        grade = np.where(y == 1, 1 + (density > cuts[0]) + (density > cuts[1]), 0)
     _, grade = np.unique(grade, return_inverse=True)
     weights, thresholds = fit_ordinal(rows, cols, vals, grade, len(kept) + len(STEPS))
     return Ordinal(kept, weights, thresholds, marker)

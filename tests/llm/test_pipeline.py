@@ -48,3 +48,16 @@ def test_edges(spark, edge, nothing):
     kept = corpus_pipeline.near_duplicates(spark, edge, DATA)
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2 and ids.count(30) == 1 and 73 not in ids
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Leaks, near copies and equal rows among rows that share an id or have none are judged row by row."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    base, own = " ".join(f"w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(40))
+    made = [(None, f"{own} {item}", "x"), (None, base, "x"), (None, base + " end", "x"), (7, base, "x"), (7, base, "x"), (7, "quite another text of one id", "x"), (7, f"x y {item}", "x"), (3, None, "x"), (None, "", None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    near = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    kept = [tuple(r) for r in near.collect()]
+    assert near.columns == docs.columns and sorted(kept, key=repr) == sorted([r for k, r in enumerate(made) if k not in (1, 2, 4)], key=repr)
+    clean = [tuple(r) for r in corpus_pipeline.decontamination(spark, docs, DATA).collect()]
+    assert sorted(clean, key=repr) == sorted([r for k, r in enumerate(made) if k not in (0, 6)], key=repr)

@@ -450,6 +450,79 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.severity >= r.toxic_probability for r in out)
 
 
+def ordinal_likelihood(rows, grades, w, thresholds, penalty=0.5):
+    """The penalised log-likelihood of ordered grades, row by row."""
+    total = -0.5 * penalty * sum(x * x for x in w)
+    for row, grade in zip(rows, grades, strict=True):
+        eta = sum(w[c] * v for c, v in row)
+        above = [1.0, *(1 / (1 + math.exp(-(eta - t))) for t in thresholds), 0.0]
+        total += math.log(max(above[grade] - above[grade + 1], 1e-12))
+    return total
+
+
+def test_ordinal_fit_against_plain_python():
+    """No step of a plain coordinate search from the fit finds a better one, and the search from nothing ends at the same likelihood."""
+    rng = np.random.default_rng(3)
+    rows, grades = [], []
+    for _ in range(150):
+        own = [(c, float(rng.integers(1, 3))) for c in range(4) if rng.random() < 0.5]
+        grades.append(int(np.clip(sum((1, -1, 0.5, 0)[c] * v for c, v in own) + rng.logistic() + 0.5, 0, 2.99)))
+        rows.append(own)
+    at = [(i, c, v) for i, own in enumerate(rows) for c, v in own]
+    row, col, val = (np.array(x) for x in zip(*at, strict=True))
+    w, t = fit_ordinal(row, col, val, np.array(grades), 4, steps=2000)
+    fitted = ordinal_likelihood(rows, grades, w, t)
+
+    def climbed(x):
+        best, step = ordinal_likelihood(rows, grades, x[:4], sorted(x[4:])), 0.5
+        while step > 1e-3:
+            moves = [x[:k] + [x[k] + s] + x[k + 1 :] for k in range(len(x)) for s in (step, -step)]
+            found = max(moves, key=lambda y: ordinal_likelihood(rows, grades, y[:4], sorted(y[4:])))
+            value = ordinal_likelihood(rows, grades, found[:4], sorted(found[4:]))
+            if value > best + 1e-9:
+                best, x = value, found
+            else:
+                step /= 2
+        return best
+
+    assert climbed([*w.tolist(), *t.tolist()]) <= fitted + 0.01 and climbed([0.0] * 4 + [-1.0, 1.0]) == pytest.approx(fitted, abs=0.02)
+
+
+def test_severity_follows_graded_labels(spark):
+    """Labels of four grades are fitted as they are: the expected severity of held-out texts is near their grades."""
+    rng = np.random.default_rng(2)
+    bad, plain = [f"vile{k}" for k in range(12)], [f"word{k}" for k in range(400)]
+    made, labels = [], []
+    for i in range(1200):
+        grade = int(rng.integers(0, 4))
+        said = [*rng.choice(plain, 60), *rng.choice(bad, (0, 2, 6, 16)[grade])]
+        rng.shuffle(said)
+        made.append((i, " ".join(said)))
+        labels.append((i, grade))
+    docs, graded = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit_toxicity(docs, graded.where("doc_id < 600"))
+    out = score_toxicity(docs, model).where("doc_id >= 600").collect()
+    grade = dict(labels)
+    assert len(model.thresholds) == 3 and np.mean([abs(r.severity - grade[r.doc_id]) for r in out]) < 0.35
+    assert np.mean([(r.toxic_probability >= 0.5) == (grade[r.doc_id] > 0) for r in out]) > 0.97
+
+
+def test_toxicity_on_held_out_rows_of_all_languages(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 0
+    out = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels.where(fold))).join(labels.where(~fold), "doc_id").collect()
+    assert np.mean([r.toxic_probability >= 0.5 for r in out if r.toxic]) > 0.87
+    assert np.mean([r.toxic_probability >= 0.5 for r in out if not r.toxic]) < 0.01
+
+
+def test_toxicity_of_a_very_long_text_and_repeated_rows(spark):
+    some = spark.createDataFrame([(k, int(k % 2), "x") for k in range(40)], "doc_id long, toxic int, text string")
+    made = [(k, "vile mean words here" if k % 2 else "good kind words here " + "y" * k, "t") for k in range(40)] + [(99, "plain " * 900_000 + "vile mean", "t")] * 2
+    docs = spark.createDataFrame(made, "doc_id long, text string, toxic_probability string")
+    out = score_toxicity(docs, fit_toxicity(docs, some)).where("doc_id = 99").collect()
+    assert len(out) == 2 and out[0] == out[1] and 0 <= out[0].toxic_probability <= 1
+
+
 def test_toxicity_edges(spark, edge, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert fit_toxicity(edge, none).keys.size == 0
