@@ -106,7 +106,7 @@ def _keys(wrote: np.ndarray, sample: int) -> np.ndarray:
 
 
 def _index_keys(own: np.ndarray, log_share: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, start) of an item's windows: those samples that lie inside it, without those of words so common that any text has them; but ``repeat`` for every 16 words stay.
+    """(key, start) of an item's windows: those samples that lie inside it, without those of words so common that any text has them; but ``repeat`` for every 64 words stay.
 
     ``log_share`` is the log10 of each word's share of all words of the items."""
     n = len(own)
@@ -125,7 +125,7 @@ def _index_keys(own: np.ndarray, log_share: np.ndarray, repeat: int) -> tuple[np
         return _keys(wrote, len(SAMPLE_SET) - 1)[:1], np.zeros(1, np.int64)
     keys, places, chance = (np.concatenate(x) for x in (keys, places, chance))
     order = np.argsort(chance, kind="stable")
-    keep = order[: max(repeat * -(-n // 16), int((chance < CHANCE).sum()))]
+    keep = order[: max(repeat * -(-n // 64), int((chance < CHANCE).sum()))]
     return keys[keep], places[keep]
 
 
