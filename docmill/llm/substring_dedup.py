@@ -9,14 +9,14 @@ blocks of half its length, so repeats are found from blocks:
    These are the anchors. A filter's false hit costs work and never changes the result.
 3. Anchors are extended: every full window around an anchor goes on as a 128-bit hash with its document, and the smallest
    document of each hash is found by aggregation on both sides of the shuffle. Windows in a row make up a maximal repeat.
-4. The smallest document gets its hashes back as a list, and each document drops what is around its anchors but not in its list. So no
-   step gathers the documents that share a passage, however many they are.
+4. The smallest document gets its hashes back as a list, and each document drops what is around its anchors but not in its list (there, among
+   the windows of one text, 64 bits tell them apart). So no step gathers the documents that share a passage, however many they are. Texts are shuffled once, to their lists.
 
-Whole copies are settled first by a fingerprint of the word sequence, so that groups of copies don't repeat all their windows.
+Whole copies are settled first by a fingerprint of the word sequence (128 bits and the length), so that groups of copies don't repeat all their windows.
 
 Edge cases: null or empty text has no words. Documents without id keep everything and take nothing from others. Rows that
-share an id don't take from each other. Texts of fewer than ``window`` words stay, as whitespace-joined words. An empty table gives an
-empty table. Other columns don't matter.
+share an id don't take from each other, and get a list each. Texts of fewer than ``window`` words stay, as whitespace-joined words. Very long texts are
+hashed in pieces and kept whole. An empty table gives an empty table. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docmill.llm import bloom
 from docmill.llm.copies import classes_of, fingerprints, with_copy_marks
 from docmill.llm.words import as_bytes, batches, hashed, sequence, signed, windows
-from docmill.runtime import bounded_batches, plan_bytes
+from docmill.runtime import bounded_batches, plan_bytes, small_enough, written
 
 
 class _Part:
@@ -132,12 +132,29 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
                 s, h = part.around(block, indexed.value, anchors.value)
                 if len(s):
                     other = windows(part.words, window, 1)[s]
-                    owner = ids[lo + part.doc[s]].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(other)), pa.array(owner)], names=["h1", "h2", "doc_id"])
-
-    first = base.mapInArrow(extended, "h1 long, h2 long, doc_id long").groupBy("h1", "h2").agg(F.min("doc_id").alias("__id"))
-    kept = first.groupBy("__id").agg(F.collect_list("h1").alias("kept"))
-    joined = base.join(kept, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "copy_of", "kept")
+                    owner, mark = ids[lo + part.doc[s]].astype(np.int64), batch.column("same").to_numpy()[lo + part.doc[s]]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(other)), pa.array(owner), pa.array(mark)], names=["h1", "h2", "doc_id", "same"])
+
+    def windows_of(rows):
+        return rows.withColumn("same", F.xxhash64("text")).mapInArrow(extended, "h1 long, h2 long, doc_id long, same long")
+
+    first = windows_of(base).groupBy("h1", "h2").agg(F.min("doc_id").alias("__id"))
+    # an id that several rows share has no list of its own, as that would be as long as all their texts
+    shared = written(long_ones.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__shared")), "shared-ids")
+    if shared.isEmpty():
+        kept = first.groupBy("__id").agg(F.collect_list("h1").alias("kept"))
+        joined = base.join(kept, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "copy_of", "kept")
+    else:
+        first = written(first, "first")
+        ids = small_enough(shared)
+        alone, several = (base.join(ids, F.col("doc_id") == F.col("__shared"), how) for how in ("left_anti", "left_semi"))
+        kept = first.join(ids, F.col("__id") == F.col("__shared"), "left_anti").groupBy("__id").agg(F.collect_list("h1").alias("kept"))
+        # each of its texts gets those of its own windows that its id has first
+        own = windows_of(several).distinct().join(first.withColumnRenamed("__id", "doc_id"), ["h1", "h2", "doc_id"])
+        lists = own.groupBy(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).agg(F.collect_list("h1").alias("kept"))
+        columns = ["doc_id", "text", "copy_of", "kept"]
+        joined = alone.join(kept, F.col("doc_id") == F.col("__id"), "left").select(*columns)
+        joined = joined.unionByName(several.join(lists, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__same")), "left").select(*columns))
 
     def rewrite(parts):
         for batch in parts:

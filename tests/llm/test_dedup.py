@@ -48,6 +48,30 @@ def test_substring_dedup(edge, nothing):
     assert substring_dedup(nothing).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    """One id holds most rows, with passages of its own, of others, and repeated texts."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    passages = [say(60) for _ in range(6)]
+    made = [(k % 3 and 50, f"{say(10)} {passages[k % 6]} {say(k)} {passages[(k * 5) % 6]}") for k in range(40)] + [(7, passages[1]), (90, f"{passages[2]} {passages[3]}"), (50, passages[4]), (None, passages[5])]
+    made += made[3:5]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert rows(substring_dedup(docs), "doc_id", "n_words", "n_removed", "text") == sorted(brute.substring_dedup(made), key=repr)
+
+
+def test_operators_on_a_very_long_text(spark):
+    """Texts of megabytes, beside columns named like the engine's own."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(70))
+    line = "a line that many documents hold, longer than forty characters"
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(250_000))
+    made = [(1, f"{passage}\n{line}"), (2, f"{long} {passage}\n{line}\n{line}"), (3, f"{long} end"), *((k, line) for k in range(4, 8))]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x", 3) for i, t in made], "doc_id long, text string, n int, same int, kept string, c int")
+    assert rows(substring_dedup(docs), "doc_id", "n_words", "n_removed", "text") == sorted(brute.substring_dedup(made), key=repr)
+    assert rows(line_dedup(docs), "doc_id", "n_lines", "n_dropped", "text") == sorted(brute.line_dedup(made), key=repr)
+    assert rows(ngram_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.ngram_components(made), key=repr)
+
+
 def test_substring_dedup_other_window(edge):
     assert rows(substring_dedup(edge, 21), "doc_id", "n_words", "n_removed", "text") == sorted(brute.substring_dedup(texts(edge), 21), key=repr)
 

@@ -59,6 +59,13 @@ def test_frequent_lines_leave_the_text(spark):
     assert got == {i: f"own {i}\n\nlast {i}\n" for i in range(30)} | {50: "read more\nx\r\n", 51: "", 52: "", None: "own 1"}
 
 
+def test_quality_of_a_very_long_text_and_clashing_names(spark):
+    made = [(1, "word " * 400_000 + "\n" + "line of its own\n" * 50_000, "a"), (2, None, None), (2, "x", "a")]
+    docs = spark.createDataFrame([(i, t, s, 1, "y", 2) for i, t, s in made], "doc_id long, text string, source string, n int, h string, row int")
+    got = rows(quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert got == sorted(((i, *brute.statistics(t)) for i, t, _ in made), key=repr)
+
+
 # mixing
 
 
@@ -284,6 +291,23 @@ def test_license_scan(spark, nothing):
     assert license_scan(nothing).count() == 0
 
 
+def test_partial_license_matches(spark, edge):
+    """Templates with words left out: found if at least 80 % of the distinct shingles are left, with that share, and not below; on rows that repeat, and with clashing names."""
+    made, shingles = [], {n: set(licenses.template_shingles(t)) for n, t in TEMPLATES.items()}
+    for i, (name, text) in enumerate(sorted(TEMPLATES.items())):
+        words = licenses.template_words(text)
+        for j, cut in enumerate((0, 1, 2, len(words) // 8, len(words) // 5, len(words) // 3)):
+            made.append((10 * i + j, "before this " + " ".join(words[: len(words) - cut]) + " and after it"))
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in made + made[:3]], "doc_id long, text string, c int, license_id string")
+    got = {(r.doc_id, r.license_id): r.containment for r in license_scan(docs).collect()}
+    want = {}
+    for i, t in made:
+        held = set(licenses.template_shingles(t))
+        want |= {(i, n): round(len(s & held) / len(s), 6) for n, s in shingles.items() if 100 * len(s & held) >= 80 * len(s)}
+    assert got == want and any(v < 1 for v in want.values())
+    assert license_scan(edge).count() == 0
+
+
 def test_bands_reach_their_target():
     for s in (0.2, 0.25, 0.375, 0.7):
         bands, per = bands_for(s)
