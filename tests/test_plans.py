@@ -1,3 +1,4 @@
+import hashlib
 import json
 from datetime import datetime, timedelta
 
@@ -163,6 +164,24 @@ def test_entry_names():
     assert set(o) <= set(q) and "retrieve_end_to_end" in q
 
 
+def test_whole_texts_are_read(spark, tmp_path):
+    """A text of 401 to 999 characters, and first lines that differ only after 60: against plain Python and the SQL."""
+    import duckdb
+
+    from docmill import queries
+
+    text = lambda n: ("a" * 70 + str(n) + "\n" + "word " * 120 + f"end{n}").ljust(700, "z")
+    rows = [(n, text(n), "en", "s", 700) for n in range(3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("retrieval_text_whole") == {(n, 700, hashlib.md5(t.encode()).hexdigest()) for n, t, *_ in rows}
+    assert len(run("dedup_title_longest_whole")) == 3 and len(run("dedup_title_longest")) == 1
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("retrieval_text_whole", "dedup_union_whole", "chunk_documents_whole", "segment_ids_whole", "quality_gate_whole"):
+        assert run(name) == set(db.execute(queries.ORACLE_SQL[name]).fetchall()), name
+
+
 def test_entry_runs(spark):
     out = entry.entry(spark)
     assert out.count() == 30 and out.columns[0] == "rank"
