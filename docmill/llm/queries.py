@@ -6,6 +6,7 @@ from docmill.llm.decontaminate import op1_decontaminate
 from docmill.llm.licenses import OP9_SQL, op9_license_scan
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.lm import op5_lm_score
+from docmill.llm.merkle import OP11_SQL, op11_merkle_manifest
 from docmill.llm.mixing import OP8_SQL, op8_mix_sources
 from docmill.llm.ngram_join import OP7_SQL, op7_ngram_join
 from docmill.llm.quality import OP3_SQL, op3_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: None for toxicity (a fitted model) and secret scans (positions of matches, decoding): tests/llm holds those against plain Python.
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op7_ngram_join": OP7_SQL,
     "op8_mix_sources": OP8_SQL,
     "op9_license_scan": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
