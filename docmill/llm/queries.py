@@ -12,6 +12,7 @@ from docmill.llm.ngram_join import OP7_SQL, op7_ngram_join
 from docmill.llm.quality import OP3_SQL, op3_quality_rules
 from docmill.llm.secrets import op10_secret_scan
 from docmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
+from docmill.llm.suffix_dedup import OP12_SQL, op12_suffix_dedup
 from docmill.llm.toxicity import op6_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_dedup": op12_suffix_dedup,
 }
 
 #: None for toxicity (a fitted model) and secret scans (positions of matches, decoding): tests/llm holds those against plain Python.
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op8_mix_sources": OP8_SQL,
     "op9_license_scan": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_suffix_dedup": OP12_SQL,
 }
