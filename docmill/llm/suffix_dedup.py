@@ -324,8 +324,9 @@ def op12_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 #: Texts as hexadecimal digits, two a byte. Runs of removed bytes are islands of window starts at most 100 apart.
 OP12_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
-s AS (SELECT doc_id, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100),
-w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substring(x, 2 * p + 1, 200) ORDER BY doc_id, p) AS k FROM s JOIN d USING (doc_id)),
+b AS (SELECT doc_id, n, b, substring(x, 2 * b + 1, 2198) AS y FROM (SELECT doc_id, x, n, unnest(range(0, n - 99, 1000)) AS b FROM d WHERE n >= 100)),
+s AS (SELECT doc_id, b, y, unnest(range(0, least(1000, n - b - 99))) AS i FROM b),
+w AS (SELECT doc_id, b + i AS p, row_number() OVER (PARTITION BY substring(y, 2 * i + 1, 200) ORDER BY doc_id, b + i) AS k FROM s),
 g AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 1000) > 100 AS new FROM w WHERE k > 1),
 i AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
 r AS (SELECT doc_id, island, min(p) AS lo, max(p) + 100 AS hi FROM i GROUP BY doc_id, island),

@@ -102,7 +102,8 @@ def test_megabytes(spark):
 
 
 def test_rows_that_share_an_id(spark):
-    text = "".join(random.Random(7).choice("abcdef") for _ in range(500))
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdef") for _ in range(500))
     rows = [(1, text), (1, text), (1, text + "z"), (2, text)]
     out = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup(frame(spark, rows)).collect())
     assert out[0][2] == out[1][2] and out[3] == (2, 500, 500)
