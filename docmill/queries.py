@@ -357,15 +357,15 @@ WITH {_ARTICLES.strip()}, g AS (SELECT ord AS doc_id, CASE WHEN length(full_text
 _SECS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) / 150.0::DOUBLE * 60.0::DOUBLE"
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 
-def _language_sql() -> str:
+def language_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     names = sorted(PROFILES)
     counts = ", ".join(f"len(list_filter(w, lambda x: x IN {PROFILES[n]!r})) AS n_{n}" for n in names)
     most = f"greatest({', '.join(f'n_{n}' for n in names)})"
     first = " ".join(f"WHEN n_{n} = {most} THEN '{n}'" for n in names)
-    words = r"list_filter(string_split_regex(lower(left(text, 1000)), '\s+'), lambda x: x <> '')"
+    words = rf"list_filter(string_split_regex(lower(left({text}, 1000)), '\s+'), lambda x: x <> '')"
     return f"""
-WITH t AS (SELECT doc_id, list_transform({words}, lambda x: trim(x, '.,;:!?()"''')) AS w FROM documents), c AS (SELECT doc_id, {counts} FROM t)
-SELECT doc_id, CASE WHEN {most} = 0 THEN 'unknown' {first} END AS guess FROM c"""
+WITH t AS (SELECT {key}, list_transform({words}, lambda x: trim(x, '.,;:!?()"''')) AS w FROM {table}), c AS (SELECT {key}, {counts} FROM t)
+SELECT {key}, CASE WHEN {most} = 0 THEN 'unknown' {first} END AS guess FROM c"""
 
 
 ORACLE_SQL = {
@@ -415,7 +415,7 @@ SELECT conv_id, turn, CASE WHEN turn % 23 = 11 THEN 'missing line_id' WHEN r = 5
     "url_domain": r"""SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS netloc,
   array_to_string(string_split(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '.')[-2:], '.') AS domain, md5(url) AS item_id FROM pages""",
     "paywall_flag": "SELECT page_id, " + " OR ".join(f"contains(lower(html), '{m}')" for m in enrich.PAYWALL_MARKS) + " AS paywall FROM pages",
-    "language_guess": _language_sql(),
+    "language_guess": language_sql(),
     "quality_gate": f"{_GATED} SELECT doc_id, failure_reason FROM g",
     "failure_histogram": f"{_GATED} SELECT failure_reason, count(*) AS n FROM g WHERE failure_reason IS NOT NULL GROUP BY failure_reason",
     "enrichment_summary": f"{_GATED} SELECT count(*) AS attempted, count(*) FILTER (failure_reason IS NULL) AS succeeded, count(failure_reason) AS failed, 0::BIGINT AS skipped, count(failure_reason) AS dropped, min(failure_reason) AS first_reason FROM g",
