@@ -42,12 +42,14 @@ class CollectConfig(FromEnvironment):
 class EnrichConfig(FromEnvironment):
     PREFIX = "ENRICHER_"
 
+    global_concurrency: int = 4
     per_domain_concurrency: int = 1
     per_domain_qps: float = 0.5
     http_timeout_sec: int = 20
     http_max_retries: int = 3
     user_agent: str = "Mozilla/5.0 (compatible; docmill)"
     follow_redirects: bool = True
+    prefer_ipv4: bool = True
     extractor_sequence: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "article", "page")
     min_accept_words: int = 200
     allow_amp_print_variants: bool = True
@@ -93,6 +95,16 @@ class ScriptConfig(FromEnvironment):
     show_name: str = ""
 
 
+@dataclass(frozen=True)
+class ModelConfig(FromEnvironment):
+    """The text model that a caller's client asks; the stages take the client itself."""
+
+    PREFIX = "OPENAI_"
+
+    model: str = "gpt-4o-mini"
+    max_tokens: int = 128
+
+
 @dataclass(frozen=True)
 class PolishConfig(FromEnvironment):
     PREFIX = "POLISH_"

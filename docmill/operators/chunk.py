@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,29 +28,36 @@ def spans(text: str, chunk_size: int = 400, overlap: float = 0.15) -> list[tuple
     return out
 
 
-def chunks_of(text: Column, chunk_size: int = 400, overlap: float = 0.15) -> Column:
-    """The chunks of a text: itself, not stripped, if it fits one window; else the stripped pieces. Null for null.
+def placed_chunks(text: Column, chunk_size: int = 400, overlap: float = 0.15) -> Column:
+    """The chunks (text, end) of a text: itself, not stripped, if it fits one window; else the stripped pieces. ``end`` adds up their lengths. Null for null.
 
     Spark's own ``substring`` counts characters from the beginning of a text each time, so a fold over it is quadratic; texts of one window, most of them, don't
     leave the JVM.
     """
 
-    @F.pandas_udf("array<string>")
+    def pieces(t: str | None) -> list[dict] | None:
+        if t is None:
+            return None
+        texts = [t[a:b].strip() for a, b in spans(t, chunk_size, overlap)]
+        return [{"text": x, "end": n} for x, n in zip(texts, itertools.accumulate(map(len, texts)), strict=True)]
+
+    @F.pandas_udf("array<struct<text: string, end: int>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [t[a:b].strip() for a, b in spans(t, chunk_size, overlap)])
+        return texts.map(pieces)
 
     long_one = F.length(text) > 4 * chunk_size
-    return F.when(long_one, cut(F.when(long_one, text))).otherwise(F.when(text.isNotNull(), F.array(text)))
+    return F.when(long_one, cut(F.when(long_one, text))).otherwise(F.when(text.isNotNull(), F.array(F.struct(text.alias("text"), F.length(text).alias("end")))))
+
+
+def chunks_of(text: Column, chunk_size: int = 400, overlap: float = 0.15) -> Column:
+    """The texts of :func:`placed_chunks`."""
+    return F.transform(placed_chunks(text, chunk_size, overlap), lambda c: c["text"])
 
 
 def chunked(articles: DataFrame, text: str = "text", chunk_size: int = 400, overlap: float = 0.15) -> DataFrame:
     """A row for each chunk of every row with a text: chunk_index, chunk_count, text, and offsets that add up the chunks' lengths."""
     rest = [c for c in articles.columns if c != text]
-    out = articles.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("__chunks", chunks_of(F.col(text), chunk_size, overlap))
-    sizes = F.transform("__chunks", lambda c: F.length(c))
-    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-    # each row takes its own end along, not all ends of its text
-    both = F.arrays_zip(F.col("__chunks").alias("text"), ends.alias("char_end"))
-    out = out.select(*rest, F.size("__chunks").alias("chunk_count"), F.posexplode(both).alias("chunk_index", "__chunk"))
-    end = F.col("__chunk")["char_end"]
+    out = articles.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("__chunks", placed_chunks(F.col(text), chunk_size, overlap))
+    out = out.select(*rest, F.size("__chunks").alias("chunk_count"), F.posexplode("__chunks").alias("chunk_index", "__chunk"))
+    end = F.col("__chunk")["end"]
     return out.select(*rest, "chunk_index", "chunk_count", F.col("__chunk")["text"].alias("text"), (end - F.length(F.col("__chunk")["text"])).alias("char_start"), end.alias("char_end"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import filled, strip
 from docmill.operators.collect import first_by
+from docmill.runtime import small_enough, written
 
 
 def latest_by_url(articles: DataFrame) -> DataFrame:
@@ -23,13 +24,15 @@ def longest_by_title(articles: DataFrame) -> DataFrame:
 def deduplicated(articles: DataFrame, strict: bool = False) -> DataFrame:
     """The union of both winners, one row an ``item_id``: the title winner's values at the earlier position ``ord``.
 
-    So rows with one title at different addresses all stay. ``strict`` keeps rows that win by both instead.
+    So rows with one title at different addresses all stay. ``strict`` keeps rows that win by both instead. Each row has an ``ord`` of its own.
     """
-    by_url, by_title = latest_by_url(articles), longest_by_title(articles)
+    # winners are chosen on keys and small columns; whole rows move once, to their winners, or not at all where these are few
+    keys = articles.select("ord", "item_id", "url", "title", "published_at", "full_text_words")
+    by_url, by_title = (w.select("item_id", "ord") for w in (latest_by_url(keys), longest_by_title(keys)))
     if strict:
-        return by_url.join(by_title.select("ord"), "ord", "left_semi")
+        return articles.join(small_enough(written(by_url.join(by_title.select("ord"), "ord", "left_semi").select("ord"), "winners")), "ord", "left_semi")
     both = by_url.withColumn("__src", F.lit(0)).unionByName(by_title.withColumn("__src", F.lit(1)))
-    # url winners come first in the order, then those that only won by title; combined within tasks before the shuffle
+    # url winners come first in the order, then those that only won by title
     place = F.struct(F.col("__src").alias("src"), F.col("ord").alias("ord"))
-    rows = both.groupBy("item_id").agg(F.min(place).alias("position"), F.max_by(F.struct(*articles.columns), place).alias("row"))
-    return rows.select(*(F.col(f"row.{c}") for c in articles.columns), "position")
+    winners = both.groupBy("item_id").agg(F.min(place).alias("position"), F.max_by("ord", place).alias("ord")).select("ord", "position")
+    return articles.join(small_enough(written(winners, "winners")), "ord").select(*articles.columns, "position")

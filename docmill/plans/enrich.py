@@ -25,7 +25,10 @@ def enriched(items: DataFrame, robots: DataFrame, fetches: DataFrame, config: En
     A row that a cheap gate stops doesn't reach extraction, as its page is nulled before the UDF.
     """
     rows = with_robots(worklist(items, config.force), robots, agent)
-    pages = fetches.groupBy("url").agg(*(F.first(c).alias(c) for c in ("status_code", "html", "paywall_detected")))
+    # of repeated addresses one whole fetch: a success before others, then the higher status, the longer page; equal in all that, the rows are alike
+    row = F.struct("status_code", "html", "paywall_detected")
+    rank = F.struct(F.coalesce(F.col("status_code") == 200, F.lit(False)).alias("ok"), "status_code", F.octet_length("html").alias("size"), F.xxhash64("html").alias("hash"), "paywall_detected")
+    pages = fetches.groupBy("url").agg(F.max_by(row, rank).alias("page")).select("url", "page.*")
     rows = rows.join(pages, "url", "left").withColumn("html_size", F.octet_length("html")).withColumn("paywall_detected", F.col("paywall_detected") & F.lit(config.respect_paywalls))
     open_page = ~F.col("skipped") & F.col("allowed") & ~F.coalesce("paywall_detected", F.lit(False)) & (F.coalesce("status_code", F.lit(0)) == 200)
     rows = rows.withColumn("page", F.when(open_page, F.col("html"))).drop("html")

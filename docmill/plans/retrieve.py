@@ -13,7 +13,7 @@ from docmill.operators.chunk import chunked
 from docmill.operators.dedup import deduplicated
 from docmill.operators.mmr import mmr_select
 from docmill.operators.vector import embedded, vector_top_k
-from docmill.runtime import is_small, small_enough, written
+from docmill.runtime import small_enough, written
 
 KEY = "chunk_key"
 
@@ -28,7 +28,9 @@ def article_chunks(articles: DataFrame, config: RetrieveConfig = RetrieveConfig(
     rows = once.select("item_id", "source", "url", "title", "published_at", "topics", "position", text.alias("text"))
     out = chunked(rows, "text", config.chunk_size, config.chunk_overlap)
     at = F.col("position.src").cast("long") * F.lit(1 << 40) + F.col("position.ord").cast("long")
-    return out.withColumn(KEY, at * F.lit(1 << 20) + F.col("chunk_index")).drop("position")
+    # past 2**20 chunks (over a gigabyte of text) two articles' keys would meet
+    place = F.when(F.col("chunk_index") < 1 << 20, F.col("chunk_index")).otherwise(F.raise_error(F.lit("an article of more than 2**20 chunks")).cast("int"))
+    return out.withColumn(KEY, at * F.lit(1 << 20) + place).drop("position")
 
 
 def scored_chunks(chunks: DataFrame, queries: DataFrame, config: RetrieveConfig = RetrieveConfig(), model: Embedder | None = None) -> DataFrame:
@@ -45,23 +47,14 @@ def merged_articles(scored: DataFrame, chunks: DataFrame) -> DataFrame:
     return hybrid.merged(hybrid.rolled_up(scored, chunks, KEY), KEY)
 
 
-#: Candidates that one task may choose from.
-MOST_CANDIDATES = 1 << 16
-
-
 def candidates(chunks: DataFrame, queries: DataFrame, config: RetrieveConfig = RetrieveConfig(), model: Embedder | None = None) -> DataFrame:
     """The best articles of each primary query, written."""
     return written(hybrid.capped(merged_articles(scored_chunks(chunks, queries, config, model), chunks), config.per_query_cap), "capped")
 
 
 def diversified(capped: DataFrame, chunks: DataFrame, config: RetrieveConfig = RetrieveConfig(), model: Embedder | None = None) -> DataFrame:
-    """(item_id, rank) of at most ``final_limit`` candidates, by their scores and the vectors of their best chunks.
-
-    The choice is sequential, so one task makes it; more than ``MOST_CANDIDATES`` (queries x cap) are refused.
-    """
-    if not is_small(capped, MOST_CANDIDATES):
-        raise ValueError(f"more than {MOST_CANDIDATES} candidates: lower the cap a query, or ask fewer queries at once")
-    vectors = embedded(chunks.join(F.broadcast(capped.select(KEY)), KEY, "left_semi").select(KEY, "text"), "text", model or HashedEmbedder()).select(KEY, "embedding")
+    """(item_id, rank) of at most ``final_limit`` candidates, by their scores and the vectors of their best chunks."""
+    vectors = embedded(chunks.join(small_enough(capped.select(KEY)), KEY, "left_semi").select(KEY, "text"), "text", model or HashedEmbedder()).select(KEY, "embedding")
     return mmr_select(capped.join(vectors, KEY, "left"), config.final_limit, config.mmr_lambda)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +33,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         item_key(url).alias("item_id"),
         "source",
         url.alias("url"),
-        F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(60)).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("doc_id").cast("int"))).alias("published_at"),
         F.array("lang").alias("topics"),
-        F.left("text", F.lit(400)).alias("content"),
+        F.col("text").alias("content"),
         (F.col("n_chars") >= 1000).alias("has_fulltext"),
         F.col("text").alias("full_text"),
         tx.word_count(F.col("text")).alias("full_text_words"),
@@ -47,11 +45,6 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`articles`, with the whole first line as title and the whole text as content."""
-    return articles(spark, sf_dir).withColumn("title", F.split_part("full_text", F.lit("\n"), F.lit(1))).withColumn("content", F.col("full_text"))
-
-
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``benchmark`` as queries."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_idx"), F.col("text").alias("query"), F.array().cast("array<string>").alias("expansions"))
@@ -65,12 +58,12 @@ def dedup_url_latest(spark, sf_dir):
     return dedup.latest_by_url(articles(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "item_id")
 
 
-def dedup_title_longest(spark, sf_dir, of=articles):
-    return dedup.longest_by_title(of(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "item_id")
+def dedup_title_longest(spark, sf_dir):
+    return dedup.longest_by_title(articles(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "item_id")
 
 
-def dedup_union(spark, sf_dir, of=articles):
-    return dedup.deduplicated(of(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "item_id", F.col("position.src").alias("src"), F.col("position.ord").alias("at"))
+def dedup_union(spark, sf_dir):
+    return dedup.deduplicated(articles(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "item_id", F.col("position.src").alias("src"), F.col("position.ord").alias("at"))
 
 
 def new_items_anti(spark, sf_dir):
@@ -82,14 +75,14 @@ def collection_summary(spark, sf_dir):
     return collection_counts(articles(spark, sf_dir))
 
 
-def retrieval_text(spark, sf_dir, of=articles):
-    a = of(spark, sf_dir)
+def retrieval_text(spark, sf_dir):
+    a = articles(spark, sf_dir)
     text = tx.retrieval_text(F.col("full_text"), F.col("has_fulltext"), F.col("full_text_words"), F.col("content"), F.col("title"))
     return a.select(F.col("ord").alias("doc_id"), F.length(text).alias("n"), F.md5(text).alias("md5"))
 
 
-def segment_ids(spark, sf_dir, of=articles):
-    return of(spark, sf_dir).select(F.col("ord").alias("doc_id"), tx.segment_id(F.col("title")).alias("segment_id"))
+def segment_ids(spark, sf_dir):
+    return articles(spark, sf_dir).select(F.col("ord").alias("doc_id"), tx.segment_id(F.col("title")).alias("segment_id"))
 
 
 def snippets(spark, sf_dir):
@@ -100,13 +93,13 @@ def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.word_count(F.col("text")).alias("n_words"), F.round(tx.duration(F.col("text")), 6).alias("secs"))
 
 
-def chunk_documents(spark, sf_dir, of=articles):
-    c = plan.article_chunks(of(spark, sf_dir))
+def chunk_documents(spark, sf_dir):
+    c = plan.article_chunks(articles(spark, sf_dir))
     return c.select("item_id", "chunk_index", "chunk_count", "char_start", "char_end", F.md5("text").alias("md5"))
 
 
-def chunk_stats(spark, sf_dir, of=articles):
-    c = plan.article_chunks(of(spark, sf_dir))
+def chunk_stats(spark, sf_dir):
+    c = plan.article_chunks(articles(spark, sf_dir))
     return c.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("chunk_index") == 0).alias("n_articles"), F.max("chunk_count").alias("most"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -138,36 +131,36 @@ def bm25_normalised(spark, sf_dir):
     return bm25.normalised(written(scores, "scores"), "bm25").select("query_idx", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
-def _scored(spark, sf_dir, of=articles):
-    chunks = written(plan.article_chunks(of(spark, sf_dir)), "chunks")
+def _scored(spark, sf_dir):
+    chunks = written(plan.article_chunks(articles(spark, sf_dir)), "chunks")
     return plan.scored_chunks(chunks, query_set(spark, sf_dir)), chunks
 
 
-def hybrid_fusion(spark, sf_dir, of=articles):
-    return _scored(spark, sf_dir, of)[0].select("query_idx", "chunk_key", "dense", "bm25", "hybrid")
+def hybrid_fusion(spark, sf_dir):
+    return _scored(spark, sf_dir)[0].select("query_idx", "chunk_key", "dense", "bm25", "hybrid")
 
 
-def article_rollup(spark, sf_dir, of=articles):
-    scored, chunks = _scored(spark, sf_dir, of)
+def article_rollup(spark, sf_dir):
+    scored, chunks = _scored(spark, sf_dir)
     return hybrid.rolled_up(scored, chunks, plan.KEY).select("query_idx", "item_id", "chunk_index", "hybrid")
 
 
-def multi_query_merge(spark, sf_dir, of=articles):
-    out = plan.merged_articles(*_scored(spark, sf_dir, of))
+def multi_query_merge(spark, sf_dir):
+    out = plan.merged_articles(*_scored(spark, sf_dir))
     return out.select("item_id", "chunk_index", "hybrid", "primary_query", F.array_join(F.col("matched").cast("array<string>"), ",").alias("matched"))
 
 
-def per_query_cap(spark, sf_dir, of=articles):
-    return hybrid.capped(plan.merged_articles(*_scored(spark, sf_dir, of)), CONFIG.per_query_cap).select("primary_query", "query_rank", "item_id", "hybrid")
+def per_query_cap(spark, sf_dir):
+    return hybrid.capped(plan.merged_articles(*_scored(spark, sf_dir)), CONFIG.per_query_cap).select("primary_query", "query_rank", "item_id", "hybrid")
 
 
 def mmr_select(spark, sf_dir):
-    chunks = written(plan.article_chunks(whole_articles(spark, sf_dir)), "chunks")
+    chunks = written(plan.article_chunks(articles(spark, sf_dir)), "chunks")
     return plan.diversified(plan.candidates(chunks, query_set(spark, sf_dir)), chunks)
 
 
 def retrieve_end_to_end(spark, sf_dir):
-    out = plan.retrieve(whole_articles(spark, sf_dir), query_set(spark, sf_dir))
+    out = plan.retrieve(articles(spark, sf_dir), query_set(spark, sf_dir))
     return out.select("rank", "item_id", "title", "source", F.col("score.hybrid").alias("hybrid"), F.col("best_chunk.chunk_index").alias("chunk_index"), F.size("matched_queries").alias("n_queries"))
 
 
@@ -191,30 +184,30 @@ def language_guess(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text")).alias("guess"))
 
 
-def _gated(spark, sf_dir, of=articles):
-    a = of(spark, sf_dir)
+def _gated(spark, sf_dir):
+    a = articles(spark, sf_dir)
     rows = a.select(F.col("ord").alias("doc_id"), F.lit(True).alias("allowed"), F.lit(False).alias("paywall_detected"), F.lit(200).alias("status_code"), F.length("full_text").alias("html_size"), F.when(F.col("full_text_words") >= 200, F.col("full_text")).alias("clean_text"), F.col("lang").alias("language_detected"), F.col("content").alias("abstract"))
     return enrich.failure_reason(rows)
 
 
-def quality_gate(spark, sf_dir, of=articles):
-    return _gated(spark, sf_dir, of).select("doc_id", "failure_reason")
+def quality_gate(spark, sf_dir):
+    return _gated(spark, sf_dir).select("doc_id", "failure_reason")
 
 
-def fetch_gates(spark, sf_dir, of=articles):
+def fetch_gates(spark, sf_dir):
     """Every gate before extraction, with robots, paywalls and statuses dealt to the documents by their ids."""
-    a, at = of(spark, sf_dir), F.col("ord")
+    a, at = articles(spark, sf_dir), F.col("ord")
     status = F.element_at(F.array(*(F.lit(x) for x in (200, 404, 503, 0, 408, 200, 499, 500, 302, None))), (at % 10 + 1).cast("int"))
     rows = a.select(at.alias("doc_id"), F.when(at % 9 > 0, at % 13 != 1).alias("allowed"), F.when(at % 8 > 0, at % 11 == 3).alias("paywall_detected"), status.alias("status_code"), F.when(at % 17 != 5, F.length("full_text")).alias("html_size"), F.when(at % 19 != 7, F.col("full_text")).alias("clean_text"), F.col("lang").alias("language_detected"), F.col("title").alias("abstract"))
     return enrich.failure_reason(rows, ("en", "fr")).select("doc_id", "failure_reason")
 
 
-def failure_histogram(spark, sf_dir, of=articles):
-    return enrich.failure_histogram(_gated(spark, sf_dir, of))
+def failure_histogram(spark, sf_dir):
+    return enrich.failure_histogram(_gated(spark, sf_dir))
 
 
-def enrichment_summary(spark, sf_dir, of=articles):
-    rows = _gated(spark, sf_dir, of).withColumn("skipped", F.lit(False))
+def enrichment_summary(spark, sf_dir):
+    rows = _gated(spark, sf_dir).withColumn("skipped", F.lit(False))
     return enrich.enrichment_statistics(rows).select("attempted", "succeeded", "failed", "skipped", "dropped", F.map_keys("failed_by_reason").getItem(0).alias("first_reason"))
 
 
@@ -273,15 +266,9 @@ QUERIES = {f.__name__: f for f in (
     paywall_flag, language_guess, quality_gate, fetch_gates, failure_histogram, enrichment_summary, jsonl_parse_validate, line_checks, apply_order, speaker_balance, total_duration, line_numbering, ssml, tts_normalise,
 )}
 
-#: Those that read titles or contents, over whole first lines and whole texts.
-WHOLE = {f"{f.__name__}_whole": functools.partial(f, of=whole_articles) for f in (
-    dedup_title_longest, dedup_union, retrieval_text, segment_ids, chunk_documents, chunk_stats, hybrid_fusion, article_rollup, multi_query_merge, per_query_cap, quality_gate, fetch_gates, failure_histogram, enrichment_summary,
-)}
-QUERIES |= WHOLE
-
 _ARTICLES = r"""
-a AS (SELECT doc_id AS ord, md5('https://example.com/' || md5(text)) AS item_id, source, 'https://example.com/' || md5(text) AS url, left(split_part(text, chr(10), 1), 60) AS title,
-             TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at, left(text, 400) AS content, n_chars >= 1000 AS has_fulltext, text AS full_text,
+a AS (SELECT doc_id AS ord, md5('https://example.com/' || md5(text)) AS item_id, source, 'https://example.com/' || md5(text) AS url, split_part(text, chr(10), 1) AS title,
+             TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at, text AS content, n_chars >= 1000 AS has_fulltext, text AS full_text,
              len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::INT AS full_text_words, lang, n_chars FROM documents)"""
 _DEDUP = r"""
 u AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY published_at DESC, ord) = 1),
@@ -336,9 +323,9 @@ ru AS (SELECT query_idx, item_id, chunk_index, hybrid FROM hy JOIN c USING (chun
 mq AS (SELECT item_id, list_sort(list(DISTINCT query_idx)) AS matched FROM ru GROUP BY item_id),
 me AS (SELECT item_id, chunk_index, hybrid, matched[1] AS primary_query, array_to_string(matched, ',') AS matched FROM ru JOIN mq USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hybrid DESC, query_idx) = 1)"""
 
-#: The same over whole texts and first lines, then the cap, and the choice of at most 30 by a row for each candidate and step.
+#: Then the cap, and the choice of at most 30 by a row for each candidate and step.
 _CHOSEN = (
-    _FUSION.replace("left(split_part(text, chr(10), 1), 60) AS title", "split_part(text, chr(10), 1) AS title").replace("left(text, 400) AS content", "text AS content")
+    _FUSION
     + """,
 cp AS (SELECT me.*, c.chunk_key FROM me JOIN c USING (item_id, chunk_index) QUALIFY row_number() OVER (PARTITION BY primary_query ORDER BY hybrid DESC, item_id) <= 8),
 po AS (SELECT *, row_number() OVER (ORDER BY hybrid DESC, item_id) AS pos, count(*) OVER () AS n FROM cp),
@@ -407,7 +394,7 @@ SELECT page_id, concat_ws(' ', nullif(regexp_extract(html, '<link[^>]*rel="ampht
 WITH d AS (SELECT *, [200, 404, 503, 0, 408, 200, 499, 500, 302, NULL][doc_id % 10 + 1] AS s, CASE WHEN doc_id % 17 <> 5 THEN length(text) END AS size, CASE WHEN doc_id % 19 <> 7 THEN text ELSE '' END AS t FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 9 > 0 AND doc_id % 13 = 1 THEN 'robots_disallow' WHEN doc_id % 8 > 0 AND doc_id % 11 = 3 THEN 'paywall' WHEN s BETWEEN 400 AND 499 THEN 'http_4xx' WHEN s >= 500 THEN 'http_5xx' WHEN coalesce(s, 0) = 0 THEN 'timeout'
   WHEN coalesce(size, 0) = 0 THEN 'empty_response' WHEN t = '' THEN 'empty_extract' WHEN lang NOT IN ('en', 'fr') THEN 'lang_mismatch'
-  WHEN length(t) < 1000 AND length(t) < 2 * length(left(split_part(text, chr(10), 1), 60)) THEN 'too_short' END AS failure_reason FROM d""",
+  WHEN length(t) < 1000 AND length(t) < 2 * length(split_part(text, chr(10), 1)) THEN 'too_short' END AS failure_reason FROM d""",
     "line_checks": f"""
 WITH l AS (SELECT *, (turn + conv_id) % 6 AS r, {_WORDS} AS w FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 23 = 11 THEN 'missing line_id' WHEN r = 5 THEN 'missing refs' WHEN turn % 7 = 6 THEN 'missing pause_ms_after' WHEN role NOT IN ('user', 'assistant') THEN 'speaker' WHEN len(w) > 40 THEN 'too long'
@@ -428,10 +415,3 @@ SELECT speaker, n, round(n / t * 100, 6) AS pct, round(100 / k, 6) AS expected,
     "ssml": "SELECT conv_id, turn AS pos, '<speak>' || text || '<break time=''120ms''/></speak>' AS ssml FROM conversations",
     "tts_normalise": r"SELECT conv_id, turn, regexp_replace(text, '\b(?:THE|The|ThE)\b', 'THE-NAME', 'g') AS text FROM conversations",
 }
-
-
-def _whole_sql(sql: str) -> str:
-    return sql.replace("left(split_part(text, chr(10), 1), 60)", "split_part(text, chr(10), 1)").replace("left(text, 400)", "text")
-
-
-ORACLE_SQL |= {name: _whole_sql(ORACLE_SQL[name.removesuffix("_whole")]) for name in WHOLE}

@@ -18,10 +18,13 @@ from docmill.operators.enrich import has_paywall
 RETRY_STATUS = (429, 500, 502, 503, 504)
 
 
-def fetch_one(client: Fetcher, url: str, timeout: float = 20, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str, bytes]:
-    """(status, final address, body); a timeout of the last attempt is 408, another failure 0. Waits grow by half each time."""
+def fetch_one(client: Fetcher, url: str, timeout: float = 20, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str, bytes]:
+    """(status, final address, body) of the first request or of one of so many ``retries``, after a timeout or a status that asks for one. Waits grow by half each time.
+
+    A timeout of the last attempt is 408. Another failure of the network is 0 and isn't tried again.
+    """
     wait, last = 1.0, (0, url, b"")
-    for k in range(max(1, attempts)):
+    for k in range(max(0, retries) + 1):
         try:
             last = client.get(url, timeout)
             if last[0] not in RETRY_STATUS:
@@ -29,8 +32,8 @@ def fetch_one(client: Fetcher, url: str, timeout: float = 20, attempts: int = 3,
         except TimeoutError:
             last = (408, url, b"")
         except Exception:  # noqa: BLE001  any other failure of the network is status 0
-            last = (0, url, b"")
-        if k + 1 < attempts:
+            return 0, url, b""
+        if k < retries:
             sleep(wait)
             wait *= 1.5
     return last
@@ -52,11 +55,12 @@ def get_simple(client: Fetcher, url: str, timeout: float = 15, attempts: int = 3
     return None
 
 
-def fetched(urls: DataFrame, client: Fetcher, qps: float = 0.5, timeout: float = 20, attempts: int = 3, respect_paywalls: bool = True, lanes: int = 1, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+def fetched(urls: DataFrame, client: Fetcher, qps: float = 0.5, timeout: float = 20, retries: int = 3, respect_paywalls: bool = True, lanes: int = 1, tasks: int = 4, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """``schemas.FETCHES`` for each distinct url. All addresses of a lane of a host go to one task, which keeps ``lanes`` / ``qps`` seconds between its
     requests, so that at most ``lanes`` requests to a host are open at once and ``qps`` begin each second.
 
-    Politeness makes a host sequential by intent; hosts run in parallel. Streams row by row, so a large host needs no memory.
+    Politeness makes a host sequential by intent. Hosts are dealt to ``tasks`` partitions, as many requests as are open at once at most; a number that is given isn't
+    merged by Spark afterwards. Streams row by row, so a large host needs no memory.
     """
     least = lanes / qps if qps > 0 else 0.0
 
@@ -69,12 +73,12 @@ def fetched(urls: DataFrame, client: Fetcher, qps: float = 0.5, timeout: float =
                 if rest > 0:
                     sleep(rest)
                 last[host] = clock()
-                status, final, body = fetch_one(client, url, timeout, attempts, sleep)
+                status, final, body = fetch_one(client, url, timeout, retries, sleep)
                 rows.append((url, status, final, body))
             yield pd.DataFrame(rows, columns=["url", "status_code", "final_url", "html"])
 
     hosts = urls.select("url").where("url is not null").distinct().withColumn("host", netloc(F.col("url"))).withColumn("lane", F.pmod(F.xxhash64("url"), F.lit(lanes)))
-    hosts = hosts.repartition("host", "lane").sortWithinPartitions("host", "lane", "url")
+    hosts = hosts.repartition(max(1, tasks), "host", "lane").sortWithinPartitions("host", "lane", "url")
     out = hosts.mapInPandas(scan, "url string, status_code int, final_url string, html binary")
     wall = has_paywall(F.decode("html", "UTF-8"), F.col("status_code")) if respect_paywalls else F.lit(False)
     return out.withColumn("paywall_detected", wall)
@@ -83,4 +87,4 @@ def fetched(urls: DataFrame, client: Fetcher, qps: float = 0.5, timeout: float =
 def fetched_by(urls: DataFrame, config: EnrichConfig = EnrichConfig(), client: Fetcher | None = None) -> DataFrame:
     """:func:`fetched` as the settings say, with the standard library's client unless another is given."""
     client = client or HttpFetcher(config.user_agent, config.follow_redirects)
-    return fetched(urls, client, config.per_domain_qps, config.http_timeout_sec, config.http_max_retries, config.respect_paywalls, config.per_domain_concurrency)
+    return fetched(urls, client, config.per_domain_qps, config.http_timeout_sec, config.http_max_retries, config.respect_paywalls, config.per_domain_concurrency, config.global_concurrency)

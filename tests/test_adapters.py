@@ -18,7 +18,6 @@ from docmill.operators import bm25
 from docmill.operators.chunk import chunked, spans
 from docmill.plans import script
 from docmill.plans.enrich import variant_urls
-from docmill.plans.retrieve import MOST_CANDIDATES, diversified
 from docmill.sources.fetch import fetched, fetched_by
 from tests.test_operators import bm25_brute
 
@@ -64,9 +63,9 @@ def test_lanes_share_the_rate_of_a_host(spark):
     urls = spark.createDataFrame([(f"http://a.com/{k}",) for k in range(12)], "url string")
     waits = []
     client = TableFetcher({})
-    rows = fetched(urls, client, qps=200.0, attempts=1, lanes=3).collect()
+    rows = fetched(urls, client, qps=200.0, retries=0, lanes=3).collect()
     began = time.monotonic()
-    rows2 = fetched(urls, client, qps=200.0, attempts=1, lanes=1).collect()
+    rows2 = fetched(urls, client, qps=200.0, retries=0, lanes=1).collect()
     assert len(rows) == len(rows2) == 12 and time.monotonic() - began >= 11 / 200 and not waits
 
 
@@ -173,7 +172,10 @@ def test_chunks_of_a_very_long_text(spark):
     assert out.n == len(found) and out.end == out.chars
 
 
-def test_too_many_candidates_are_refused(spark):
-    many = spark.range(MOST_CANDIDATES + 1).withColumnRenamed("id", "chunk_key")
-    with pytest.raises(ValueError, match="candidates"):
-        diversified(many, many)
+def test_hosts_are_dealt_to_tasks_of_their_own(spark):
+    urls = spark.createDataFrame([(f"http://h{k % 50}.com/{k}",) for k in range(400)], "url string")
+    rows = fetched(urls, TableFetcher({}), qps=0, retries=0, tasks=6).select("url", F.spark_partition_id().alias("task")).collect()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r.url.split("/")[2], set()).add(r.task)
+    assert len(rows) == 400 and all(len(t) == 1 for t in tasks.values()) and len(set().union(*tasks.values())) == 6

@@ -149,7 +149,8 @@ def test_retries():
     waits = []
     assert fetch_one(Flaky(2), "u", sleep=waits.append) == (200, "u/final", b"ok") and waits == [1.0, 1.5]
     assert fetch_one(Flaky(9, TimeoutError()), "u", sleep=waits.append)[0] == 408
-    assert fetch_one(Flaky(9, OSError()), "u", sleep=waits.append)[0] == 0
+    assert fetch_one(slow := Flaky(9, TimeoutError()), "u", retries=3, sleep=waits.append)[0] == 408 and slow.calls == 4
+    assert fetch_one(broken := Flaky(9, OSError()), "u", sleep=waits.append)[0] == 0 and broken.calls == 1
     assert fetch_one(Flaky(9, status=404), "u", sleep=waits.append)[0] == 404
     assert get_simple(Flaky(2, status=500), "u", sleep=waits.append) == b"ok" and get_simple(Flaky(1, status=404), "u", sleep=waits.append) is None
     assert with_retries(lambda: 3) == 3

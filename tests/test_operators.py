@@ -187,6 +187,20 @@ def test_mmr(spark):
     assert mmr_select(rows.where("1 = 0"), 7).count() == 0
 
 
+@pytest.mark.parametrize("pool", [1, 4, 50, 5000])
+def test_mmr_in_rounds(spark, pool):
+    """Whatever the pool, the order of the sequential rule, with ties in scores and vectors, near copies, null vectors and null scores."""
+    rng = np.random.default_rng(pool)
+    rel, vec = rng.integers(0, 12, 300) / 8, rng.normal(size=(40, 5))[rng.integers(0, 40, 300)]
+    vec[::17] = 0
+    rel[5] = -1e200
+    rows = [(f"i{k:03d}", None if k == 5 else float(r), None if not v.any() else v.tolist()) for k, (r, v) in enumerate(zip(rel, vec, strict=True))]
+    table = spark.createDataFrame(rows, "item_id string, hybrid double, embedding array<double>").repartition(7)
+    by = sorted(range(300), key=lambda i: (-rel[i], i))
+    want = [f"i{by[i]:03d}" for i in mmr_order(rel[by], vec[by], 12, 0.3)]
+    assert [r.item_id for r in mmr_select(table, 12, pool=pool).orderBy("rank").collect()] == want
+
+
 GATE = "i int, allowed boolean, paywall_detected boolean, status_code int, html_size int, clean_text string, language_detected string, abstract string"
 
 

@@ -174,11 +174,11 @@ def test_whole_texts_are_read(spark, tmp_path):
     rows = [(n, text(n), "en", "s", 700) for n in range(3)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert run("retrieval_text_whole") == {(n, 700, hashlib.md5(t.encode()).hexdigest()) for n, t, *_ in rows}
-    assert len(run("dedup_title_longest_whole")) == 3 and len(run("dedup_title_longest")) == 1
+    assert run("retrieval_text") == {(n, 700, hashlib.md5(t.encode()).hexdigest()) for n, t, *_ in rows}
+    assert len(run("dedup_title_longest")) == 3
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    for name in ("retrieval_text_whole", "dedup_union_whole", "chunk_documents_whole", "segment_ids_whole", "quality_gate_whole"):
+    for name in ("retrieval_text", "dedup_union", "chunk_documents", "segment_ids", "quality_gate"):
         assert run(name) == set(db.execute(queries.ORACLE_SQL[name]).fetchall()), name
 
 
