@@ -24,6 +24,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,7 +107,7 @@ def _wraps_key(algorithm: bytes, inner: bytes) -> bool:
     return element[0] in (0x02, 0x04) or element[0] == 0x30 and bool(_children(inner, element[1], element[2]))
 
 
-def is_der_private_key(data: bytes) -> bool:
+def is_der_private_key(data: bytes | memoryview) -> bool:
     """PKCS#1, PKCS#8, SEC1, DSA or encrypted PKCS#8, with every length nested inside its parent's, down to the key that PKCS#8 wraps."""
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
@@ -119,7 +120,7 @@ def is_der_private_key(data: bytes) -> bool:
     def algorithm(x):
         """The identifier in an algorithm's sequence, empty if it isn't one."""
         inner = _children(data, x[1], x[2]) if x[0] == 0x30 else None
-        return data[inner[0][1] : inner[0][2]] if inner and inner[0][0] == 0x06 else b""
+        return bytes(data[inner[0][1] : inner[0][2]]) if inner and inner[0][0] == 0x06 else b""
 
     if tags[0] == 0x02:
         if parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
@@ -132,10 +133,10 @@ def is_der_private_key(data: bytes) -> bool:
     return len(tags) == 2 and algorithm(parts[0]).startswith(_PASSWORD_BASED) and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16
 
 
-def openssh_size(data: bytes) -> int | None:
-    """The length of the OpenSSH private key that ``data`` begins with: the fixed magic, then cipher, kdf and options as length-prefixed fields, a count, and that many public keys and one private part."""
-    magic, at = b"openssh-key-v1\x00", 15
-    if not data.startswith(magic):
+def openssh_size(data: bytes, start: int = 0) -> int | None:
+    """The length of the OpenSSH private key that begins at ``start``: the fixed magic, then cipher, kdf and options as length-prefixed fields, a count, and that many public keys and one private part."""
+    magic, at = b"openssh-key-v1\x00", start + 15
+    if not data.startswith(magic, start):
         return None
 
     def field(at):
@@ -155,7 +156,7 @@ def openssh_size(data: bytes) -> int | None:
     for _ in range(count + 1):
         if (at := field(at)) is None:
             return None
-    return at
+    return at - start
 
 
 def is_openssh_private_key(data: bytes) -> bool:
@@ -221,10 +222,34 @@ def token_spans(text: bytes) -> list[tuple[int, int]]:
     return found
 
 
-def _holds_armour(run: bytes) -> bool:
-    # the last characters may be other text, which leaves a group of four unfilled
-    data = _decoded(run if len(run) % 4 != 1 else run[:-1]) or b""
-    return b"-----BEGIN" in data and bool(pem_spans(data))
+class _Block:
+    """Base64 lines joined and decoded: once for each place that a line can begin at in a group of four, however many lines there are."""
+
+    def __init__(self, joined: bytes):
+        self.joined = joined
+        self.data: dict[int, bytes] = {}
+        self.armour: dict[int, list[tuple[int, int]]] = {}
+
+    def at(self, begin: int) -> tuple[bytes, int]:
+        """(decoded bytes, place in them) of the character ``begin``."""
+        lane = begin % 4
+        if lane not in self.data:
+            tail = self.joined[lane:]
+            # a last character that leaves a group of four unfilled is other text
+            self.data[lane] = _decoded(tail if len(tail) % 4 != 1 else tail[:-1]) or b""
+        return self.data[lane], (begin - lane) // 4 * 3
+
+    def holds_armour(self, begin: int, end: int) -> bool:
+        """Whether the characters from ``begin`` to ``end`` hold a whole private key in PEM armour."""
+        data, start = self.at(begin)
+        lane = begin % 4
+        if lane not in self.armour:
+            self.armour[lane] = pem_spans(data) if b"-----BEGIN" in data else []
+        size = (end - begin) // 4 * 3 + (0, 0, 1, 2)[(end - begin) % 4]
+        spans = self.armour[lane]
+        # spans don't overlap, so the first that begins here or later also ends first
+        k = bisect_left(spans, (start, 0))
+        return k < len(spans) and spans[k][1] <= start + size
 
 
 def base64_spans(text: bytes) -> list[tuple[int, int]]:
@@ -240,24 +265,26 @@ def base64_spans(text: bytes) -> list[tuple[int, int]]:
         line_at = {x: i for i, x in enumerate(begins)}
         # padding belongs to the last line
         ends = [*(b for _, b in runs[:-1]), m.end()]
-        armour, done = bool(_ARMOUR.search(joined)), -1
+        block, armour, done = _Block(joined), bool(_ARMOUR.search(joined)), -1
         for i, x in enumerate(parts):
             if i <= done or len(x) < 32:
                 continue
             size = None
-            if x[:1] == b"M":
+            der = x[:1] == b"M"
+            if der:
                 size = der_size(_decoded(x[:32]) or b"")
             elif x.startswith(b"b3BlbnNzaC1rZXktdjE"):
-                rest = joined[begins[i] :]
-                size = openssh_size(_decoded(rest) or _decoded(rest[: len(rest) // 4 * 4]) or b"")
+                size = openssh_size(*block.at(begins[i]))
             if size is not None:
                 last = line_at.get(begins[i] + size // 3 * 4 + (0, 2, 3)[size % 3], 0) - 1
-                if last >= i and _is_key(_decoded(joined[begins[i] : begins[last + 1]])):
+                data, start = block.at(begins[i])
+                # of an OpenSSH key all fields have been read; DER is parsed where it stands
+                if last >= i and (not der or is_der_private_key(memoryview(data)[start : start + size])):
                     found.append((runs[i][0], ends[last]))
                     done = last
             elif armour and (i == 0 or x.startswith(b"LS0tLS1CRUdJTi")):
                 # a last line that isn't needed is other text
-                last = next((k for k in range(max(i, len(parts) - 2), len(parts)) if _holds_armour(joined[begins[i] : begins[k + 1]])), -1)
+                last = next((k for k in range(max(i, len(parts) - 2), len(parts)) if block.holds_armour(begins[i], begins[k + 1])), -1)
                 if last >= 0:
                     found.append((runs[i][0], ends[last]))
                     done = last

@@ -3,6 +3,7 @@ import collections
 import json
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -259,6 +260,19 @@ def test_secrets_in_a_very_long_text_and_beside_clashing_names(spark):
     assert [s.split(":")[0] for s in got[1][2].split(",")] == ["key", "token"]
 
 
+@pytest.mark.parametrize("line", [b"-----BEGIN PRIVATE KEY-----\nMIIBVQIBADANBgkq", b"openssh-key-v1\x00\x00\x00\x00\x04none\x00\x00\x00\x04none", b"\x30\x82\x40\x00\x02\x01\x00" + b"\x04\x03abc" * 8, b"\x30\x2e\x02\x01\x00" + b"\x04\x05abcde" * 6])
+def test_megabytes_of_lines_like_keys(line):
+    """Lines each of which begins as a key does are scanned in time linear in their number; a key at their end is found."""
+    coded = base64.b64encode(line + b"." * (-len(line) % 3))
+    text = (coded + b"\n") * (5_000_000 // (len(coded) + 1))
+    began = time.time()
+    assert not secrets.base64_spans(text)
+    assert time.time() - began < 10
+    key = base64.b64encode(bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32)))
+    cut = text[: len(text) // 8 // (len(coded) + 1) * (len(coded) + 1)]
+    assert secrets.base64_spans(cut + key[:64] + b"\n" + key[64:] + b"\n") == [(len(cut), len(cut) + len(key) + (1 if len(key) > 64 else 0))]
+
+
 def test_secrets_nothing(nothing, edge):
     assert secret_scan(nothing).count() == 0 and secret_scan(edge).count() == edge.count()
 
