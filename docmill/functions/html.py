@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.content import extract_main
+
 _SILENT = frozenset({"script", "style", "noscript"})
 _VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 
@@ -147,16 +149,17 @@ def _goose(html: str) -> str | None:
     return lib and lib.Goose().extract(raw_html=html).cleaned_text
 
 
-# libraries where they are installed, then the standard library's parser
+# libraries where they are installed, then our own
 register_extractor("trafilatura", _trafilatura)
 register_extractor("readability", _readability)
 register_extractor("newspaper3k", _newspaper)
 register_extractor("goose3", _goose)
+register_extractor("main", extract_main)
 register_extractor("article", _article_only)
 register_extractor("page", lambda html: text_of(html, " ") or None)
 
 
-def extract_chain(html: Column, names: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "article", "page"), least_words: int = 200, most_chars: int = 50_000) -> Column:
+def extract_chain(html: Column, names: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "main", "article", "page"), least_words: int = 200, most_chars: int = 50_000) -> Column:
     """A struct (clean_text, word_count, extraction_method): the first extractor with enough words, null if none has.
 
     Texts are cut before words are counted; an extractor that is unknown or raises is passed over. One UDF runs the

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from docmill.config import RetrieveConfig
 from docmill.functions import text as tx
+from docmill.functions.content import HOLDER_COST, LEAF_COST, main_text
 from docmill.functions.html import html_text, html_variants
 from docmill.functions.language import PROFILES, detect
 from docmill.functions.urls import is_recent, item_key, netloc, registered_domain
-from docmill.operators import bm25, dedup, enrich, hybrid, script
+from docmill.operators import bm25, dedup, enrich, hybrid, language, script
 from docmill.operators.collect import collection_counts, new_items
 from docmill.operators.vector import vector_top_k
 from docmill.plans import retrieve as plan
@@ -184,6 +185,27 @@ def language_guess(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text")).alias("guess"))
 
 
+def extract_main(spark, sf_dir):
+    """The main text of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", main_text(F.col("html")).alias("text"))
+
+
+def language_fit(spark, sf_dir):
+    """Every document's language by profiles of the documents whose id isn't a multiple of five."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs.where("doc_id % 5 <> 0"))
+    found = language.detected(docs, model)
+    return found.select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "language", "score")
+
+
+def language_accuracy(spark, sf_dir):
+    """How many documents that weren't learnt from get their language, by language and in all."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs.where("doc_id % 5 <> 0"))
+    rest = docs.where("doc_id % 5 = 0")
+    return language.accuracy(rest.select("doc_id", "lang").join(language.detected(rest, model), "doc_id")).select("lang", "n", "n_right")
+
+
 def _gated(spark, sf_dir):
     a = articles(spark, sf_dir)
     rows = a.select(F.col("ord").alias("doc_id"), F.lit(True).alias("allowed"), F.lit(False).alias("paywall_detected"), F.lit(200).alias("status_code"), F.length("full_text").alias("html_size"), F.when(F.col("full_text_words") >= 200, F.col("full_text")).alias("clean_text"), F.col("lang").alias("language_detected"), F.col("content").alias("abstract"))
@@ -263,7 +285,7 @@ def tts_normalise(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     retrieve_end_to_end, recent_items, dedup_url_latest, dedup_title_longest, dedup_union, new_items_anti, collection_summary, retrieval_text, segment_ids, snippets, word_counts,
     chunk_documents, chunk_stats, vector_topk, vector_topk_by_label, bm25_corpus_stats, bm25_topk, bm25_normalised, hybrid_fusion, article_rollup, multi_query_merge, per_query_cap, mmr_select, html_clean, html_variants_found, url_domain,
-    paywall_flag, language_guess, quality_gate, fetch_gates, failure_histogram, enrichment_summary, jsonl_parse_validate, line_checks, apply_order, speaker_balance, total_duration, line_numbering, ssml, tts_normalise,
+    paywall_flag, language_guess, extract_main, language_fit, language_accuracy, quality_gate, fetch_gates, failure_histogram, enrichment_summary, jsonl_parse_validate, line_checks, apply_order, speaker_balance, total_duration, line_numbering, ssml, tts_normalise,
 )}
 
 _ARTICLES = r"""
@@ -355,7 +377,31 @@ WITH t AS (SELECT {key}, list_transform({words}, lambda x: trim(x, '.,;:!?()"'''
 SELECT {key}, CASE WHEN {most} = 0 THEN 'unknown' {first} END AS guess FROM c"""
 
 
+#: Trigrams of all texts, their counts by language, the 65536 most frequent with their smoothed logarithms, and each text's sums.
+_TRIGRAMS = """
+t AS (SELECT doc_id, lang, string_split(' ' || lower(text) || ' ', '') AS c FROM documents WHERE text <> ''),
+g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM t),
+l AS (SELECT lang, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM documents WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY lang),
+k AS (SELECT gram, lang, count(*) AS n FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY gram, lang),
+v AS (SELECT count(DISTINCT gram) AS v FROM k), z AS (SELECT lang, sum(n) AS z FROM k GROUP BY lang),
+b AS (SELECT gram FROM k GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 65536),
+w AS (SELECT b.gram, l.lang, ln((coalesce(k.n, 0) + 1) / (coalesce(z.z, 0) + v.v)::DOUBLE) AS w FROM b CROSS JOIN l CROSS JOIN v LEFT JOIN z ON z.lang = l.lang LEFT JOIN k ON k.gram = b.gram AND k.lang = l.lang),
+h AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY doc_id, gram),
+s AS (SELECT doc_id, w.lang, sum(h.n * w) AS s FROM h JOIN w USING (gram) GROUP BY doc_id, w.lang),
+r AS (SELECT d.doc_id, d.lang AS truth, l.lang, round(coalesce(s, 0) + prior, 3) AS score FROM documents d CROSS JOIN l LEFT JOIN s ON s.doc_id = d.doc_id AND s.lang = l.lang),
+y AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)"""
+
 ORACLE_SQL = {
+    "language_fit": f"WITH {_TRIGRAMS} SELECT doc_id, doc_id % 5 = 0 AS held_out, lang AS language, score FROM y",
+    "language_accuracy": f"WITH {_TRIGRAMS} SELECT truth AS lang, count(*) AS n, count(*) FILTER (lang = truth) AS n_right FROM y WHERE doc_id % 5 = 0 AND truth IS NOT NULL GROUP BY ROLLUP (truth)",
+    # these pages have one article of a heading and paragraphs; what surrounds it is named or full of links
+    "extract_main": rf"""
+WITH a AS (SELECT page_id, string_split_regex(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '</?(?:h1|p)[^>]*>') AS runs, contains(html, '<h1') AS headed FROM pages),
+b AS (SELECT page_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS place FROM a),
+c AS (SELECT page_id, place, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(run, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS run FROM b),
+d AS (SELECT *, CASE WHEN place = 2 THEN greatest(length(run) - {LEAF_COST}, 1) ELSE length(run) - {LEAF_COST} END AS weight FROM c WHERE run <> ''),
+e AS (SELECT page_id, sum(weight) AS worth, max(weight) AS most, string_agg(run, chr(10) ORDER BY place) AS text, first(run ORDER BY weight DESC, place) AS single FROM d WHERE weight > 0 GROUP BY page_id)
+SELECT p.page_id, CASE WHEN worth - {HOLDER_COST} > most THEN text ELSE single END AS text FROM pages p LEFT JOIN e USING (page_id)""",
     "recent_items": f"SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAYS",
     "dedup_url_latest": f"WITH {_ARTICLES}, {_DEDUP} SELECT ord AS doc_id, item_id FROM u",
     "dedup_title_longest": f"WITH {_ARTICLES}, {_DEDUP} SELECT ord AS doc_id, item_id FROM t",
