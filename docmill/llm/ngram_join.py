@@ -136,10 +136,16 @@ def least_difference(a: np.ndarray, b: np.ndarray) -> int:
 def _compared(pairs: DataFrame, table: DataFrame, kind: str, read: Callable, close: Callable) -> DataFrame:
     """The pairs (u, v) of which ``close`` says so, given what ``read`` makes of their values in ``table`` (doc_id, x).
 
-    The value of u is sent once for up to ``PAIRS`` of its pairs, not with each: rows come in the order of u, its own first, and a task holds one at a time.
+    Of each pair, the end with more pairs has its value sent once for up to ``PAIRS`` of them, not with each: rows come in the order of these ends, their own first, and a task
+    holds one at a time. The value of the other end goes along with the pair.
     """
-    degrees = written(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("c")), "degrees")
-    salted = join_keys(pairs, degrees, ["u"], "c").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / PAIRS)).alias("salt"))
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    degrees = written(ends.groupBy("node").agg(F.count(F.lit(1)).alias("c")), "degrees")
+    both = join_keys(pairs.select("u", "v"), degrees.select(F.col("node").alias("u"), F.col("c").alias("cu")), ["u"], "cu")
+    both = join_keys(both, degrees.select(F.col("node").alias("v"), F.col("c").alias("cv")), ["v"], "cv")
+    swap = F.col("cv") > F.col("cu")
+    turned = both.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"), F.greatest("cu", "cv").alias("c"))
+    salted = turned.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / PAIRS)).alias("salt"))
     heads = salted.select("u", "salt").distinct().join(table.select(F.col("doc_id").alias("u"), "x"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "x")
     tails = salted.join(table.select(F.col("doc_id").alias("v"), "x"), "v").select("u", "salt", "v", "x")
     rows = heads.unionByName(tails).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
@@ -158,7 +164,7 @@ def _compared(pairs: DataFrame, table: DataFrame, kind: str, read: Callable, clo
                         out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in out], pa.int64()), pa.array([vs[i] for i in out], pa.int64())], names=["u", "v"])
 
-    links = written(rows.mapInArrow(compare, "u long, v long"), kind)
+    links = written(rows.mapInArrow(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), kind)
     discard(degrees)
     return links
 
@@ -195,21 +201,24 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, meeting: in
     def scan(parts):
         """A row for each document and, last, the task's counters."""
         own = Counters()
-        names = ["doc_id", "n", "f1", "f2", "segment", "counts"]
+        names = ["doc_id", "n", "f1", "f2", *MAPS, "segment", "counts"]
         for batch in parts:
             sets = shingle_sets(as_bytes(batch.column("text")), k)
             f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             f2 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64)
             if sets:
                 own.add(slots(np.concatenate(sets)))
+            bits = np.array([np.packbits((np.bincount(((s >> np.uint64(7)) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64) for s in sets], np.int64).reshape(-1, 8)
+            maps = (pa.array(np.ascontiguousarray(bits[:, j])) for j in range(8))
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mix(f1).view(np.int64)), pa.array(f2.view(np.int64)), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mix(f1).view(np.int64)), pa.array(f2.view(np.int64)), *maps, *none], names=names)
         for at, payload in own.segments():
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([at], pa.int32()), pa.array([payload], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(12)), pa.array([at], pa.int32()), pa.array([payload], pa.binary())], names=names)
 
-    scanned = written(slim(docs).mapInArrow(scan, f"{SLIM}, segment int, counts binary"), "scanned")
+    bit_columns = ", ".join(f"{m} long" for m in MAPS)
+    scanned = written(slim(docs).mapInArrow(scan, f"{SLIM}, {bit_columns}, segment int, counts binary"), "scanned")
     counters = summed(scanned.where(F.col("segment").isNotNull()).select("segment", "counts"))
-    prints = scanned.where(F.col("segment").isNull()).select("doc_id", "n", "f1", "f2")
+    prints = scanned.where(F.col("segment").isNull()).select("doc_id", "n", "f1", "f2", *MAPS)
     full = prints.where(F.col("n") > 0)
     classes = classes_of(full)
     base = with_copy_marks(docs, full, classes)
@@ -244,21 +253,27 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, meeting: in
 
     def post(parts):
         for batch in parts:
-            keys, ids, sizes, maps = [], [], [], []
+            keys, ids, prints = [], [], []
             for doc_id, own, found in keys_of(batch):
                 if len(found):
-                    bits = np.bincount(((own >> np.uint64(7)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
                     keys.append(found)
                     ids.append(np.full(len(found), doc_id))
-                    sizes.append(np.full(len(found), len(own)))
-                    maps.append(np.broadcast_to(np.packbits(bits.astype(np.uint8)).view(np.int64), (len(found), 8)))
+                    prints.append(np.full(len(found), mix(np.array([own.sum(dtype=np.uint64)])).view(np.int64)[0]))
             if keys:
-                both = np.concatenate(maps)
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(sizes), *(np.ascontiguousarray(both[:, j]) for j in range(8))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rep", "n", *MAPS])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(prints))], names=["key", "rep", "f1"])
 
-    kinds = "key long, rep long, n long, " + ", ".join(f"{m} long" for m in MAPS)
-    posts = written(base.mapInArrow(post, kinds), "postings")
+    # the filter only saves work: keys of one document are counted out exactly, in three numbers a key, before sizes and maps join what is left
+    posts = written(base.mapInArrow(post, "key long, rep long, f1 long"), "keys")
+    shared = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "shared-keys")
+    tidy(spark)
+    few = written(join_keys(posts, shared, ["key"], "c").drop("c"), "shared-postings")
+    for old in (posts, shared):
+        discard(old)
+    senders = written(few.groupBy("rep", "f1").agg(F.count(F.lit(1)).alias("c")), "senders")
+    sized = full.groupBy(F.col("doc_id").alias("rep"), "f1").agg(F.first("n").alias("n"), *(F.first(m).alias(m) for m in MAPS))
+    sized = written(sized.join(small_enough(senders), ["rep", "f1"]), "maps-of-sets")
+    posts = written(join_keys(few, sized, ["rep", "f1"], "c").select("key", "rep", "n", *MAPS), "postings")
+    discard(few)
     tidy(spark)
 
     one = F.struct("rep", "n", *MAPS)
