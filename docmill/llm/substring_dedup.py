@@ -2,15 +2,18 @@
 
 A window is ``window`` consecutive words of one document. Every word covered by a window whose word sequence also
 starts in a document with a smaller id goes. Any window contains a whole block of an even division of its document into
-blocks of half its length, so repeats are found from blocks:
+blocks of half its length, so repeats are found from blocks, in those parts of the texts where a repeat can be:
 
-1. The index: hashes of all non-overlapping blocks of all documents, as a Bloom filter of bounded size.
-2. Every rolling window of a block's length probes it; hits that two documents contribute stay in a second filter.
+1. The parts. Each window has one place in it whose half-window hashes least, a function of its words alone; one word in 13 is such a place of some window. Windows whose place's
+   hash occurs in one document only, counted exactly by an aggregate, repeat nowhere and take no part. So what the filters below hold, and what passes them once they
+   are full, is text that does repeat for half a window, however large the input.
+2. The index: hashes of the non-overlapping blocks of these parts, as a Bloom filter of bounded size.
+3. Every rolling window of a block's length probes it; hits that two documents contribute stay in a second filter.
    These are the anchors. A filter's false hit costs work and never changes the result.
-3. Anchors are extended: every full window around an anchor goes on as a 128-bit hash with its document, and the smallest
+4. Anchors are extended: every full window around an anchor goes on as a 128-bit hash with its document, and the smallest
    document of each hash is found by aggregation on both sides of the shuffle. Windows in a row make up a maximal repeat.
-4. The smallest document gets its hashes back as a list, and each document drops what is around its anchors but not in its list (there, among
-   the windows of one text, 64 bits tell them apart). So no step gathers the documents that share a passage, however many they are. Texts are shuffled once, to their lists.
+5. The smallest document gets its hashes back as a list, and each document drops what is around its anchors but not in its list (there, among
+   the windows of one text, 64 bits tell them apart). So no step gathers the documents that share a passage, however many they are. Texts are shuffled twice, to their places and to their lists.
 
 Whole copies are settled first by a fingerprint of the word sequence (128 bits and the length), so that groups of copies don't repeat all their windows.
 
@@ -28,27 +31,52 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bloom
 from docmill.llm.copies import classes_of, fingerprints, with_copy_marks
-from docmill.llm.words import as_bytes, batches, hashed, sequence, signed, windows
-from docmill.runtime import bounded_batches, plan_bytes, small_enough, written
+from docmill.llm.words import LOW, as_bytes, batches, hashed, minima, sequence, signed, windows
+from docmill.runtime import bounded_batches, discard, join_keys, small_enough, tidy, written
 
 
 class _Part:
     """The words of some documents one after the other; ``live`` marks words of documents that take part."""
 
-    def __init__(self, texts, ids, copies, window):
+    def __init__(self, texts, ids, copies, window, marks=None):
+        """``marks`` has for each document the hashes of places that others share; without it all windows take part."""
         self.texts, self.window = texts, window
         self.words, self.offsets = hashed(texts)
         sizes = np.diff(self.offsets)
         take = np.array([i is not None for i in ids], bool) & (sizes >= window)
         self.copy = np.zeros(len(texts), bool)
-        for k, marks in enumerate(copies):
-            if marks and take[k]:
-                self.copy[k] = sequence(self.words[self.offsets[k] : self.offsets[k + 1]]) in {m % (1 << 64) for m in marks}
+        for k, prints in enumerate(copies):
+            if prints and take[k]:
+                self.copy[k] = sequence(self.words[self.offsets[k] : self.offsets[k + 1]]) in {m % (1 << 64) for m in prints}
         take &= ~self.copy
         self.doc = np.repeat(np.arange(len(texts)), sizes)
         self.at = np.arange(len(self.words)) - self.offsets[self.doc]
         self.live = take[self.doc]
         self.left = self.offsets[self.doc + 1] - np.arange(len(self.words))
+        self.suspect = None
+        if marks is not None:
+            s, h = self.places()
+            self.suspect = np.zeros(len(self.words) + 1, bool)
+            edges = np.searchsorted(s, self.offsets)
+            for k in np.flatnonzero(np.diff(edges)):
+                if marks[k] is not None:
+                    a, b = edges[k], edges[k + 1]
+                    self.suspect[s[a:b][np.isin(h[a:b], marks[k])]] = True
+            upto = np.concatenate([[0], np.cumsum(self.suspect[:-1])])
+            at = np.arange(len(self.words))
+            self.live = self.live & (upto[at + 1] > upto[np.maximum(0, at - window + 1)])
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts of full windows, hash of the half-window that hashes least in each)."""
+        half = (self.window + 1) // 2
+        s = self.starts(self.window)
+        if not len(s):
+            return s, np.zeros(0, np.uint64)
+        h, places, out = windows(self.words, half), self.window - half + 1, []
+        for lo in range(0, len(h) - places + 1, 1 << 23):
+            piece = h[lo : lo + (1 << 23) + places - 1]
+            out.append(piece[(minima((piece & ~LOW) | np.arange(len(piece), dtype=np.uint64), places) & LOW).astype(np.int64)])
+        return s, np.concatenate(out)[s]
 
     def starts(self, k: int) -> np.ndarray:
         """Where a window of k words begins that lies within one document."""
@@ -76,13 +104,19 @@ class _Part:
         upto = np.cumsum(hit)
         s = self.starts(self.window)
         s = s[upto[s + self.window - block + 1] > upto[s]]
+        if self.suspect is not None:
+            s = s[self.suspect[s]]
         return s, windows(self.words, self.window)[s] if len(s) else np.zeros(0, np.uint64)
 
 
 def _parts(batch, window):
     texts, ids, copies = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("copy_of").to_pylist()
+    marks = None
+    if "marks" in batch.schema.names:
+        column = batch.column("marks")
+        marks = [column[k].values.to_numpy(zero_copy_only=False).view(np.uint64) if column[k].is_valid else None for k in range(batch.num_rows)]
     for lo, hi in batches(texts):
-        yield lo, hi, _Part(texts[lo:hi], ids[lo:hi], copies[lo:hi], window)
+        yield lo, hi, _Part(texts[lo:hi], ids[lo:hi], copies[lo:hi], window, marks and marks[lo:hi])
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -105,14 +139,36 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
     prints = fingerprints(docs, whole)
     long_ones = prints.where(F.col("n") >= window)
-    base = with_copy_marks(docs, long_ones, classes_of(long_ones))
-    estimate = plan_bytes(docs.select("text"))
+    base = with_copy_marks(docs, long_ones, classes_of(long_ones)).withColumn("same", F.xxhash64("text"))
+
+    def place(parts):
+        for batch in parts:
+            ids, same = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("same").to_numpy()
+            for lo, _, part in _parts(batch, window):
+                s, h = part.places()
+                if len(s):
+                    doc = part.doc[s]
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[new])), pa.array(ids[lo + doc[new]].astype(np.int64)), pa.array(same[lo + doc[new]])], names=["h", "doc_id", "same"])
+
+    places = written(base.mapInArrow(place, "h long, doc_id long, same long"), "places")
+    shared = places.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("h", "n")
+    shared = written(shared, "shared-places")
+    tidy(spark)
+    marks = written(join_keys(places, shared, ["h"], "n").groupBy("doc_id", "same").agg(F.collect_set("h").alias("marks")), "marks")
+    discard(places)
+    tidy(spark)
+    n_marks = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    # the passes below read texts with their places from one table
+    base = written(base.join(marks.hint("shuffle_hash"), ["doc_id", "same"], "left").select("doc_id", "text", "copy_of", "marks"), "marked")
+    discard(marks)
+    tidy(spark)
 
     def index(batch):
         for _, _, part in _parts(batch, window):
             yield part.blocks(block)
 
-    indexed = spark.sparkContext.broadcast(bloom.build(base, index, bloom.bits_for(estimate * 0.02), "once"))
+    indexed = spark.sparkContext.broadcast(bloom.build(base, index, bloom.bits_for(n_marks * 4.0), "once"))
 
     def probes(batch):
         for _, _, part in _parts(batch, window):
@@ -123,7 +179,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
             first[1:] = (h[1:] != h[:-1]) | (part.doc[s[1:]] != part.doc[s[:-1]])
             yield h[first]
 
-    anchors = spark.sparkContext.broadcast(bloom.build(base, probes, bloom.bits_for(estimate * 0.06, 8)))
+    anchors = spark.sparkContext.broadcast(bloom.build(base, probes, bloom.bits_for(n_marks * 50.0, 8)))
 
     def extended(parts):
         for batch in parts:
@@ -140,19 +196,19 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
     first = windows_of(base).groupBy("h1", "h2").agg(F.min("doc_id").alias("__id"))
     # an id that several rows share has no list of its own, as that would be as long as all their texts
-    shared = written(long_ones.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__shared")), "shared-ids")
-    if shared.isEmpty():
+    same_id = written(long_ones.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__shared")), "shared-ids")
+    if same_id.isEmpty():
         kept = first.groupBy("__id").agg(F.collect_list("h1").alias("kept"))
-        joined = base.join(kept, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "copy_of", "kept")
+        joined = base.join(kept, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "copy_of", "marks", "kept")
     else:
         first = written(first, "first")
-        ids = small_enough(shared)
+        ids = small_enough(same_id)
         alone, several = (base.join(ids, F.col("doc_id") == F.col("__shared"), how) for how in ("left_anti", "left_semi"))
         kept = first.join(ids, F.col("__id") == F.col("__shared"), "left_anti").groupBy("__id").agg(F.collect_list("h1").alias("kept"))
         # each of its texts gets those of its own windows that its id has first
         own = windows_of(several).distinct().join(first.withColumnRenamed("__id", "doc_id"), ["h1", "h2", "doc_id"])
         lists = own.groupBy(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).agg(F.collect_list("h1").alias("kept"))
-        columns = ["doc_id", "text", "copy_of", "kept"]
+        columns = ["doc_id", "text", "copy_of", "marks", "kept"]
         joined = alone.join(kept, F.col("doc_id") == F.col("__id"), "left").select(*columns)
         joined = joined.unionByName(several.join(lists, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__same")), "left").select(*columns))
 

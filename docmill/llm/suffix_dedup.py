@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.copies import classes_of, slim
-from docmill.llm.words import _TABLE, PIECE, as_bytes, batches, windows
+from docmill.llm.words import _TABLE, LOW, PIECE, as_bytes, batches, minima, windows
 from docmill.runtime import bounded_batches, discard, join_keys, small_enough, tidy, written
 
 #: Windows an anchor can stand for, one bit each.
@@ -43,15 +43,6 @@ PLACES = 64
 BUCKET = 1 << 17
 #: Suffixes that the driver samples for each bucket.
 SAMPLES = 8
-_LOW = np.uint64((1 << 24) - 1)
-
-
-def _minima(x: np.ndarray, n: int) -> np.ndarray:
-    """The minimum of every n elements in a row."""
-    span = 1
-    while span * 2 <= n:
-        x, span = np.minimum(x[:-span], x[span:]), span * 2
-    return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
 
 
 def _anchors_of(data: bytes, bounds: np.ndarray, length: int, places: int) -> tuple[np.ndarray, ...]:
@@ -60,7 +51,7 @@ def _anchors_of(data: bytes, bounds: np.ndarray, length: int, places: int) -> tu
     if len(buf) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     hashes = windows(_TABLE[buf], length - places + 1)
-    at = _minima((hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64), places) & _LOW
+    at = minima((hashes & ~LOW) | np.arange(len(hashes), dtype=np.uint64), places) & LOW
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     starts = np.flatnonzero(bounds[doc[: len(at)] + 1] - np.arange(len(at)) >= length)
     anchor = at[starts].astype(np.int64)

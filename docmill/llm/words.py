@@ -133,6 +133,18 @@ def windows(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return out
 
 
+#: Bits of a hash that give way to a place, to find the first of equal minima.
+LOW = np.uint64((1 << 24) - 1)
+
+
+def minima(x: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of every n elements in a row."""
+    span = 1
+    while span * 2 <= n:
+        x, span = np.minimum(x[:-span], x[span:]), span * 2
+    return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
+
+
 def sequence(words: np.ndarray, which: int = 0) -> int:
     """One hash of a whole sequence and its length."""
     total = np.uint64(len(words))
