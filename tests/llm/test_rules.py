@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.llm import licenses, secrets
+from docmill.llm import licenses, secrets, toxicity
 from docmill.llm.decontaminate import Items, contamination, edit_search, op1_decontaminate
 from docmill.llm.licenses import TEMPLATES, bands_for, license_scan
 from docmill.llm.lm import ClassModel, exchange_classes, is_held_out, score_texts
@@ -561,6 +561,28 @@ def test_toxicity_of_a_very_long_text_and_repeated_rows(spark):
     assert len(out) == 2 and out[0] == out[1] and 0 <= out[0].toxic_probability <= 1
 
 
+def test_op6_against_plain_python(spark):
+    """The whole query: every word by itself, counts and steps in dictionaries, sums one by one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = fit_toxicity(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    weight, marker = dict(zip(model.keys.tolist(), model.weights, strict=False)), {k for k, m in zip(model.keys.tolist(), model.markers, strict=True) if m}
+    steps, seen = model.weights[len(model.keys) :], {}
+    want = {}
+    for r in docs.collect():
+        counts, marked = collections.Counter(), 0
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.text or "").encode()):
+            own = seen.setdefault(w, [k for k in toxicity.features([w])[1].tolist() if k in weight])
+            counts.update(own)
+            marked += any(k in marker for k in own)
+        eta = sum(weight[k] * (1 + math.log(n)) for k, n in counts.items()) + sum(x for x, least in zip(steps, toxicity.STEPS, strict=False) if marked >= least)
+        above = [1 / (1 + math.exp(-min(40, max(-40, eta - t)))) for t in model.thresholds]
+        want[r.doc_id] = (sum(above), above[0], above[0] >= 0.5)
+    got = {r.doc_id: (r.severity, r.toxic_probability, r.toxic) for r in op6_toxicity(spark, DATA).collect()}
+    assert got.keys() == want.keys() and len(model.keys)
+    for i, (severity, probability, toxic) in want.items():
+        assert abs(got[i][0] - severity) < 1e-9 and abs(got[i][1] - probability) < 1e-9 and got[i][2] == toxic
+
+
 def test_toxicity_edges(spark, edge, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert fit_toxicity(edge, none).keys.size == 0
