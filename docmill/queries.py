@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ from docmill.functions.content import HOLDER_COST, LEAF_COST, main_text
 from docmill.functions.html import html_text, html_variants
 from docmill.functions.language import PROFILES, detect
 from docmill.functions.urls import is_recent, item_key, netloc, registered_domain
-from docmill.operators import bm25, dedup, enrich, hybrid, language, script
+from docmill.operators import bm25, dedup, enrich, hybrid, index, language, script
 from docmill.operators.collect import collection_counts, new_items
 from docmill.operators.vector import vector_top_k
 from docmill.plans import retrieve as plan
-from docmill.runtime import written
+from docmill.runtime import shared_dir, written
 
 AS_OF = "2024-01-31 00:00:00"
 CONFIG = RetrieveConfig()
@@ -127,6 +129,14 @@ def bm25_topk(spark, sf_dir):
     return bm25.bm25_top_k(table(spark, sf_dir, "documents").select("doc_id", "text"), query_set(spark, sf_dir), "doc_id", CONFIG.k_bm25)
 
 
+def bm25_index_topk(spark, sf_dir):
+    """The ten best documents of each query from an index that two runs have written, with small blocks so that some can be skipped."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    for run in (0, 1):
+        index.append(docs.where(F.col("doc_id") % 2 == run), "doc_id", path, str(run), block=8)
+    return index.search(spark, path, query_set(spark, sf_dir), "doc_id", "long", 10).rows.select("query_idx", "doc_id", "bm25", "rank")
+
+
 def bm25_normalised(spark, sf_dir):
     scores = bm25.bm25_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), query_set(spark, sf_dir), "doc_id")
     return bm25.normalised(written(scores, "scores"), "bm25").select("query_idx", "doc_id", F.round("bm25", 6).alias("bm25"))
@@ -284,7 +294,7 @@ def tts_normalise(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     retrieve_end_to_end, recent_items, dedup_url_latest, dedup_title_longest, dedup_union, new_items_anti, collection_summary, retrieval_text, segment_ids, snippets, word_counts,
-    chunk_documents, chunk_stats, vector_topk, vector_topk_by_label, bm25_corpus_stats, bm25_topk, bm25_normalised, hybrid_fusion, article_rollup, multi_query_merge, per_query_cap, mmr_select, html_clean, html_variants_found, url_domain,
+    chunk_documents, chunk_stats, vector_topk, vector_topk_by_label, bm25_corpus_stats, bm25_topk, bm25_index_topk, bm25_normalised, hybrid_fusion, article_rollup, multi_query_merge, per_query_cap, mmr_select, html_clean, html_variants_found, url_domain,
     paywall_flag, language_guess, extract_main, language_fit, language_accuracy, quality_gate, fetch_gates, failure_histogram, enrichment_summary, jsonl_parse_validate, line_checks, apply_order, speaker_balance, total_duration, line_numbering, ssml, tts_normalise,
 )}
 
@@ -422,6 +432,7 @@ WITH p AS (SELECT q.vec_id AS query_idx, e.vec_id, round(list_inner_product(e.em
 SELECT query_idx, vec_id, dense, (row_number() OVER (PARTITION BY query_idx ORDER BY dense DESC, vec_id))::INT AS rank FROM p QUALIFY rank <= 10""",
     "bm25_corpus_stats": f"WITH {_Q}, {_bm25('documents', 'doc_id')} SELECT (SELECT n::BIGINT FROM nn) AS n_docs, (SELECT round(mean, 6) FROM nn) AS mean_length, count(*) AS n_terms, sum(df)::BIGINT AS n_postings, round(avg(raw), 6) AS mean_idf, count(*) FILTER (raw < 0) AS n_negative FROM df",
     "bm25_topk": f"WITH {_Q}, {_bm25('documents', 'doc_id')} SELECT query_idx, doc_id, bm25, (row_number() OVER (PARTITION BY query_idx ORDER BY bm25 DESC, doc_id))::INT AS rank FROM bm QUALIFY rank <= 200",
+    "bm25_index_topk": f"WITH {_Q}, {_bm25('documents', 'doc_id')} SELECT query_idx, doc_id, bm25, (row_number() OVER (PARTITION BY query_idx ORDER BY bm25 DESC, doc_id))::INT AS rank FROM bm QUALIFY rank <= 10",
     "bm25_normalised": f"WITH {_Q}, {_bm25('documents', 'doc_id')} SELECT query_idx, doc_id, round(bm25 / max(bm25) OVER (PARTITION BY query_idx), 6) AS bm25 FROM bm",
     "hybrid_fusion": f"{_FUSION} SELECT query_idx, chunk_key, dense, bm25, hybrid FROM hy",
     "article_rollup": f"{_FUSION} SELECT query_idx, item_id, chunk_index, hybrid FROM ru",
