@@ -1,4 +1,4 @@
-"""Writers. A staged folder replaces the old one only when complete."""
+"""Writers. A staged folder replaces the old one only when complete; between two renames there is neither."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_table(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Writes beside ``path`` and then takes its place, so readers see the old or the new table whole."""
+    """Writes beside ``path``, renames the old table away and the new one in. A reader sees the old or the new table whole, or none between the renames: this isn't atomic."""
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.format(form).save(staged)
