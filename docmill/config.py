@@ -50,7 +50,7 @@ class EnrichConfig(FromEnvironment):
     user_agent: str = "Mozilla/5.0 (compatible; docmill)"
     follow_redirects: bool = True
     prefer_ipv4: bool = True
-    extractor_sequence: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "main", "article", "page")
+    extractor_sequence: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "article", "main", "page")
     min_accept_words: int = 200
     allow_amp_print_variants: bool = True
     max_full_text_chars: int = 50_000

@@ -154,12 +154,12 @@ register_extractor("trafilatura", _trafilatura)
 register_extractor("readability", _readability)
 register_extractor("newspaper3k", _newspaper)
 register_extractor("goose3", _goose)
-register_extractor("main", extract_main)
 register_extractor("article", _article_only)
+register_extractor("main", extract_main)
 register_extractor("page", lambda html: text_of(html, " ") or None)
 
 
-def extract_chain(html: Column, names: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "main", "article", "page"), least_words: int = 200, most_chars: int = 50_000) -> Column:
+def extract_chain(html: Column, names: tuple[str, ...] = ("trafilatura", "readability", "newspaper3k", "goose3", "article", "main", "page"), least_words: int = 200, most_chars: int = 50_000) -> Column:
     """A struct (clean_text, word_count, extraction_method): the first extractor with enough words, null if none has.
 
     Texts are cut before words are counted; an extractor that is unknown or raises is passed over. One UDF runs the
