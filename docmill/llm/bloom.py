@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docmill.llm.words import mix
+from docmill.llm.words import lean, mix
 
 SEGMENT = 1 << 19
 #: Bits of the largest filter (32 MB): the bound of what is broadcast. Past its capacity more hashes pass on to the exact step.
@@ -103,7 +103,7 @@ def build(table: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.nd
             yield out()
 
     schema = "segment int, once binary, twice binary"
-    merged = table.mapInArrow(partial, schema).repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, schema)
+    merged = table.mapInArrow(lean(partial), schema).repartition("segment").sortWithinPartitions("segment").mapInArrow(lean(merge), schema)
     out = np.zeros(bits // 8, np.uint8)
     for row in merged.select("segment", which).toLocalIterator():
         lo = row["segment"] * SEGMENT // 8

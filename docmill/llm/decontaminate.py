@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.words import as_bytes, batches, hashed, mix
+from docmill.llm.words import as_bytes, batches, hashed, lean, mix
 from docmill.runtime import bounded_batches
 
 WALKS, STEPS, SAMPLES, SAMPLED = 4, 12, 3, 4
@@ -297,7 +297,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, leas
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "first_word"])
 
-        found = slim.mapInArrow(search, "doc_id long, item_id long, distance long, first_word long")
+        found = slim.mapInArrow(lean(search), "doc_id long, item_id long, distance long, first_word long")
         out = found if out is None else out.unionByName(found)
     best = F.min(F.struct("distance", "first_word"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.distance", "b.first_word")

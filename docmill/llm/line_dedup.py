@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import bloom
-from docmill.llm.words import as_bytes
+from docmill.llm.words import as_bytes, lean
 from docmill.runtime import bounded_batches, join_keys, plan_bytes, written
 
 #: Confirmed keys (24 bytes each) up to which they are broadcast.
@@ -77,7 +77,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
                     marks += [mark] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64()), pa.array(marks, pa.int64())], names=["key", "doc_id", "same"])
 
-    held = slim.withColumn("same", F.xxhash64("text")).mapInArrow(suspects, "key binary, doc_id long, same long")
+    held = slim.withColumn("same", F.xxhash64("text")).mapInArrow(lean(suspects), "key binary, doc_id long, same long")
     confirmed = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs), "line-keys")
     schema = docs.schema.names
     rest = [c for c in schema if c not in ("text", "n_lines", "n_dropped")]
@@ -122,7 +122,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
 
             yield from rewrite(batches, drop_of)
 
-        out = plain.mapInArrow(with_broadcast, out_spec)
+        out = plain.mapInArrow(lean(with_broadcast), out_spec)
     else:
         # a list for each id and text, so that no list is longer than its text has lines, however many rows share an id or have none
         lost = join_keys(held.select("key", "doc_id", "same"), confirmed, ["key"], "n_docs", broadcast_keys).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -137,7 +137,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
 
             yield from rewrite(batches, drop_of)
 
-        out = joined.mapInArrow(with_column, out_spec)
+        out = joined.mapInArrow(lean(with_column), out_spec)
     return out.select(*schema, *(c for c in ("n_lines", "n_dropped") if c not in schema))
 
 

@@ -37,7 +37,7 @@ from docmill.llm import bloom
 from docmill.llm.copies import SLIM, classes_of, slim, with_copy_marks
 from docmill.llm.graph import components
 from docmill.llm.sketch import Counters, slots, summed
-from docmill.llm.words import as_bytes, batches, hashed, mix, sequence, windows
+from docmill.llm.words import as_bytes, batches, hashed, lean, mix, sequence, windows
 from docmill.runtime import bounded_batches, discard, join_keys, plan_bytes, small_enough, tidy, written
 
 MAPS = [f"b{k}" for k in range(8)]
@@ -164,7 +164,7 @@ def _compared(pairs: DataFrame, table: DataFrame, kind: str, read: Callable, clo
                         out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in out], pa.int64()), pa.array([vs[i] for i in out], pa.int64())], names=["u", "v"])
 
-    links = written(rows.mapInArrow(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), kind)
+    links = written(rows.mapInArrow(lean(compare), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), kind)
     discard(degrees)
     return links
 
@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         n, m = int(a[0]), int(b[0])
         return 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * least_difference(a[1:], b[1:]) <= (100 - percent) * (n + m)
 
-    maps = written(texts.mapInArrow(mapped, "doc_id long, x binary"), "maps")
+    maps = written(texts.mapInArrow(lean(mapped), "doc_id long, x binary"), "maps")
     near = _compared(pairs, maps, "near", lambda values: [np.frombuffer(x, np.uint64) for x in values], may_link)
     links = _compared(near, texts, "verified", lambda values: shingle_sets(values, k), lambda a, b: linked(a, b, percent))
     for old in (ids, texts, maps, near):
@@ -216,7 +216,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, meeting: in
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(12)), pa.array([at], pa.int32()), pa.array([payload], pa.binary())], names=names)
 
     bit_columns = ", ".join(f"{m} long" for m in MAPS)
-    scanned = written(slim(docs).mapInArrow(scan, f"{SLIM}, {bit_columns}, segment int, counts binary"), "scanned")
+    scanned = written(slim(docs).mapInArrow(lean(scan), f"{SLIM}, {bit_columns}, segment int, counts binary"), "scanned")
     counters = summed(scanned.where(F.col("segment").isNotNull()).select("segment", "counts"))
     prints = scanned.where(F.col("segment").isNull()).select("doc_id", "n", "f1", "f2", *MAPS)
     full = prints.where(F.col("n") > 0)
@@ -263,7 +263,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, meeting: in
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(prints))], names=["key", "rep", "f1"])
 
     # the filter only saves work: keys of one document are counted out exactly, in three numbers a key, before sizes and maps join what is left
-    posts = written(base.mapInArrow(post, "key long, rep long, f1 long"), "keys")
+    posts = written(base.mapInArrow(lean(post), "key long, rep long, f1 long"), "keys")
     shared = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "shared-keys")
     tidy(spark)
     few = written(join_keys(posts, shared, ["key"], "c").drop("c"), "shared-postings")

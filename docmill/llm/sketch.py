@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docmill.llm.words import lean
+
 SEGMENT = 1 << 15
 #: Counters (8 bytes each) of a sketch; the bound of what is broadcast.
 WIDTH = 1 << 21
@@ -63,7 +65,7 @@ def summed(table: DataFrame, width: int = WIDTH) -> np.ndarray:
         if at >= 0:
             yield row(at, total)
 
-    merged = table.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, counts binary")
+    merged = table.repartition("segment").sortWithinPartitions("segment").mapInArrow(lean(merge), "segment int, counts binary")
     out = np.zeros(-(-width // SEGMENT) * SEGMENT, np.uint64)
     for r in merged.toLocalIterator():
         lo = r["segment"] * SEGMENT
@@ -83,4 +85,4 @@ def count_sketch(table: DataFrame, slots_of: Callable[[pa.RecordBatch], Iterator
         for k, payload in own.segments():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([payload], pa.binary())], names=["segment", "counts"])
 
-    return summed(table.mapInArrow(partial, "segment int, counts binary"), width)
+    return summed(table.mapInArrow(lean(partial), "segment int, counts binary"), width)

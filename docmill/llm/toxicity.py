@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.words import as_bytes, batches, hashed
+from docmill.llm.words import as_bytes, batches, hashed, lean
 from docmill.runtime import bounded_batches
 
 #: Rows of the labelled sample on which the model is fitted. Features are kept as the sample's evidence asks, however many.
@@ -163,7 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
                 columns = [pa.array([m[j] for m in made], pa.binary()) for j in range(len(kinds))]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([hash_of(t) for t in texts], pa.int64()), *columns], names=["toxic", "same", *names])
 
-        rows = labelled.mapInArrow(scan, "toxic int, same long, " + ", ".join(f"{n} binary" for n in names))
+        rows = labelled.mapInArrow(lean(scan), "toxic int, same long, " + ", ".join(f"{n} binary" for n in names))
         out, seen = [], set()
         for r in rows.orderBy("same", F.col("toxic").desc()).toLocalIterator():
             if r["same"] not in seen:
@@ -242,7 +242,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(above.sum(1)), pa.array(above[:, 0])], names=[*(f.name for f in own), *added])
 
     frame = docs.select(*(F.col(f"`{f.name}`") for f in own), F.col("text").cast("string").alias("__text"))
-    return frame.mapInArrow(score, f"{spec}, severity double, toxic_probability double")
+    return frame.mapInArrow(lean(score), f"{spec}, severity double, toxic_probability double")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
