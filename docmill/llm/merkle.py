@@ -77,8 +77,6 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for tree, n, level, idx, digest in zip(*(batch.column(c).to_pylist() for c in ("tree", "n", "level", "idx", "digest")), strict=True):
             while True:
-                if level and level % BAND == 0:
-                    out.append((LINK, tree, n, level, idx, digest))
                 wide = width(n, level)
                 if wide == 1:
                     out.append((TOP, tree, n, level, idx, digest))
@@ -92,6 +90,9 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = joined_hash([children[i] for i in sorted(children)])
                 del parents[up]
                 level, idx = level + 1, up[2]
+                # where it is made: a link that waits for others arrives again
+                if level % BAND == 0:
+                    out.append((LINK, tree, n, level, idx, digest))
         if out:
             yield packed(out)
     frontier = [(OPEN, tree, sizes[tree], level - 1, i, d) for (tree, level, _), children in parents.items() for i, d in children.items()]

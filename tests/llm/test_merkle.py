@@ -55,6 +55,15 @@ def test_one_hot_source_over_several_bands(spark):
     assert found(docs.repartition(13)) == brute(given(docs))
 
 
+def test_a_row_each_where_links_wait_for_other_tasks(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(1).cast("long").alias("n_chars"), F.col("id").cast("string").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found(docs) == brute(given(docs))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_one_row_and_none(edge, nothing):
     one = edge.where("doc_id = 70")
     (row,) = merkle_manifest(one).collect()
