@@ -8,14 +8,13 @@ long text needs eight bytes a word and not a multiple of its length.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from docmill.runtime import lean as lean
+
 #: Bytes (words, for windows) handled at once: what fits the processor's cache is fastest.
 PIECE = 1 << 18
 BATCH = 1 << 18
@@ -159,21 +158,6 @@ def sequence(words: np.ndarray, which: int = 0) -> int:
     return int(mix(np.array([total], np.uint64))[0])
 
 
-def lean(scan: Callable) -> Callable:
-    """``scan`` over the batches of a task, after which the worker, which serves other tasks, gives back what it no longer holds."""
-
-    def run(batches):
-        try:
-            yield from scan(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return run
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
