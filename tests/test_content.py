@@ -34,6 +34,13 @@ def test_unclosed_tags_end_where_html_ends_them():
     assert main_blocks(f"</div></p><p>{words(50)}</i></article> more {words(9, 2)}</b><p>{words(30, 3)}") == [f"{words(50)} more {words(9, 2)}", words(30, 3)]
 
 
+def test_of_equal_parts_the_inner_one():
+    one, two = "a" * (LEAF_COST + HOLDER_COST), "b" * (LEAF_COST + HOLDER_COST)
+    assert main_blocks(f"<div><p>{one}</p><p>{two}</p></div>") == [one]
+    assert main_blocks(f"<div><p>{one}</p><p>{two}b</p></div>") == [f"{two}b"]
+    assert main_blocks(f"<div><p>{one}</p><p>{two}</p><p>{one}</p></div>") == [one, two, one]
+
+
 def test_nested_articles_and_several_sections():
     inner = f"<article><p>{words(80, 1)}</p><article><p>{words(60, 2)}</p></article></article>"
     assert main_blocks(f"<main><div><a href='x'>{words(30)}</a></div>{inner}<section><p>{words(70, 3)}</p></section></main>") == [words(80, 1), words(60, 2), words(70, 3)]
