@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.runtime import bounded_batches, lean
+
 
 def spans(text: str, chunk_size: int = 400, overlap: float = 0.15) -> list[tuple[int, int]]:
     """(start, end) of each window, offsets from 0, of a text longer than one window.
@@ -42,8 +45,8 @@ def placed_chunks(text: Column, chunk_size: int = 400, overlap: float = 0.15) ->
         return [{"text": x, "end": n} for x, n in zip(texts, itertools.accumulate(map(len, texts)), strict=True)]
 
     @F.pandas_udf("array<struct<text: string, end: int>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(pieces)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(lambda some: (texts.map(pieces) for texts in some))(batches)
 
     long_one = F.length(text) > 4 * chunk_size
     return F.when(long_one, cut(F.when(long_one, text))).otherwise(F.when(text.isNotNull(), F.array(F.struct(text.alias("text"), F.length(text).alias("end")))))
@@ -56,6 +59,7 @@ def chunks_of(text: Column, chunk_size: int = 400, overlap: float = 0.15) -> Col
 
 def chunked(articles: DataFrame, text: str = "text", chunk_size: int = 400, overlap: float = 0.15) -> DataFrame:
     """A row for each chunk of every row with a text: chunk_index, chunk_count, text, and offsets that add up the chunks' lengths."""
+    bounded_batches(articles.sparkSession)
     rest = [c for c in articles.columns if c != text]
     out = articles.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("__chunks", placed_chunks(F.col(text), chunk_size, overlap))
     out = out.select(*rest, F.size("__chunks").alias("chunk_count"), F.posexplode("__chunks").alias("chunk_index", "__chunk"))
