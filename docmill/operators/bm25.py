@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import tokens
-from docmill.runtime import small_enough, written
+from docmill.runtime import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -53,25 +53,24 @@ def weighed_terms(passages: DataFrame, queries: DataFrame, text: str = "query")
 def bm25_scores(passages: DataFrame, queries: DataFrame, key: str, text: str = "query") -> DataFrame:
     """(query_idx, key, bm25) for all pairs that share a term.
 
-    The passages are read twice: for statistics, and for the tokens that are query terms; others are dropped before they are grouped. Query terms
-    are broadcast when counted to be few.
+    The passages are read twice: for statistics, and to be scored where they are. A pair is made once, whole, by the task that has the passage; nothing is shuffled or gathered.
     """
     weighed, mean = weighed_terms(passages, queries, text)
-    words = passages.select(key, tokens(F.col("text"), lower=True).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    asked = small_enough(written(weighed.select("term").distinct(), "asked"))
-    posted = words.join(asked, "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0)))
-    hits = posted.select(key, "term", (F.col("tf") * (K1 + 1) / norm).alias("part")).join(small_enough(weighed), "term")
-    return hits.groupBy("query_idx", key).agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("bm25"))
+    return _scored(passages, weighed, mean, key, None, 512).withColumnRenamed("k", key)
 
 
 def bm25_top_k(passages: DataFrame, queries: DataFrame, key: str, k: int, text: str = "query", block: int = 512) -> DataFrame:
-    """(query_idx, key, bm25, rank): the k best passages of each query among those that share a term with it, smallest key first among equals.
+    """(query_idx, key, bm25, rank): the k best passages of each query among those that share a term with it, smallest key first among equals."""
+    weighed, mean = weighed_terms(passages, queries, text)
+    return top_k(_scored(passages, weighed, mean, key, k, block), "bm25", "k", k).withColumnRenamed("k", key)
+
+
+def _scored(passages: DataFrame, weighed: DataFrame, mean: float, key: str, k: int | None, block: int) -> DataFrame:
+    """(query_idx, k, bm25) of pairs that share a term: of each task the k best of a query and what equals the last of them, or all without ``k``.
 
     The query set is the small, stated side: it goes to the executors in blocks of ``block`` queries, each task scores its batches against a block and keeps
     k rows a query, and only those are shuffled. No posting is.
     """
-    weighed, mean = weighed_terms(passages, queries, text)
     kind = passages.schema[key].dataType.simpleString()
     ids = sorted(r[0] for r in weighed.select("query_idx").distinct().collect())
     out = None
@@ -91,6 +90,9 @@ def bm25_top_k(passages: DataFrame, queries: DataFrame, key: str, k: int, text:
             queries, number, edges, column, weight = shared.value
             best, keep = [], 0
 
+            def packed(q, key, s):
+                return pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(key.tolist(), kind), pa.array(s, pa.float64())], names=["query_idx", "k", "bm25"])
+
             def cut():
                 """The best k rows a query of what is kept; ties at the cut stay until the last step orders them."""
                 q, key, s = (np.concatenate(x) for x in zip(*best, strict=True))
@@ -123,6 +125,9 @@ def bm25_top_k(passages: DataFrame, queries: DataFrame, key: str, k: int, text:
                     score = np.bincount(cell, np.repeat(value, n) * weight[each], len(texts) * len(queries)).reshape(len(texts), -1)
                     shares = np.bincount(cell, minlength=len(texts) * len(queries)).reshape(len(texts), -1) > 0
                     i, q = np.nonzero(shares)
+                    if k is None:
+                        yield packed(q, keys[at + i], np.round(score[i, q], 6))
+                        continue
                     best.append((q, keys[at + i], np.round(score[i, q], 6)))
                     keep += len(q)
                     if keep > 1 << 20:
@@ -130,11 +135,11 @@ def bm25_top_k(passages: DataFrame, queries: DataFrame, key: str, k: int, text:
                         keep = len(best[0][0])
             if best:
                 ((q, key, s),) = cut()
-                yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(key.tolist(), kind), pa.array(s, pa.float64())], names=["query_idx", "k", "bm25"])
+                yield packed(q, key, s)
 
         found = passages.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(search, f"query_idx long, k {kind}, bm25 double")
         out = found if out is None else out.unionByName(found)
-    return top_k(out, "bm25", "k", k).withColumnRenamed("k", key)
+    return out
 
 
 def top_k(scores: DataFrame, score: str, key: str, k: int) -> DataFrame:
