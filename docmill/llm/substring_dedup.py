@@ -198,7 +198,8 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     # an id that several rows share has no list of its own, as that would be as long as all their texts
     same_id = written(long_ones.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__shared")), "shared-ids")
     if same_id.isEmpty():
-        kept = first.groupBy("__id").agg(F.collect_list("h1").alias("kept"))
+        # written before texts are shuffled, so that not both shuffles are on disk at once
+        kept = written(first.groupBy("__id").agg(F.collect_list("h1").alias("kept")), "lists")
         joined = base.join(kept, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "copy_of", "marks", "kept")
     else:
         first = written(first, "first")
